@@ -137,17 +137,25 @@ def readable(text: str | None) -> str | None:
 
 
 def _table_bars(lines: list[str]) -> set[int]:
-    """Indices of lines that begin with a bar and are rows of a table, not quoted text."""
+    """Indices of lines that begin with a bar and are rows of a table, not quoted text.
+
+    A run of such lines is a table if each is a row and no line above names a quoted
+    sender. Rows that all have an empty first cell of one space are a quoted table.
+    """
     out: set[int] = set()
     run: list[int] = []
+    named = False
     for i, line in enumerate([*lines, ""]):
-        s = line.strip()
-        if s.startswith("|") and s.endswith("|") and s.count("|") >= 3:
+        if line[:1] == "|":
             run.append(i)
             continue
-        if len(run) >= 2 and len({lines[k].count("|") for k in run}) <= 2:
-            out.update(run)
+        if len(run) >= 2 and not named:
+            rows = [lines[k].rstrip() for k in run]
+            if all(r.endswith("|") and r.count("|") >= 3 for r in rows) and not all(r.startswith("| |") for r in rows):
+                out.update(run)
         run = []
+        if line.strip():
+            named = bool(_WROTE.search(line) or _NAMED.match(line))
     return out
 
 

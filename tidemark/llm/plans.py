@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import seen, tokens, topn
+from tidemark.llm import packing, quality, seen, tokens, topn
 from tidemark.sources.tables import has_key, table
 
 
@@ -40,7 +40,35 @@ def p6_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return back.join(own, "doc_id").select("doc_id", "n_tokens", (F.col("h") == F.col("own")).alias("same"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_wrong_rate, p6_ids, p6_roundtrip)}
+def _specs(spark: SparkSession, folder: str) -> list[tuple[int, int]]:
+    """The container sizes asked for; the table is a fixed list."""
+    rows = table(spark, folder, "pack_specs", "spec_id", "capacity_tokens").distinct().limit(1001).collect()
+    if len(rows) > 1000:
+        raise ValueError("more than 1000 container sizes")
+    return [tuple(r) for r in rows]
+
+
+def p7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Where each document lies, for each container size."""
+    return packing.pack(tokens.count_tokens(table(spark, folder, "documents", "doc_id", "text")), _specs(spark, folder))
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers used, the least number possible by volume, and the share of room used."""
+    return packing.fill(p7_packing(spark, folder), _specs(spark, folder))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The mails whose own body is not prose."""
+    return quality.not_prose(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "common_words", "word"))
+
+
+def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality statistics of each document's text."""
+    return quality.statistics(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "common_words", "word"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_wrong_rate, p6_ids, p6_roundtrip, p7_packing, p7_fill, p8_found, p8_statistics)}
 
 ORACLES = {
     "p1_found": """

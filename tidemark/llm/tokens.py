@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.batches import sliced
+
 #: Where the vocabulary files are unless the caller says so.
 FOLDER = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 #: Fixed value: the pattern that splits text before the merges of byte_bpe_50k.
@@ -57,7 +59,7 @@ def encode(docs: DataFrame, ident: str = "doc_id", text: str = "text", path: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(shared.value)
-        for batch in batches:
+        for batch in sliced(batches):
             ids = pa.array([own.encode_ordinary(t) for t in _texts(batch)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], [ident, "ids"])
 
@@ -72,7 +74,7 @@ def count_tokens(docs: DataFrame, ident: str = "doc_id", text: str = "text", pat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(shared.value)
-        for batch in batches:
+        for batch in sliced(batches):
             sizes = pa.array([len(own.encode_ordinary(t)) for t in _texts(batch)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes], [ident, "n_tokens"])
 
@@ -134,8 +136,9 @@ def encode_words(words: DataFrame, word: str = "word", path: str | None = None)
         )
         return F.when(F.size(acc) > 1, F.element_at(joined, 1)).otherwise(acc)
 
-    single = F.transform(F.sequence(F.lit(0), F.length(name) / 2 - 1), lambda i: F.substr(name, (i * 2 + 1).cast("int"), F.lit(2)))
-    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(name) / 2 - 1, F.lit(1)).cast("int")), single, lambda acc, _: merged(acc))
+    length = (F.length(name) / 2).cast("int")
+    single = F.transform(F.sequence(F.lit(0), length - 1), lambda i: F.substr(name, i * 2 + 1, F.lit(2)))
+    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(length - 1, F.lit(1))), single, lambda acc, _: merged(acc))
     whole = ranks.of(name)
     ids = F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(folded, ranks.of))
     return words.where(F.length(word) > 0).select(word, ids.alias("ids"))
