@@ -93,7 +93,7 @@ def requests(limit: int, most: int = (1 << 32) - 1) -> Step:
 
 
 def blocks(block_size: int = 4096) -> Step:
-    """(block, base_key, overlap, lcp, at): block of a sorted table that an entry (key, stored value's bytes) goes to.
+    """(block, base_key, overlap, lcp, begins): block of a sorted table that an entry (key, stored value's bytes) goes to.
 
     An entry starts a new block if the block would be too large with it: its bytes so far,
     6 for the header, key, value, and 4 for each offset and 16 for list and checksum. Keys

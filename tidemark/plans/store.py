@@ -36,6 +36,7 @@ LOG = """with log as (
          coalesce(expires_at, 0) as expires_at, fid, log_offset, seq, table_id
   from (select *, row_number() over (partition by seq order by fid, log_offset) as copy from entry_log
         where octet_length(user_key) > 0 and version is not null and seq is not null) where copy = 1)"""
+_VARINT = "case when {0} = 0 then 1 else (length(bin({0})) + 6) // 7 end"
 _LIVE = f"(meta & 1) = 0 and (expires_at = 0 or expires_at > {NOW})"
 
 
@@ -453,21 +454,40 @@ def _sorted_entries(spark: SparkSession, folder: str) -> DataFrame:
     """The flushed entries as internal keys with the bytes of their stored values."""
     log = entry_log(spark, folder, "user_key", "version", "seq", "value", "expires_at", "table_id").where("table_id is not null")
     size = codec.value_bytes(F.col("value"), F.col("expires_at")).cast("long")
-    return log.select("table_id", "seq", codec.key_with_version(F.col("user_key"), F.col("version")).alias("key"), "user_key", "version", size.alias("size"))
+    return log.select("table_id", "seq", codec.key_with_version(F.col("user_key"), F.col("version")).alias("key"), "user_key", (-F.col("version")).alias("newest_first"), size.alias("size"))
 
 
-@query()
+def _blocks(spark: SparkSession, folder: str) -> DataFrame:
+    order = ["user_key", "newest_first", "seq"]
+    return greedy.streamed(_sorted_entries(spark, folder), "table_id", order, ["key", "size"], greedy.blocks(), "block long, base_key binary, overlap int, lcp int, begins long")
+
+
+_SAME = "list_filter(range(1, least(length(s.k), length(f.base)) // 2 + 1), lambda i: substr(s.k, 2 * i - 1, 2) <> substr(f.base, 2 * i - 1, 2))[1]"
+_CUT = "f.fin + 6 + length(s.k) // 2 + s.size + (f.n + 1) * 4 + 16 > 4096"
+_BLOCKS = f"""{LOG.replace('with log', 'with recursive log')}, s as (select table_id, seq, hex(user_key) || printf('%016X', (18446744073709551615::ubigint - version::ubigint)) as k,
+  octet_length(value) + 2 + {_VARINT.format('expires_at')} as size, row_number() over (partition by table_id order by user_key, version desc, seq) as i from log where table_id is not null),
+f(table_id, i, seq, block, base, overlap, lcp, begins, fin, n) as (select table_id, i, seq, 0, k, 0, 0, 0, 4 + length(k) // 2 + size, 1 from s where i = 1
+  union all select s.table_id, s.i, s.seq, case when {_CUT} then f.block + 1 else f.block end, case when {_CUT} then s.k else f.base end,
+  case when {_CUT} then 0 else coalesce({_SAME} - 1, 0) end, case when {_CUT} then 0 else coalesce({_SAME} - 1, least(length(s.k), length(f.base)) // 2) end,
+  case when {_CUT} then 0 else f.fin end, case when {_CUT} then 4 + length(s.k) // 2 + s.size else f.fin + 4 + length(s.k) // 2 - coalesce({_SAME} - 1, 0) + s.size end,
+  case when {_CUT} then 1 else f.n + 1 end from f join s on s.table_id = f.table_id and s.i = f.i + 1)"""
+
+
+@query(f"{_BLOCKS} select table_id, seq, block::bigint as block, base as base_key, overlap::int as overlap, lcp::int as lcp, begins::bigint as begins from f")
 def block_packing(spark: SparkSession, folder: str) -> DataFrame:
     """The block of each entry of each table."""
-    rows = greedy.streamed(_sorted_entries(spark, folder), "table_id", ["user_key", "version", "seq"], ["key", "size"], greedy.blocks(), "block long, base_key binary, overlap int, lcp int, at long")
-    return rows.select("table_id", "seq", "block", F.hex("base_key").alias("base_key"), "overlap", "lcp", "at")
+    rows = _blocks(spark, folder)
+    return rows.select("table_id", "seq", "block", F.hex("base_key").alias("base_key"), "overlap", "lcp", "begins")
 
 
-@query()
+@query(
+    f"""{_BLOCKS} select table_id, block::bigint as block, min(base) as base_key, count(*) as entries, max(fin)::bigint as data_bytes,
+(max(fin) + count(*) * 4 + 16)::bigint as bytes from f group by table_id, block"""
+)
 def block_index(spark: SparkSession, folder: str) -> DataFrame:
     """First key, entries and bytes of each block: the index of each table."""
-    rows = greedy.streamed(_sorted_entries(spark, folder), "table_id", ["user_key", "version", "seq"], ["key", "size"], greedy.blocks(), "block long, base_key binary, overlap int, lcp int, at long")
-    end = F.col("at") + 4 + F.octet_length("key") - F.col("overlap") + F.col("size")
+    rows = _blocks(spark, folder)
+    end = F.col("begins") + 4 + F.octet_length("key") - F.col("overlap") + F.col("size")
     out = rows.groupBy("table_id", "block").agg(F.hex(F.min("base_key")).alias("base_key"), F.count("*").alias("entries"), F.max(end).cast("long").alias("data_bytes"))
     # offsets, their number, a checksum message of at most 8 bytes and its length
     return out.withColumn("bytes", F.col("data_bytes") + F.col("entries") * 4 + 4 + 8 + 4)
@@ -529,7 +549,20 @@ def bloom_shape(spark: SparkSession, folder: str) -> DataFrame:
     return bloom.filter_sizes(_members(spark, folder), 0.01)
 
 
-@query()
+_HASHED = f"""{LOG}, hx as (select distinct table_id, user_key, hex(user_key) as x, octet_length(user_key) as n from log where table_id is not null),
+h0 as (select *, list_reduce(list_concat([xor(3164544308::ubigint, (n * 3332679571::ubigint) % 4294967296)], list_transform(range(0, n // 4), lambda i: ('0x' || substr(x, 8 * i + 7, 2) || substr(x, 8 * i + 5, 2) || substr(x, 8 * i + 3, 2) || substr(x, 8 * i + 1, 2))::ubigint)),
+  lambda h, w: xor(((h + w) % 4294967296 * 3332679571::ubigint) % 4294967296, (((h + w) % 4294967296 * 3332679571::ubigint) % 4294967296) >> 16)) as h,
+  case n % 4 when 0 then null when 1 then ('0x' || substr(x, 2 * n - 1, 2))::ubigint when 2 then ('0x' || substr(x, 2 * n - 1, 2) || substr(x, 2 * n - 3, 2))::ubigint
+  else ('0x' || substr(x, 2 * n - 1, 2) || substr(x, 2 * n - 3, 2) || substr(x, 2 * n - 5, 2))::ubigint end as t from hx),
+hs as (select table_id, user_key, case when t is null then h else xor(((h + t) % 4294967296 * 3332679571::ubigint) % 4294967296, (((h + t) % 4294967296 * 3332679571::ubigint) % 4294967296) >> 24) end as h from h0),
+z as (select table_id, (greatest(count(*) * 7, 64) + 7) // 8 * 8 as bits from log where table_id is not null group by table_id),
+b as (select distinct table_id, ((h + ((h >> 17) | (h << 15) % 4294967296) * r.range) % 4294967296) % bits as bit from hs join z using (table_id), range(4) r),
+a as (select distinct table_id + o.range as table_id, user_key, h from hs, range(2) o),
+q as (select a.table_id, a.user_key, coalesce(bool_and(z.bits is null or b.bit is not null), true) as maybe from a left join z using (table_id) cross join range(4) r
+  left join b on b.table_id = a.table_id and b.bit = ((h + ((h >> 17) | (h << 15) % 4294967296) * r.range) % 4294967296) % z.bits group by 1, 2)"""
+
+
+@query(f"{_HASHED} select table_id, (bit // 32)::bigint as word, sum(1::bigint << (bit % 32)::int)::bigint as mask from b group by 1, 2")
 def bloom_build(spark: SparkSession, folder: str) -> DataFrame:
     """The words of each table's filter."""
     keys = _members(spark, folder)
@@ -542,7 +575,7 @@ def _asked(spark: SparkSession, folder: str) -> DataFrame:
     return keys.unionByName(keys.withColumn("table_id", F.col("table_id") + 1)).distinct()
 
 
-@query()
+@query(f"{_HASHED} select table_id, decode(user_key) as user_key, maybe from q")
 def bloom_probe(spark: SparkSession, folder: str) -> DataFrame:
     """What the filters say of keys that are in them and of others."""
     keys = _members(spark, folder)
@@ -550,7 +583,11 @@ def bloom_probe(spark: SparkSession, folder: str) -> DataFrame:
     return bloom.probe(_asked(spark, folder), bloom.build(keys, shapes), shapes).withColumn("user_key", F.col("user_key").cast("string"))
 
 
-@query()
+@query(
+    f"""{_HASHED}, w as (select q.*, hs.h is not null as known from q left join hs using (table_id, user_key) where table_id in (select table_id from z))
+select count(*) filter (not known) as absent, count(*) filter (not known and maybe) as wrong, count(*) filter (known and not maybe) as denied,
+round(count(*) filter (not known and maybe) / count(*) filter (not known), 6) as rate from w"""
+)
 def bloom_fp_rate(spark: SparkSession, folder: str) -> DataFrame:
     """How often the filters are wrong."""
     keys = _members(spark, folder)
@@ -561,7 +598,6 @@ def bloom_fp_rate(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- codecs ---------------------------------------------------------------------------
 
-_VARINT = "case when {0} = 0 then 1 else (length(bin({0})) + 6) // 7 end"
 
 
 @query(
@@ -659,7 +695,13 @@ def vlog_deref(spark: SparkSession, folder: str) -> DataFrame:
     return vlog.dereferenced(entries, written).select("seq", F.md5("value").alias("value"))
 
 
-@query()
+@query(
+    f"""with recursive r as (select doc_id % 64 as writer, doc_id // 1000 as request, sum(10 + coalesce(strlen(text), 0) + 22 + 4)::bigint as size from documents where doc_id is not null group by 1, 2),
+s as (select *, row_number() over (partition by writer order by request) as i from r),
+f(writer, request, size, i, "offset") as (select writer, request, size, i, 0::bigint from s where i = 1
+  union all select s.writer, s.request, s.size, s.i, case when f."offset" + f.size >= {FILE_BYTES} then 0 else f."offset" + f.size end from f join s on s.writer = f.writer and s.i = f.i + 1)
+select writer, request, size, "offset", "offset" + size > 4294967295 as too_big from f"""
+)
 def vlog_requests(spark: SparkSession, folder: str) -> DataFrame:
     """The offsets that a check of write requests reckons with; a request has a writer's documents of one thousand."""
     rows = vlog.request_sizes(_documents(spark, folder).withColumn("request", F.floor(F.col("seq") / 1000)), "request")
