@@ -28,7 +28,9 @@ PARTS = 64
 
 
 def _groups(large: list[tuple[int, int]], k: int) -> list[list[tuple[int, int]]]:
-    """(size, count), largest first, cut into k groups of equal numbers of items."""
+    """(size, count), largest first, cut into k groups of equal numbers of items; a group for each size if that are no more."""
+    if len(large) <= k:
+        return [[x] for x in large]
     total = sum(n for _, n in large)
     k = max(1, min(k, total))
     out: list[list[tuple[int, int]]] = [[]]
