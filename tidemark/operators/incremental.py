@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.sources.tables import has_key
 
 #: A table of run ranges up to this many rows (about 60 bytes each) is broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 500_000
 
 
 def successful_runs(reports: DataFrame) -> DataFrame:
@@ -43,15 +43,16 @@ def reread_from(runs: DataFrame) -> DataFrame:
     return joined.where("_gaps = 0").groupBy("stream_id").agg(F.min("since_version").alias("first_version"), F.max("upto_version").alias("open_from"), F.min("read_at").alias("settled_at"))
 
 
-def _ranges(runs: DataFrame) -> tuple[DataFrame, int, bool]:
-    """Runs cut at multiples of a width, that width, and whether they are few enough to broadcast.
+def _ranges(runs: DataFrame) -> tuple[DataFrame, int, bool, bool]:
+    """Runs cut at multiples of a width, that width, and whether they, and their streams, are few enough to broadcast.
 
     The width is a third of the mean length of a run: at most five rows a run come out.
     """
-    n, total = runs.agg(F.count("*"), F.sum(F.col("upto_version").cast("double") - F.col("since_version").cast("double"))).first()
+    length = F.col("upto_version").cast("double") - F.col("since_version").cast("double")
+    n, total, streams = runs.agg(F.count("*"), F.sum(length), F.countDistinct("stream_id")).first()
     width = max(1, int((total or 0) / (3 * n))) if n else 1
     cut = F.explode(F.sequence(F.floor((F.col("since_version") + 1) / width), F.floor(F.col("upto_version") / width)))
-    return runs.withColumn("_slot", cut), width, 5 * n <= BROADCAST_ROWS
+    return runs.withColumn("_slot", cut), width, 5 * n <= BROADCAST_ROWS, streams <= BROADCAST_ROWS
 
 
 def unprocessed(feed: DataFrame, reports: DataFrame) -> DataFrame:
@@ -67,13 +68,13 @@ def unprocessed(feed: DataFrame, reports: DataFrame) -> DataFrame:
     """
     copies = feed.where(has_key("key") & F.col("version").isNotNull() & F.col("seq").isNotNull()).select("key", "version", "seq", "stream_id", "arrived_at")
     runs = successful_runs(reports)
-    ranges, width, small = _ranges(runs)
-    hint = F.broadcast if small else (lambda df: df)
+    ranges, width, small, few = _ranges(runs)
     starts = reread_from(runs).withColumnRenamed("stream_id", "_stream")
+    starts = F.broadcast(starts) if few else starts
     placed = copies.withColumn("_slot", F.floor(F.col("version") / width))
-    c, r = placed.alias("c"), ranges.alias("r")
+    c, r = placed.alias("c"), (F.broadcast(ranges) if small else ranges).alias("r")
     read = (F.col("c.stream_id") == F.col("r.stream_id")) & (F.col("c._slot") == F.col("r._slot")) & (F.col("c.version") > F.col("r.since_version")) & (F.col("c.version") <= F.col("r.upto_version")) & (F.col("c.arrived_at") <= F.col("r.read_at"))
-    ledger = c.join(hint(r), read, "left_semi").select("key", "version", "seq")
+    ledger = c.join(r, read, "left_semi").select("key", "version", "seq")
     settled = (F.col("c.stream_id") == F.col("_stream")) & (F.col("c.version") > F.col("first_version")) & (F.col("c.version") <= F.col("open_from")) & (F.col("c.arrived_at") <= F.col("settled_at"))
-    again = c.join(hint(starts), settled, "left_anti").join(hint(r), read, "left_anti").select("key", "version", "seq")
+    again = c.join(starts, settled, "left_anti").join(r, read, "left_anti").select("key", "version", "seq")
     return again.join(ledger, ["key", "version", "seq"], "left_anti").select("seq").distinct()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import ranges
+
 
 def changes(log: DataFrame) -> DataFrame:
     """(seq, table_id, level, key_id, created): each change once; op by name in any case or by number, others are none."""
@@ -61,10 +63,12 @@ def levels(info: DataFrame) -> DataFrame:
 
 def overlaps(info: DataFrame) -> DataFrame:
     """(level, table_id, error): tables below level 0 that begin at or before the end of the one before ('overlap')
-    or after their own end ('inverted'). The levels' table lists are metadata, so a level's window is small."""
-    order = Window.partitionBy("level").orderBy("smallest", F.desc("smallest_ver"), "table_id")
-    rows = tables(info).where("level > 0").select("level", "table_id", "smallest", "biggest", F.lag("biggest").over(order).alias("_before"))
-    error = F.when(F.col("_before") >= F.col("smallest"), "overlap").when(F.col("smallest") > F.col("biggest"), "inverted")
+    or after their own end ('inverted'). All levels are ordered together, by ranges, as one may have most tables."""
+    order = [F.col("level"), F.col("smallest"), F.desc("smallest_ver"), F.col("table_id")]
+    rows = tables(info).where("level > 0").select("level", "table_id", "smallest", "smallest_ver", "biggest")
+    rows = ranges.before(rows, order, F.struct("level", "biggest"))
+    last = F.when(F.col("_prior.level") == F.col("level"), F.col("_prior.biggest"))
+    error = F.when(last >= F.col("smallest"), "overlap").when(F.col("smallest") > F.col("biggest"), "inverted")
     return rows.withColumn("error", error).where("error is not null").select("level", "table_id", "error")
 
 

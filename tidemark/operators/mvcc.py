@@ -74,15 +74,16 @@ def overlay(stored: DataFrame, pending: DataFrame, now: int, read_ts: int) -> Da
     return rows.where(~invisible(now)).select("user_key", "version", "value")
 
 
-def as_of(probes: DataFrame, log: DataFrame) -> DataFrame:
+def as_of(probes: DataFrame, log: DataFrame, spans: int = 4096) -> DataFrame:
     """(probe, user_key, found_version): for each (probe, user_key, version) the newest version of the key up to it; null if none.
 
-    Probes of one key are spread by ranges of versions: each row knows its range, a probe
-    that finds nothing in its own takes the last version of an earlier range.
+    A key's rows are spread over `spans` ranges of the log's versions: each row knows its
+    range, a probe that finds nothing in its own takes the last version of an earlier one.
     """
-    width = 1 << 14
+    low, high = log.agg(F.min("version"), F.max("version")).first()
+    width = max(1, ((high or 0) - (low or 0)) // spans)
     marks = log.select("user_key", "version", F.lit(None).cast("long").alias("probe")).distinct()
-    rows = marks.unionByName(probes.select("user_key", "version", F.col("probe").cast("long").alias("probe"))).withColumn("_range", F.floor(F.col("version") / width))
+    rows = marks.unionByName(probes.select("user_key", "version", F.col("probe").cast("long").alias("probe"))).withColumn("_range", F.least(F.greatest(F.floor((F.col("version") - (low or 0)) / width), F.lit(-1)), F.lit(spans + 1)))
     own = F.when(F.col("probe").isNull(), F.col("version"))
     order = Window.partitionBy("user_key", "_range").orderBy("version", F.col("probe").asc_nulls_first())
     here = rows.withColumn("_here", F.last(own, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))

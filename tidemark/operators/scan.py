@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranges import placed
 from tidemark.sources.tables import partitions
 
 
@@ -56,7 +57,7 @@ def _sought(probes: DataFrame, log: DataFrame, forward: bool) -> DataFrame:
     marks = log.select("user_key", "version", F.lit(None).cast("long").alias("probe")).distinct()
     wanted = probes.select("user_key", "version", F.col("probe").cast("long").alias("probe"))
     n = 4 * partitions(spark)
-    rows = marks.unionByName(wanted).repartitionByRange(n, F.col("user_key"), F.desc("version")).withColumn("_part", F.spark_partition_id())
+    rows = placed(marks.unionByName(wanted), [F.col("user_key"), F.desc("version")], n)
     place: Column = F.struct(F.col("user_key").alias("k"), F.col("version").alias("v"))
     own = F.when(F.col("probe").isNull(), place)
     ascending = [F.col("user_key"), F.desc("version")] if not forward else [F.desc("user_key"), F.col("version")]

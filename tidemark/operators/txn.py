@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.codec import estimated_bytes, too_long
+from tidemark.operators import ranges
 
 #: Bytes that a transaction counts before its first write and beside each.
 START, EACH = 21, 10
@@ -87,13 +88,8 @@ def conflicts(writes: DataFrame, reads: DataFrame, window: int) -> DataFrame:
 def committed(writes: DataFrame, aborted: DataFrame, next_ts: int, txn: str = "txn") -> DataFrame:
     """The writes of transactions that don't abort, under new versions from `next_ts` on in order of transaction.
 
-    The number of a transaction is its rank among those that commit: one task per range of
-    transactions counts, another adds up the ranges.
+    The number of a transaction is its rank among those that commit, by range partitions.
     """
     kept = last_pending(writes, txn).join(aborted.select(txn).distinct(), txn, "left_anti")
-    ids = kept.select(txn).distinct().withColumn("_range", F.floor(F.col(txn) / 4096))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(txn))
-    totals = ids.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbers = ids.withColumn("_inside", inside).join(totals.select("_range", before.alias("_before")), "_range")
-    return kept.join(numbers.select(txn, (F.col("_inside") + F.col("_before") - 1 + next_ts).alias("commit_ts")), txn)
+    numbers = ranges.numbered(kept.select(txn).distinct(), [F.col(txn)], "commit_ts", next_ts)
+    return kept.join(numbers, txn)

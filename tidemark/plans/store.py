@@ -5,11 +5,11 @@ Parameters stand here once, for both sides.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import codec
-from tidemark.operators import bloom, greedy, manifest, mvcc, scan, txn, vlog, wal, watermark
+from tidemark.operators import bloom, greedy, manifest, mvcc, ranges, scan, txn, vlog, wal, watermark
 from tidemark.sources.log import discard_log, entry_log, event_frames, mark_log
 from tidemark.sources.tables import has_key, table
 
@@ -66,27 +66,27 @@ def _text(name: str, alias: str | None = None):
 @query(f"{LOG} select decode(user_key) as user_key, version, hex(value) as value, expires_at from ({_newest()}) where {_LIVE}")
 def snapshot_latest(spark: SparkSession, folder: str) -> DataFrame:
     """All visible keys at the newest version."""
-    log = entry_log(spark, folder, "user_key", "version", "seq", "value", "meta", "expires_at")
+    log = entry_log(spark, folder, "user_key", "version", "seq", "value", "meta", "expires_at", once=False)
     return mvcc.snapshot(log, NOW).select(_text("user_key"), "version", F.hex("value").alias("value"), "expires_at")
 
 
 @query(f"{LOG} select decode(user_key) as user_key, version, hex(value) as value, expires_at from ({_newest(f'version <= {READ_TS}')}) where {_LIVE}")
 def snapshot_at_ts(spark: SparkSession, folder: str) -> DataFrame:
     """All visible keys as of a version."""
-    log = entry_log(spark, folder, "user_key", "version", "seq", "value", "meta", "expires_at")
+    log = entry_log(spark, folder, "user_key", "version", "seq", "value", "meta", "expires_at", once=False, where=F.col("version") <= READ_TS)
     return mvcc.snapshot(log, NOW, READ_TS).select(_text("user_key"), "version", F.hex("value").alias("value"), "expires_at")
 
 
 @query(f"{LOG} select coalesce(max(version), 0)::bigint as read_ts from log")
 def read_version(spark: SparkSession, folder: str) -> DataFrame:
     """The version a new transaction reads at."""
-    return mvcc.read_version(entry_log(spark, folder, "version"))
+    return mvcc.read_version(entry_log(spark, folder, "version", once=False))
 
 
 @query(f"{LOG} select decode(user_key) as user_key, version, hex(value) as value from ({_newest(f'''decode(user_key) = '{KEY.decode()}' ''')}) where {_LIVE}")
 def point_get(spark: SparkSession, folder: str) -> DataFrame:
     """One key."""
-    log = entry_log(spark, folder, "user_key", "version", "seq", "value", "meta", "expires_at")
+    log = entry_log(spark, folder, "user_key", "version", "seq", "value", "meta", "expires_at", once=False, where=F.col("user_key") == F.lit(KEY))
     return mvcc.get(log, KEY, NOW).select(_text("user_key"), "version", F.hex("value").alias("value"))
 
 
@@ -99,7 +99,7 @@ _STATUS = f"case when n.version is null then 'absent' when (n.meta & 1) = 1 then
 )
 def multi_get(spark: SparkSession, folder: str) -> DataFrame:
     """What each incoming key gives."""
-    log = entry_log(spark, folder, "user_key", "version", "seq", "value", "meta", "expires_at")
+    log = entry_log(spark, folder, "user_key", "version", "seq", "value", "meta", "expires_at", once=False)
     found = mvcc.multi_get(log, table(spark, folder, "incoming_keys", "user_key"), NOW)
     return found.select(_text("user_key"), "status", F.coalesce("version", F.lit(-1)).alias("version"), F.coalesce(F.hex("value"), F.lit("")).alias("value"))
 
@@ -110,7 +110,7 @@ def multi_get(spark: SparkSession, folder: str) -> DataFrame:
 )
 def get_missing_or_deleted(spark: SparkSession, folder: str) -> DataFrame:
     """How many incoming keys give nothing, and why."""
-    log = entry_log(spark, folder, "user_key", "version", "seq", "value", "meta", "expires_at")
+    log = entry_log(spark, folder, "user_key", "version", "seq", "value", "meta", "expires_at", once=False)
     found = mvcc.multi_get(log, table(spark, folder, "incoming_keys", "user_key"), NOW)
     return found.where("status <> 'found'").groupBy("status").agg(F.count("*").alias("n"))
 
@@ -118,7 +118,7 @@ def get_missing_or_deleted(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"{LOG} select decode(user_key) as user_key, version, seq, ({_LIVE}) as live from log where starts_with(decode(user_key), '{PREFIX.decode()}')")
 def version_history(spark: SparkSession, folder: str) -> DataFrame:
     """All versions of the keys with a prefix."""
-    log = entry_log(spark, folder, "user_key", "version", "seq", "meta", "expires_at")
+    log = entry_log(spark, folder, "user_key", "version", "seq", "meta", "expires_at", where=(F.col("user_key") >= F.lit(PREFIX)) & (F.col("user_key") < F.lit(scan.prefix_end(PREFIX))))
     return mvcc.history(log, PREFIX, NOW).select(_text("user_key"), "version", "seq", "live")
 
 
@@ -145,7 +145,7 @@ _PENDING = """(select user_key, max(incoming_id) as seq from incoming_keys where
 )
 def overlay_read(spark: SparkSession, folder: str) -> DataFrame:
     """A snapshot with a transaction's own writes over it."""
-    log = entry_log(spark, folder, "user_key", "version", "seq", "value", "meta", "expires_at")
+    log = entry_log(spark, folder, "user_key", "version", "seq", "value", "meta", "expires_at", once=False, where=F.col("version") <= READ_TS)
     rows = mvcc.overlay(log, txn.last_pending(_pending(spark, folder)), NOW, READ_TS)
     return rows.select(_text("user_key"), "version", F.hex("value").alias("value"))
 
@@ -158,7 +158,7 @@ def asof_version_join(spark: SparkSession, folder: str) -> DataFrame:
     """The newest version of its key as of each incoming record."""
     probes = table(spark, folder, "incoming_keys", "incoming_id", "user_key", "version").where(has_key("user_key") & F.col("incoming_id").isNotNull()).distinct()
     probes = probes.select(F.col("incoming_id").alias("probe"), "user_key", (F.coalesce("version", F.lit(0)) - 30_000_000).alias("version"))
-    return mvcc.as_of(probes, entry_log(spark, folder, "user_key", "version")).select("probe", _text("user_key"), F.coalesce("found_version", F.lit(-1)).alias("found_version"))
+    return mvcc.as_of(probes, entry_log(spark, folder, "user_key", "version", once=False)).select("probe", _text("user_key"), F.coalesce("found_version", F.lit(-1)).alias("found_version"))
 
 
 # --- scans --------------------------------------------------------------------
@@ -167,19 +167,19 @@ def asof_version_join(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"{LOG} select decode(user_key) as user_key, version, seq from log where user_key >= '{LOW.decode()}'::blob and user_key < '{HIGH.decode()}'::blob")
 def range_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Entries between two keys, in order."""
-    return scan.scan(entry_log(spark, folder, "user_key", "version", "seq"), LOW, HIGH).select(_text("user_key"), "version", "seq")
+    return scan.scan(entry_log(spark, folder, "user_key", "version", "seq", where=(F.col("user_key") >= F.lit(LOW)) & (F.col("user_key") < F.lit(HIGH))), LOW, HIGH).select(_text("user_key"), "version", "seq")
 
 
 @query(f"{LOG} select decode(user_key) as user_key, version, seq from log where starts_with(decode(user_key), '{PREFIX.decode()}')")
 def prefix_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Entries with a prefix, in order."""
-    return scan.prefix_scan(entry_log(spark, folder, "user_key", "version", "seq"), PREFIX).select(_text("user_key"), "version", "seq")
+    return scan.prefix_scan(entry_log(spark, folder, "user_key", "version", "seq", where=(F.col("user_key") >= F.lit(PREFIX)) & (F.col("user_key") < F.lit(scan.prefix_end(PREFIX)))), PREFIX).select(_text("user_key"), "version", "seq")
 
 
 @query(f"{LOG} select decode(user_key) as user_key, version from (select distinct user_key, version from log order by user_key desc, version limit 100)")
 def reverse_scan_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The last hundred places, last first."""
-    return scan.last_entries(entry_log(spark, folder, "user_key", "version").distinct(), 100).select(_text("user_key"), "version")
+    return scan.last_entries(entry_log(spark, folder, "user_key", "version", once=False).distinct(), 100).select(_text("user_key"), "version")
 
 
 @query(
@@ -188,7 +188,7 @@ def reverse_scan_topk(spark: SparkSession, folder: str) -> DataFrame:
 )
 def first_last_key(spark: SparkSession, folder: str) -> DataFrame:
     """The first and the last place."""
-    return scan.ends(entry_log(spark, folder, "user_key", "version")).select(_text("first_key"), "first_version", _text("last_key"), "last_version")
+    return scan.ends(entry_log(spark, folder, "user_key", "version", once=False)).select(_text("first_key"), "first_version", _text("last_key"), "last_version")
 
 
 def _probes(spark: SparkSession, folder: str) -> DataFrame:
@@ -207,7 +207,7 @@ select n.probe, coalesce(decode(case when o.v is not null then n.user_key else n
 )
 def seek_ge_batch(spark: SparkSession, folder: str) -> DataFrame:
     """The first place at or behind each incoming key at a version."""
-    found = scan.seek_many(_probes(spark, folder), entry_log(spark, folder, "user_key", "version"))
+    found = scan.seek_many(_probes(spark, folder), entry_log(spark, folder, "user_key", "version", once=False))
     return found.select("probe", F.coalesce(_text("found_key"), F.lit("")).alias("found_key"), F.coalesce("found_version", F.lit(-1)).alias("found_version"))
 
 
@@ -218,7 +218,7 @@ select n.probe, coalesce(decode(case when o.v is not null then n.user_key else n
 )
 def seek_le_batch(spark: SparkSession, folder: str) -> DataFrame:
     """The last place at or before each incoming key at a version."""
-    found = scan.seek_many_for_prev(_probes(spark, folder), entry_log(spark, folder, "user_key", "version"))
+    found = scan.seek_many_for_prev(_probes(spark, folder), entry_log(spark, folder, "user_key", "version", once=False))
     return found.select("probe", F.coalesce(_text("found_key"), F.lit("")).alias("found_key"), F.coalesce("found_version", F.lit(-1)).alias("found_version"))
 
 
@@ -228,7 +228,7 @@ def seek_le_batch(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"{LOG} select version as txn, decode(user_key) as user_key, max(seq) as seq from log where (meta & 64) <> 0 group by version, user_key")
 def pending_last_write(spark: SparkSession, folder: str) -> DataFrame:
     """The last write of each transaction to each key."""
-    rows = entry_log(spark, folder, "user_key", "version", "seq", "meta").where(codec.has("meta", codec.TXN)).withColumnRenamed("version", "txn")
+    rows = entry_log(spark, folder, "user_key", "version", "seq", "meta", once=False).where(codec.has("meta", codec.TXN)).withColumnRenamed("version", "txn")
     return txn.last_pending(rows).select("txn", _text("user_key"), "seq")
 
 
@@ -277,7 +277,7 @@ c as (select a.version as txn, b.user_key, b.version as other from w a join w b
 
 def _conflicts(spark: SparkSession, folder: str) -> DataFrame:
     """Transactions that read what they write, a window before they commit."""
-    rows = entry_log(spark, folder, "user_key", "version", "meta").where(codec.has("meta", codec.TXN))
+    rows = entry_log(spark, folder, "user_key", "version", "meta", once=False).where(codec.has("meta", codec.TXN))
     reads = rows.select(F.col("version").alias("txn"), "user_key", (F.col("version") - WINDOW).alias("read_ts"), F.col("version").alias("commit_ts"))
     return txn.conflicts(rows.select("user_key", F.col("version").alias("commit_ts")), reads, WINDOW)
 
@@ -291,7 +291,7 @@ def conflict_pairs(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"{_CONFLICT} select (select count(distinct version) from w) as txns, (select count(distinct txn) from c) as aborted")
 def conflict_aborts(spark: SparkSession, folder: str) -> DataFrame:
     """How many transactions there are and abort."""
-    all_txns = entry_log(spark, folder, "version", "meta").where(codec.has("meta", codec.TXN)).agg(F.countDistinct("version").alias("txns"))
+    all_txns = entry_log(spark, folder, "version", "meta", once=False).where(codec.has("meta", codec.TXN)).agg(F.countDistinct("version").alias("txns"))
     return all_txns.join(F.broadcast(_conflicts(spark, folder).agg(F.count("*").alias("aborted"))), F.lit(True))
 
 
@@ -302,7 +302,7 @@ select txn, decode(user_key) as user_key, seq, commit_ts::bigint as commit_ts fr
 )
 def txn_commit(spark: SparkSession, folder: str) -> DataFrame:
     """Writes of the transactions that don't abort, under their commit versions."""
-    rows = entry_log(spark, folder, "user_key", "version", "seq", "meta").where(codec.has("meta", codec.TXN)).withColumnRenamed("version", "txn")
+    rows = entry_log(spark, folder, "user_key", "version", "seq", "meta", once=False).where(codec.has("meta", codec.TXN)).withColumnRenamed("version", "txn")
     done = txn.committed(rows, _conflicts(spark, folder), READ_TS * 2)
     return done.select("txn", _text("user_key"), "seq", F.col("commit_ts").cast("long").alias("commit_ts"))
 
@@ -405,8 +405,11 @@ def table_info(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"{_TABLES} select table_id, level, row_number() over (partition by level order by case when level = 0 then table_id end, smallest, table_id) as place from t")
 def tables_sorted(spark: SparkSession, folder: str) -> DataFrame:
     """Each table's place in its level."""
-    order = Window.partitionBy("level").orderBy(F.when(F.col("level") == 0, F.col("table_id")), "smallest", "table_id")
-    return manifest.tables(table(spark, folder, "table_info")).select("table_id", "level", F.row_number().over(order).cast("long").alias("place"))
+    rows = manifest.tables(table(spark, folder, "table_info")).select("table_id", "level", "smallest")
+    order = [F.col("level"), F.when(F.col("level") == 0, F.col("table_id")), F.col("smallest"), F.col("table_id")]
+    placed = ranges.numbered(rows, order, "_place", 1)
+    first = placed.groupBy("level").agg(F.min("_place").alias("_first"))
+    return placed.join(first, "level").select("table_id", "level", (F.col("_place") - F.col("_first") + 1).alias("place"))
 
 
 @query(f"{_TABLES} select level, count(*) as n_tables, sum(key_count)::bigint as key_count, sum(on_disk_size)::bigint as on_disk_size, max(max_version) as max_version, max(table_id) + 1 as next_id from t group by level")
@@ -427,7 +430,7 @@ def level_overlap_check(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"{LOG} select greatest((select coalesce(max(version), 0) from log), (select coalesce(max(max_version), 0) from table_info))::bigint as max_version")
 def max_version(spark: SparkSession, folder: str) -> DataFrame:
     """The highest version in memory and in tables."""
-    both = entry_log(spark, folder, "version").unionByName(table(spark, folder, "table_info").select(F.col("max_version").alias("version")))
+    both = entry_log(spark, folder, "version", once=False).unionByName(table(spark, folder, "table_info").select(F.col("max_version").alias("version")))
     return both.agg(F.coalesce(F.max("version"), F.lit(0)).alias("max_version"))
 
 
@@ -516,7 +519,7 @@ def compaction_retain_n(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"{LOG} select decode(user_key) as user_key, version, seq from ({_newest()}) where {_LIVE}")
 def drop_tombstones(spark: SparkSession, folder: str) -> DataFrame:
     """What a compaction to the lowest level keeps."""
-    return mvcc.compacted_to_bottom(entry_log(spark, folder, "user_key", "version", "seq", "meta", "expires_at"), NOW).select(_text("user_key"), "version", "seq")
+    return mvcc.compacted_to_bottom(entry_log(spark, folder, "user_key", "version", "seq", "meta", "expires_at", once=False), NOW).select(_text("user_key"), "version", "seq")
 
 
 @query(f"{LOG}, d as (select user_key, max(version) as cut from log where (meta & 4) <> 0 group by user_key) select decode(l.user_key) as user_key, version, seq from log l left join d using (user_key) where cut is null or version >= cut")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.codec import DELETE, FIN_TXN, TXN
@@ -11,25 +11,29 @@ from tidemark.sources.tables import has_key, table
 COLUMNS = ("user_key", "version", "value", "meta", "user_meta", "expires_at", "fid", "log_offset", "seq", "table_id")
 
 
-def entries(raw: DataFrame, *columns: str) -> DataFrame:
+def entries(raw: DataFrame, *columns: str, once: bool = True) -> DataFrame:
     """The writes of an entry log, each once.
 
     Rows without key, version or seq are none. Of the rows of one seq, which are the same
     write, the one at the lowest (fid, log_offset) stays. Null value, meta, user_meta and
     expiry are empty and 0. With `columns`, only those are read beside the places.
+    `once=False` leaves copies in, and spares an exchange, for results that one more copy
+    of a write doesn't change. Filters on key or version belong on `raw`: they reach the scan.
     """
     wanted = columns or COLUMNS
-    first = Window.partitionBy("seq").orderBy("fid", "log_offset")
-    need = list(dict.fromkeys([*wanted, "user_key", "version", "seq", "fid", "log_offset"]))
-    rows = raw.select(*need).where(has_key("user_key") & F.col("version").isNotNull() & F.col("seq").isNotNull())
-    rows = rows.withColumn("_copy", F.row_number().over(first)).where("_copy = 1")
+    rows = raw.where(has_key("user_key") & F.col("version").isNotNull() & F.col("seq").isNotNull())
+    if once:
+        first = Window.partitionBy("seq").orderBy("fid", "log_offset")
+        need = list(dict.fromkeys([*wanted, "seq", "fid", "log_offset"]))
+        rows = rows.select(*need).withColumn("_copy", F.row_number().over(first)).where("_copy = 1")
     empty = {"value": F.lit(b""), "meta": F.lit(0), "user_meta": F.lit(0), "expires_at": F.lit(0).cast("long")}
     return rows.select(*[F.coalesce(c, empty[c]).alias(c) if c in empty else c for c in wanted])
 
 
-def entry_log(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    """`entries` of a folder's entry_log."""
-    return entries(table(spark, folder, "entry_log"), *columns)
+def entry_log(spark: SparkSession, folder: str, *columns: str, once: bool = True, where: Column | None = None) -> DataFrame:
+    """`entries` of a folder's entry_log, of those rows that a condition on key or version holds for."""
+    raw = table(spark, folder, "entry_log")
+    return entries(raw if where is None else raw.where(where), *columns, once=once)
 
 
 def event_frames(events: DataFrame) -> DataFrame:
