@@ -57,6 +57,13 @@ def test_against_brute_force(spark):
     ldf = spark.createDataFrame([(k, 1) for k in log], "user_key binary, part int")
     idf = spark.createDataFrame([(*r, True) for r in incoming], "incoming_id long, user_key binary, maybe boolean")
     assert rows(seen.repeated_records(ldf, idf)) == brute(log, incoming)
+    placed = spark.createDataFrame([(k, rnd.choice([None, 1, 2, 3, 4])) for k in log], "user_key binary, table_id long")
+    info = spark.createDataFrame([(1, True), (1, True), (2, False), (3, None), (None, True)], "table_id long, has_bloom_filter boolean")
+    assert rows(seen.repeated_records(placed, idf, info)) == brute(log, incoming)
+    both = {r.key: (r.sealed, r.open) for r in seen.known_keys(placed, "user_key", info).collect()}
+    assert both[b"hot"] == (True, True) and len(both) == len({k for k in log if k})
+    total = seen.wrong_rate(seen.seen_before(placed, idf, info)).first()
+    assert total.wrong <= 1 and total.new_keys >= total.wrong
     answers = seen.seen_before(ldf, idf, keys_a_partition=50)
     total = seen.wrong_rate(answers).first()
     assert total.keys == answers.count() and total.wrong <= 1

@@ -15,14 +15,22 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return topn.top_n(log, "user_key", "version", "seq", 3).select(F.col("user_key").cast("string").alias("user_key"), "seq")
 
 
+def _key_tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return (
+        table(spark, folder, "entry_log", "user_key", "table_id"),
+        table(spark, folder, "incoming_keys", "incoming_id", "user_key"),
+        table(spark, folder, "table_info", "table_id", "has_bloom_filter"),
+    )
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """The incoming records whose key occurred before."""
-    return seen.repeated_records(table(spark, folder, "entry_log", "user_key"), table(spark, folder, "incoming_keys", "incoming_id", "user_key"))
+    return seen.repeated_records(*_key_tables(spark, folder))
 
 
 def p4_wrong_rate(spark: SparkSession, folder: str) -> DataFrame:
     """How often the fingerprints take a new key for one of the log."""
-    return seen.wrong_rate(seen.seen_before(table(spark, folder, "entry_log", "user_key"), table(spark, folder, "incoming_keys", "incoming_id", "user_key")))
+    return seen.wrong_rate(seen.seen_before(*_key_tables(spark, folder)))
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:

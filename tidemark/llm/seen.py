@@ -135,42 +135,64 @@ def seal(keys: DataFrame, parts: int) -> DataFrame:
     return _placed(keys, parts).select("part", "h1", "h2").groupBy("part").applyInArrow(_sealed, _INDEX)
 
 
-def seen_before(log: DataFrame, incoming: DataFrame, key: str = "user_key", ident: str = "incoming_id", keys_a_partition: int = KEYS_A_PARTITION) -> DataFrame:
-    """(key, first_id, maybe, seen): each distinct incoming key, the smallest id it came with, what the
-    fingerprints say of it (`maybe`: in the log) and the truth (`seen`).
+#: A list of tables up to this many rows (a long each) is broadcast; a longer one is shuffled.
+BROADCAST_TABLES = 1_000_000
 
-    Null and empty keys are left out on both sides; a null id sorts after all others. Copies
+
+def known_keys(log: DataFrame, key: str, tables: DataFrame | None) -> DataFrame:
+    """(key, sealed, open): each distinct key of the log; whether it lies in a table with a filter, and whether elsewhere.
+
+    Without `tables` all keys are sealed. A table has a filter if a row of it says so;
+    null, false or no row at all is none, whatever the sizes say. Rows of no table are in
+    memory and have none either.
+    """
+    rows = log.where(has_key(key)).select(F.col(key).alias("key"), *([] if tables is None else ["table_id"]))
+    if tables is None:
+        return rows.distinct().select("key", F.lit(True).alias("sealed"), F.lit(False).alias("open"))
+    filtered = tables.where("has_bloom_filter and table_id is not null").select("table_id").distinct().withColumn("_has", F.lit(True))
+    filtered = F.broadcast(filtered) if tables.count() <= BROADCAST_TABLES else filtered
+    # distinct first: a key of many rows meets the tables once for each of its tables
+    placed = rows.distinct().join(filtered, "table_id", "left")
+    return placed.groupBy("key").agg(F.bool_or(F.col("_has").isNotNull()).alias("sealed"), F.bool_or(F.col("_has").isNull()).alias("open"))
+
+
+def seen_before(log: DataFrame, incoming: DataFrame, tables: DataFrame | None = None, key: str = "user_key", ident: str = "incoming_id", keys_a_partition: int = KEYS_A_PARTITION) -> DataFrame:
+    """(key, first_id, maybe, sealed, seen): each distinct incoming key, the smallest id it came with, what the
+    fingerprints say of it (`maybe`: in a sealed table), whether it is in one, and whether it is in the log at all.
+
+    Null and empty keys are left out on both sides, and so are records without an id. Copies
     of a record have one id. Empty tables give no keys or none seen.
 
-    The log's distinct keys are hashed into partitions of about `keys_a_partition` keys, by
-    a bound that counts rows, so none grows with the log; the index of a partition meets
-    only the incoming keys of the same partition. Keys are reduced to distinct ones before
-    every exchange, so no hot key weighs more than another. What the fingerprints take
-    for seen is then compared with the keys themselves, which shows the rate of wrong
-    answers; what they take for new is new.
+    Keys of tables with a filter are sealed: hashed into partitions of about
+    `keys_a_partition` keys, by a bound that counts rows, so none grows with the log; the
+    index of a partition meets only the incoming keys of the same partition. Keys of other
+    tables and of memory are compared as they are, and so is what the fingerprints take for
+    seen, which shows the rate of wrong answers; the rest is new. Keys are reduced to
+    distinct ones before every exchange, so no hot key weighs more than another.
     """
-    known = log.where(has_key(key)).select(F.col(key).alias("key")).distinct()
+    known = known_keys(log, key, tables)
     parts = max(1, math.ceil(log.count() / keys_a_partition))
     first = incoming.where(has_key(key) & F.col(ident).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(ident).alias("first_id"))
     probes = _placed(first, parts).groupBy("part")
-    answered = probes.cogroup(seal(known, parts).groupBy("part")).applyInArrow(_probed, "key binary, first_id long, maybe boolean")
-    old = known.withColumn("seen", F.lit(True))
-    return answered.join(old, (answered["key"] == old["key"]) & answered["maybe"], "left").select(answered["key"], "first_id", "maybe", F.coalesce("seen", F.lit(False)).alias("seen"))
+    answered = probes.cogroup(seal(known.where("sealed"), parts).groupBy("part")).applyInArrow(_probed, "key binary, first_id long, maybe boolean")
+    k = known.select(F.col("key").alias("_key"), F.col("sealed").alias("_sealed"), F.col("open").alias("_open"))
+    met = answered.join(k, (F.col("key") == F.col("_key")) & (F.col("maybe") | F.col("_open")), "left")
+    return met.select("key", "first_id", "maybe", F.coalesce("_sealed", F.lit(False)).alias("sealed"), F.col("_key").isNotNull().alias("seen"))
 
 
-def repeated_records(log: DataFrame, incoming: DataFrame, key: str = "user_key", ident: str = "incoming_id") -> DataFrame:
+def repeated_records(log: DataFrame, incoming: DataFrame, tables: DataFrame | None = None, key: str = "user_key", ident: str = "incoming_id") -> DataFrame:
     """(ident): the incoming records whose key the log has or an earlier incoming record had.
 
     All but the first record of each key that is new: those are taken out by id, which
     spreads evenly however often a key comes.
     """
-    fresh = seen_before(log, incoming, key, ident).where(~F.col("seen")).select(F.col("first_id").alias(ident))
+    fresh = seen_before(log, incoming, tables, key, ident).where(~F.col("seen")).select(F.col("first_id").alias(ident))
     ids = incoming.where(has_key(key) & F.col(ident).isNotNull()).select(ident).distinct()
     return ids.join(fresh, ident, "left_anti")
 
 
 def wrong_rate(answers: DataFrame) -> DataFrame:
-    """One row: distinct incoming keys, those new to the log, wrong answers among them, their rate, missed keys."""
-    new, wrong = (~F.col("seen")).cast("long"), (F.col("maybe") & ~F.col("seen")).cast("long")
+    """One row: distinct incoming keys, those in no sealed table, wrong answers among them, their rate."""
+    new, wrong = (~F.col("sealed")).cast("long"), (F.col("maybe") & ~F.col("sealed")).cast("long")
     total = answers.agg(F.count("*").alias("keys"), F.coalesce(F.sum(new), F.lit(0)).alias("new_keys"), F.coalesce(F.sum(wrong), F.lit(0)).alias("wrong"))
     return total.withColumn("wrong_rate", F.when(F.col("new_keys") > 0, F.col("wrong") / F.col("new_keys")).otherwise(F.lit(0.0)))
