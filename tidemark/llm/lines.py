@@ -11,6 +11,8 @@ import re
 #: Fewer words than these without a frequent one are a greeting, a name or a caption, not junk.
 FEW_WORDS = 9
 FEW_SIGNS = 12
+#: In a paragraph of fewer words a single frequent one tells that it is spoken.
+SHORT = 24
 LEAST_COMMON = 0.1
 LEAST_KANA = 0.12
 LONGEST_SENTENCE = 20
@@ -28,7 +30,7 @@ _GAP = re.compile(r"\s{2,}|\t")
 _PADDED = re.compile(r"\S\s{3,}$|^\s{6,}\S")
 _NAME = re.compile(r"\s*[^\W\d_][\w -]{0,30}:\s*$")
 _NUMBER = re.compile(r"[\"'(]?[-+]?\d[\d.,:/-]*%?[\"')]?$")
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+_WORD = re.compile(r"\b[^\W\d_]+(?:['’][^\W\d_]+)*\b")
 _SIGN = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
 _KANA = re.compile(r"[぀-ゟ]")
 _ASCII_RUN = re.compile(r"[!-~]{30,}")
@@ -109,7 +111,7 @@ def idle(block: list[int]) -> int:
     if signs >= FEW_SIGNS and signs >= words:
         return chars if kana < LEAST_KANA * signs else 0
     if words >= FEW_WORDS:
-        spoken = common >= LEAST_COMMON * words or (stops and 3 * stops <= words <= LONGEST_SENTENCE * stops and words > 3 * lines)
+        spoken = common >= LEAST_COMMON * words or (common and words < SHORT) or (stops and 3 * stops <= words <= LONGEST_SENTENCE * stops and words > 3 * lines)
         return 0 if spoken else chars
     return 0
 
@@ -134,11 +136,11 @@ def count(piece: str, common: frozenset[str]) -> Counts:
         hits = sum(w in common for w in map(str.lower, words))
         signs = len(_SIGN.findall(line)) if n != len(line.encode("utf-8", "replace")) else 0
         kana = len(_KANA.findall(line)) if signs else 0
-        sentence = len(words) >= 6 and hits >= 2 and 5 * hits >= len(words) or kana >= 6 and 5 * kana >= signs
-        if sentence and 10 * len(_MANGLED.findall(line)) > n:
-            sentence = False
         # "no" is a cell of many tables
         rare = hits - sum(w in ("no", "No", "NO") for w in words) if hits else 0
+        sentence = len(words) >= 6 and rare >= 2 and 5 * hits >= len(words) or kana >= 6 and 5 * kana >= signs
+        if sentence and 10 * len(_MANGLED.findall(line)) > n:
+            sentence = False
         listed = rare == 0 and len(words) <= 3 and (line[:4] == "    " or (_NAME.match(line) and lines[at + 1 : at + 2] and lines[at + 1][:2] == "  "))
         if _MACHINE.match(line) or not sentence and (listed or _ITEM.match(line) or _KEYED.match(line) or _cells(line, rare) or _junk(line, words) or (hits == 0 and _PAIR.match(line))):
             out.junk += n

@@ -61,7 +61,7 @@ def _body_counts(docs: DataFrame, ident: str, text: str, common: frozenset[str],
 
 def _idle(block: Column) -> Column:
     """lines.idle as a column expression."""
-    spoken = (block["common"] >= lines.LEAST_COMMON * block["words"]) | (
+    spoken = (block["common"] >= lines.LEAST_COMMON * block["words"]) | ((block["common"] > 0) & (block["words"] < lines.SHORT)) | (
         (block["stops"] > 0) & (3 * block["stops"] <= block["words"]) & (block["words"] <= lines.LONGEST_SENTENCE * block["stops"]) & (block["words"] > 3 * block["lines"])
     )
     asian = (block["signs"] >= lines.FEW_SIGNS) & (block["signs"] >= block["words"])
