@@ -171,3 +171,33 @@ def test_bans(spark):
     keys = spark.createDataFrame([(b"x" + (5).to_bytes(8, "big"),), (b"x" + (5).to_bytes(8, "big") + b"k",), (b"x" + (6).to_bytes(8, "big") + b"k",), (None,)], "user_key binary")
     assert [r.banned for r in txn.banned(keys.coalesce(1), 1, [5]).collect()] == [False, True, False, False]
     assert [r.banned for r in txn.banned(keys, -1, [5]).collect()] == [False] * 4
+
+
+def test_checksums_by_mode(spark):
+    from tidemark.operators import checksums
+
+    entries = spark.createDataFrame([(1, 0, 0, b"ab"), (1, 0, 2, b"cd"), (1, 1, 0, b"x"), (2, 0, 0, b"y")], "table_id long, block long, begins long, entry binary")
+    blocks = checksums.block_sums(entries)
+    assert {(r.table_id, r.block): bytes(r.data) for r in blocks.collect()} == {(1, 0): b"abcd", (1, 1): b"x", (2, 0): b"y"}
+    tables = checksums.table_sums(blocks)
+    assert all(rows(checksums.broken(blocks, tables, m)) == [] for m in checksums.MODES)
+    spoilt = blocks.selectExpr("table_id", "block", "data", "if(table_id = 1 and block = 1, crc + 1, crc) as crc")
+    assert rows(checksums.broken(spoilt, tables, "none")) == [] and rows(checksums.broken(spoilt, tables, "block")) == [(1, 1)]
+    assert rows(checksums.broken(spoilt, tables, "table")) == [(1, None)] and len(rows(checksums.broken(spoilt, tables, "both"))) == 2
+    assert rows(checksums.broken(blocks.where("block = 0"), tables, "table")) == [(1, None)]
+    with pytest.raises(ValueError):
+        checksums.broken(blocks, tables, "some")
+
+
+def test_order_by_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import ranges
+
+    df = spark.createDataFrame([(i % 3, i) for i in range(200)], "g long, i long")
+    order = [F.col("g"), F.col("i")]
+    want = sorted((i % 3, i) for i in range(200))
+    assert [r[2] for r in sorted(map(tuple, ranges.numbered(df, order, "n", 5).collect()))] == list(range(5, 205))
+    got = {(r.g, r.i): r._prior and r._prior.i for r in ranges.before(df, order, F.struct("i")).collect()}
+    assert got == {p: None if k == 0 else want[k - 1][1] for k, p in enumerate(want)}
+    assert ranges.before(df.limit(0), order, F.struct("i")).count() == 0 and ranges.numbered(df.limit(0), order, "n").count() == 0

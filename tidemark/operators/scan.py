@@ -91,3 +91,15 @@ def seek_many(probes: DataFrame, log: DataFrame) -> DataFrame:
 def seek_many_for_prev(probes: DataFrame, log: DataFrame) -> DataFrame:
     """(probe, found_key, found_version): the last entry at or before each probe; nulls if none."""
     return _sought(probes, log, False)
+
+
+def sources(*logs: DataFrame) -> DataFrame:
+    """One log of several sources, such as memtables and tables: what a merging iterator would walk.
+
+    Columns that a source lacks are null. The merge itself is the aggregate or window that
+    reads it, so nothing is sorted for its own sake.
+    """
+    both = logs[0]
+    for log in logs[1:]:
+        both = both.unionByName(log, allowMissingColumns=True)
+    return both

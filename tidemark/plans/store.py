@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import codec
-from tidemark.operators import bloom, greedy, manifest, mvcc, ranges, scan, txn, vlog, wal, watermark
+from tidemark.operators import bloom, checksums, greedy, manifest, mvcc, ranges, scan, txn, vlog, wal, watermark
 from tidemark.sources.log import discard_log, entry_log, event_frames, mark_log
 from tidemark.sources.tables import has_key, table
 
@@ -77,6 +77,14 @@ def snapshot_at_ts(spark: SparkSession, folder: str) -> DataFrame:
     return mvcc.snapshot(log, NOW, READ_TS).select(_text("user_key"), "version", F.hex("value").alias("value"), "expires_at")
 
 
+@query(f"{LOG} select decode(user_key) as user_key, version, table_id is null as in_memory from ({_newest()}) where {_LIVE}")
+def merge_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Visible entries of memory and tables together, in order, and where each was."""
+    log = entry_log(spark, folder, "user_key", "version", "seq", "meta", "expires_at", "table_id", once=False)
+    both = scan.sources(log.where("table_id is null").drop("table_id").withColumn("in_memory", F.lit(True)), log.where("table_id is not null").withColumn("in_memory", F.lit(False)))
+    return scan.scan(mvcc.snapshot(both, NOW)).select(_text("user_key"), "version", "in_memory")
+
+
 @query(f"{LOG} select coalesce(max(version), 0)::bigint as read_ts from log")
 def read_version(spark: SparkSession, folder: str) -> DataFrame:
     """The version a new transaction reads at."""
@@ -496,6 +504,13 @@ def block_index(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("bytes", F.col("data_bytes") + F.col("entries") * 4 + 4 + 8 + 4)
 
 
+@query()
+def block_checksums(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of keys and checksum of each block of each table."""
+    rows = _blocks(spark, folder).select("table_id", "block", "begins", F.col("key").alias("entry"))
+    return checksums.block_sums(rows).select("table_id", "block", F.octet_length("data").alias("bytes"), "crc")
+
+
 _FIRST = f"""{LOG}, b as (select table_id, min(user_key) as base from log where table_id is not null group by table_id),
 x as (select l.seq, user_key as k, base, list_filter(range(1, least(octet_length(user_key), octet_length(base)) + 1), lambda i: substr(hex(user_key), 2 * i - 1, 2) <> substr(hex(base), 2 * i - 1, 2)) as d,
   least(octet_length(user_key), octet_length(base)) as n from log l join b using (table_id))"""
