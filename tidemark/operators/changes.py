@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.tables import BLANKS
+
 
 def _images(df: DataFrame, keys: list[str], deleted: str, chunk: list[str], tombstones: bool) -> DataFrame:
     """The images that remain of each chunk of a key's changes.
@@ -75,7 +77,7 @@ def table_state(log: DataFrame, salts: int = 8) -> DataFrame:
 
     `op` is CREATE or DELETE in any case, padded or not, or 0 or 1; any other is no change.
     """
-    op = F.upper(F.trim("op"))
+    op = F.upper(F.btrim(F.col("op"), F.lit(BLANKS)))
     kind = F.when(op.isin("CREATE", "0"), False).when(op.isin("DELETE", "1"), True)
     real = log.withColumn("_gone", kind).where(F.col("_gone").isNotNull() & F.col("seq").isNotNull())
     state = apply_changes(real, ["table_id"], F.col("seq"), F.col("seq"), F.col("_gone"), salts=salts)

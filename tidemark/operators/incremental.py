@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.sources.tables import has_key
+from tidemark.sources.tables import BLANKS, has_key
 
 #: A table of run ranges up to this many rows (about 60 bytes each) is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 500_000
@@ -17,7 +17,7 @@ def successful_runs(reports: DataFrame) -> DataFrame:
     The last report has the highest `reported_at`; at equal times the greater status text
     counts. Case and padding of the status don't matter. A run with a null bound read nothing.
     """
-    status = F.lower(F.trim("status"))
+    status = F.lower(F.btrim(F.col("status"), F.lit(BLANKS)))
     last = F.max(F.struct("reported_at", status.alias("status"), "stream_id", "since_version", "upto_version", "read_at"))
     return (
         reports.where(F.col("run_id").isNotNull())

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import ranges
+from tidemark.sources.tables import BLANKS
 
 
 def changes(log: DataFrame) -> DataFrame:
     """(seq, table_id, level, key_id, created): each change once; op by name in any case or by number, others are none."""
-    op = F.upper(F.trim("op"))
+    op = F.upper(F.btrim(F.col("op"), F.lit(BLANKS)))
     made = F.when(op.isin("CREATE", "0"), True).when(op.isin("DELETE", "1"), False)
     rows = log.select("seq", "table_id", "level", "key_id", made.alias("created")).where("created is not null and seq is not null and table_id is not null")
     one = Window.partitionBy("seq").orderBy("table_id", "level", "key_id")

@@ -14,15 +14,22 @@ def split(log: DataFrame, threshold: int) -> DataFrame:
     return log.withColumn("inline", F.octet_length("value") < threshold)
 
 
-def write(log: DataFrame, threshold: int, limit_bytes: int, limit_entries: int, writer: str = "writer") -> DataFrame:
-    """The value log: rows of (writer, seq, fid, offset, len, ...) for values that aren't inline, without transaction bits.
+def places(log: DataFrame, threshold: int, limit_bytes: int, limit_entries: int, writer: str = "writer") -> DataFrame:
+    """(writer, seq, len, fid, offset) of each value that isn't inline.
 
     Each writer fills its own files in order of seq; `fid` counts them from 1. `len` is the
-    encoded entry with header and checksum.
+    encoded entry with header and checksum. Lengths alone are shuffled, not the values.
     """
+    large = split(log, threshold).where("not inline")
+    lengths = large.select(writer, "seq", entry_bytes(F.col("user_key"), F.col("value"), F.col("expires_at")).cast("long").alias("len"))
+    return greedy.streamed(lengths, writer, ["seq"], ["len"], greedy.value_files(limit_bytes, limit_entries), "fid long, offset long")
+
+
+def write(log: DataFrame, threshold: int, limit_bytes: int, limit_entries: int, writer: str = "writer") -> DataFrame:
+    """The value log: the entries whose values aren't inline at their places, without transaction bits."""
     large = split(log, threshold).where("not inline").drop("inline")
-    large = large.withColumn("meta", F.col("meta").bitwiseAND(~(TXN | FIN_TXN) & 0xFF)).withColumn("len", entry_bytes(F.col("user_key"), F.col("value"), F.col("expires_at")).cast("long"))
-    return greedy.streamed(large, writer, ["seq"], ["len"], greedy.value_files(limit_bytes, limit_entries), "fid long, offset long")
+    large = large.withColumn("meta", F.col("meta").bitwiseAND(~(TXN | FIN_TXN) & 0xFF))
+    return large.join(places(log, threshold, limit_bytes, limit_entries, writer), [writer, "seq"])
 
 
 def with_pointers(log: DataFrame, written: DataFrame, writer: str = "writer") -> DataFrame:

@@ -687,10 +687,6 @@ def vlog_split(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("inline").agg(F.count("*").alias("entries"), F.sum(F.octet_length("value")).cast("long").alias("bytes"))
 
 
-def _written(spark: SparkSession, folder: str) -> DataFrame:
-    return vlog.write(_documents(spark, folder), TEXT_THRESHOLD, FILE_BYTES, FILE_ENTRIES)
-
-
 @query(
     f"""with recursive d as (select doc_id % 64 as writer, doc_id as seq, coalesce(strlen(text), 0) as n from documents where doc_id is not null),
 s as (select writer, seq, {_LEN} as len, row_number() over (partition by writer order by seq) as i from d where n >= {TEXT_THRESHOLD}),
@@ -702,14 +698,15 @@ select writer, seq, fid::bigint as fid, off::bigint as "offset", len::bigint as
 )
 def vlog_offsets(spark: SparkSession, folder: str) -> DataFrame:
     """File and offset of each large value."""
-    return _written(spark, folder).select("writer", "seq", "fid", "offset", "len")
+    return vlog.places(_documents(spark, folder), TEXT_THRESHOLD, FILE_BYTES, FILE_ENTRIES).select("writer", "seq", "fid", "offset", "len")
 
 
 @query("select doc_id as seq, md5(coalesce(text, '')) as value from documents where doc_id is not null")
 def vlog_deref(spark: SparkSession, folder: str) -> DataFrame:
     """Values read back through their pointers."""
-    written = _written(spark, folder)
-    entries = vlog.with_pointers(_documents(spark, folder), written)
+    docs = _documents(spark, folder)
+    entries = vlog.with_pointers(docs, vlog.places(docs, TEXT_THRESHOLD, FILE_BYTES, FILE_ENTRIES))
+    written = vlog.write(docs, TEXT_THRESHOLD, FILE_BYTES, FILE_ENTRIES)
     return vlog.dereferenced(entries, written).select("seq", F.md5("value").alias("value"))
 
 

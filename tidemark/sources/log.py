@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.codec import DELETE, FIN_TXN, TXN
-from tidemark.sources.tables import has_key, table
+from tidemark.sources.tables import BLANKS, has_key, table
 
 COLUMNS = ("user_key", "version", "value", "meta", "user_meta", "expires_at", "fid", "log_offset", "seq", "table_id")
 
@@ -66,6 +66,6 @@ def discard_log(log: DataFrame) -> DataFrame:
 
 def mark_log(reports: DataFrame) -> DataFrame:
     """(name, idx, kind): runs as marks, begun once reported running, done once reported otherwise; one of each kind a run."""
-    running = F.lower(F.trim("status")) == "running"
+    running = F.lower(F.btrim(F.col("status"), F.lit(BLANKS))) == "running"
     marks = reports.where("run_id is not null and stream_id is not null and status is not null")
     return marks.select(F.col("stream_id").alias("name"), F.col("run_id").alias("idx"), F.when(running, "begin").otherwise("done").alias("kind")).distinct()

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: What may stand around a word such as a status or an operation.
+BLANKS = " \t\r\n"
+
+
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     """One table of `folder`; with `columns`, only those are read."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
