@@ -49,3 +49,17 @@ def test_slices_keep_rows_and_order():
     out = list(batches.sliced(iter([batch, batch.slice(0, 0)])))
     assert [i for b in out for i in b.column(0).to_pylist()] == list(range(2000))
     assert all(b.num_rows <= batches.ROWS and (b.num_rows == 1 or b.column(1).nbytes <= batches.BYTES) for b in out)
+
+
+def test_long_runs_of_blanks(spark):
+    import random
+
+    own = tokens.encoder(tokens.read_ranks())
+    rnd = random.Random(1)
+    for _ in range(300):
+        text = "".join(rnd.choice([" ", "\n", "\u3000", "\x1c", "a", "bc", "'s", "7"]) * rnd.randrange(1, 9) for _ in range(rnd.randrange(8)))
+        assert tokens.encode_text(own, text, 3) == own.encode_ordinary(text)
+    docs = spark.createDataFrame([(1, " " * 1_200_000 + "x"), (2, "\n" * 1_200_000)], "doc_id long, text string")
+    sizes = dict(rows(tokens.count_tokens(docs)))
+    assert sizes[1] > 1 and sizes[2] > 1
+    assert dict(rows(tokens.decode(tokens.encode(docs)))) == {r.doc_id: r.text for r in docs.collect()}

@@ -16,7 +16,7 @@ import re
 _HEADER = re.compile(r"^[!-9;-~]+[ \t]*:", re.ASCII)
 _BOUNDARY = re.compile(r'boundary\s*=\s*(?:"([^"\n]+)"|([^\s;"]+))', re.I)
 _CHARSET = re.compile(r'charset\s*=\s*"?([\w.:-]+)', re.I)
-_TAG = re.compile(r"<[^>]*>")
+_TAG = re.compile(r"<[^<>]*>")
 _BREAK = re.compile(r"<br\s*/?>\n?|</p>\n?", re.I)
 _RULE = re.compile(r"^\s*([*=_#~+-])(?:[ ]?[*=_#~+-]){3,}\s*$")
 _MARK = re.compile(r"^\s*-{2,}\s*(?:original message|forwarded message|original-nachricht|ursprüngliche nachricht|weitergeleitete nachricht|message d'origine|message transféré|mensaje original|mensaje reenviado|исходное сообщение|пересылаемое сообщение|転送メッセージ)\s*-{2,}\s*$", re.I)
@@ -40,8 +40,8 @@ _QUOTE = (">", "|")
 
 
 def _head(text: str, at: int) -> tuple[dict[str, str], int]:
-    """The headers that begin at `at` and where what follows them begins."""
-    found: dict[str, str] = {}
+    """The headers that begin at `at`, by lower-case name, and where what follows them begins."""
+    found: dict[str, list[str]] = {}
     name = ""
     n = len(text)
     while at < n:
@@ -49,19 +49,20 @@ def _head(text: str, at: int) -> tuple[dict[str, str], int]:
         end = n if end < 0 else end
         line = text[at:end]
         if not line.strip():
-            return found, min(end + 1, n)
+            at = min(end + 1, n)
+            break
         if line[0] in " \t" and name:
-            found[name] += " " + line.strip()
+            found[name].append(line.strip())
         elif _HEADER.match(line):
             name, _, value = line.partition(":")
             name = name.strip().lower()
-            found[name] = value.strip()
+            found[name] = [value.strip()]
         elif not found and line.startswith("From "):
             name = ""
         else:
-            return found, at
+            break
         at = end + 1
-    return found, n
+    return {k: " ".join(v) for k, v in found.items()}, min(at, n)
 
 
 def _decoded(body: str, head: dict[str, str]) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,6 +42,31 @@ def encoder(raw: bytes):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=_ranks(raw), special_tokens={})
 
 
+#: A run of blanks from this length on is split off before the pattern sees it, which would run out of stack.
+LONG_BLANK = 100_000
+#: What the pattern takes for white space.
+_BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+
+
+def encode_text(own, text: str, long_blank: int = LONG_BLANK) -> list[int]:
+    """The ids of one text of any length.
+
+    Of a run of blanks before something else the pattern takes all but the last as a word,
+    of one at the end all: a long run is that word, and the texts around it are encoded by
+    themselves.
+    """
+    if len(text) < long_blank:
+        return own.encode_ordinary(text)
+    out: list[int] = []
+    at = 0
+    for run in re.finditer(f"[{_BLANK}]{{{long_blank},}}", text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        out += own.encode_ordinary(text[at : run.start()])
+        out += own._encode_single_piece(text[run.start() : end])
+        at = end
+    return out + own.encode_ordinary(text[at:])
+
+
 def _texts(batch: pa.RecordBatch) -> list[str]:
     return [t or "" for t in batch.column(1).to_pylist()]
 
@@ -60,7 +86,7 @@ def encode(docs: DataFrame, ident: str = "doc_id", text: str = "text", path: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(shared.value)
         for batch in sliced(batches):
-            ids = pa.array([own.encode_ordinary(t) for t in _texts(batch)], pa.list_(pa.int32()))
+            ids = pa.array([encode_text(own, t) for t in _texts(batch)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], [ident, "ids"])
 
     return rows.mapInArrow(run, f"`{ident}` {kind}, ids array<int>")
@@ -75,7 +101,7 @@ def count_tokens(docs: DataFrame, ident: str = "doc_id", text: str = "text", pat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(shared.value)
         for batch in sliced(batches):
-            sizes = pa.array([len(own.encode_ordinary(t)) for t in _texts(batch)], pa.int64())
+            sizes = pa.array([len(encode_text(own, t)) for t in _texts(batch)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes], [ident, "n_tokens"])
 
     return rows.mapInArrow(run, f"`{ident}` {kind}, n_tokens long")
