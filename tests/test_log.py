@@ -153,8 +153,8 @@ def test_transactions(spark):
 def test_conflicts_against_brute_force(spark):
     rnd = random.Random(7)
     commits = sorted({(rnd.choice([b"a", b"b"]), rnd.randrange(500)) for _ in range(120)})
-    reads = [(i, k, ts - rnd.randrange(1, 50), ts) for i, (k, ts) in enumerate(commits)]
-    got = {r[0]: r[1:] for r in rows(txn.conflicts(spark.createDataFrame(commits, "user_key binary, commit_ts long"), spark.createDataFrame(reads, "txn long, user_key binary, read_ts long, commit_ts long"), 50))}
+    reads = [(i, k, ts - rnd.randrange(1, 200), ts) for i, (k, ts) in enumerate(commits)]
+    got = {r[0]: r[1:] for r in rows(txn.conflicts(spark.createDataFrame(commits, "user_key binary, commit_ts long"), spark.createDataFrame(reads, "txn long, user_key binary, read_ts long, commit_ts long"), spans=7))}
     for i, k, lo, hi in reads:
         hit = [t for k2, t in commits if k2 == k and lo < t < hi]
         assert got.get(i) == ((len(hit), min(hit)) if hit else None)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.sources.tables import BLANKS
+from tidemark.sources.tables import BLANKS, partitions
 
 
 def _images(df: DataFrame, keys: list[str], deleted: str, chunk: list[str], tombstones: bool) -> DataFrame:
@@ -38,7 +38,7 @@ def _images(df: DataFrame, keys: list[str], deleted: str, chunk: list[str], tomb
     )
 
 
-def apply_changes(changes: DataFrame, keys: list[str], version: Column, seq: Column, deleted: Column, base: DataFrame | None = None, salts: int = 64) -> DataFrame:
+def apply_changes(changes: DataFrame, keys: list[str], version: Column, seq: Column, deleted: Column, base: DataFrame | None = None, salts: int | None = None) -> DataFrame:
     """State after all changes: one row (keys, seq) for each key that exists.
 
     Changes may repeat and come in any order. They are ordered by `version`, then `seq`
@@ -47,9 +47,11 @@ def apply_changes(changes: DataFrame, keys: list[str], version: Column, seq: Col
     the state before them; it takes part as earlier images. Empty input gives no rows.
 
     Two steps, as sums are associative: first within (key, salt of the seq), so that a key
-    with a third of all rows is spread over `salts` tasks and copies, which share a seq,
-    meet in one of them; then over the at most `salts` images that each key has left.
+    with a third of all rows is spread over `salts` tasks (by default the shuffle's width, 64 at
+    least) and copies, which share a seq, meet in one of them; then over the at most `salts`
+    images that each key has left.
     """
+    salts = salts or max(64, partitions(changes.sparkSession))
     rows = changes.select(*keys, version.alias("_version"), seq.alias("_seq"), F.coalesce(deleted, F.lit(False)).alias("_deleted"))
     if base is not None:
         rows = rows.unionByName(base.select(*keys, F.col("version").alias("_version"), F.col("seq").alias("_seq"), F.lit(False).alias("_deleted")))
@@ -60,7 +62,7 @@ def apply_changes(changes: DataFrame, keys: list[str], version: Column, seq: Col
     return _images(parts.drop("_salt"), keys, "_deleted", [], tombstones=False).select(*keys, F.col("_seq").alias("seq"))
 
 
-def kv_state(feed: DataFrame, salts: int = 64) -> DataFrame:
+def kv_state(feed: DataFrame, salts: int | None = None) -> DataFrame:
     """Keys that exist after a feed of KV messages: ('kv', key as text, seq of the last change).
 
     A message with bit DELETE in its one-byte `meta` deletes; null or empty meta has no bit.

@@ -35,8 +35,9 @@ def errors(log: DataFrame) -> DataFrame:
 
 def counts(log: DataFrame) -> DataFrame:
     """One row: creations, deletions, tables that exist."""
-    total = changes(log).agg(F.count_if("created").alias("creations"), F.count_if(~F.col("created")).alias("deletions"))
-    return total.join(F.broadcast(state(log).agg(F.count("*").alias("tables"))), how="inner", on=F.lit(True))
+    last = Window.partitionBy("table_id").orderBy(F.desc("seq"))
+    rows = changes(log).withColumn("_rank", F.row_number().over(last))
+    return rows.agg(F.count_if("created").alias("creations"), F.count_if(~F.col("created")).alias("deletions"), F.count_if(F.col("created") & (F.col("_rank") == 1)).alias("tables"))
 
 
 def tables(info: DataFrame) -> DataFrame:

@@ -69,20 +69,41 @@ def too_big(sized: DataFrame, txn: str = "txn") -> DataFrame:
     return sized.where("too_big").groupBy(txn).agg(F.min(F.struct("seq", "size")).alias("w")).select(txn, "w.seq", "w.size")
 
 
-def conflicts(writes: DataFrame, reads: DataFrame, window: int) -> DataFrame:
+def conflicts(writes: DataFrame, reads: DataFrame, spans: int = 4096) -> DataFrame:
     """(txn, n, first_ts): transactions that must abort, the number of commits that got between and the first of them.
 
-    `writes` has (user_key, commit_ts); `reads` (txn, user_key, read_ts, commit_ts), with
-    commit_ts - read_ts at most `window`. A read conflicts with a commit of the same key
-    with read_ts < commit_ts of the write < commit_ts of the reader; keys are compared, not
-    hashes. Both sides meet by (key, range of `window` timestamps), so a hot key is spread
-    over its ranges and no two distant rows of it ever meet.
+    `writes` has (user_key, commit_ts); `reads` (txn, user_key, read_ts, commit_ts). A read
+    conflicts with a commit of the same key with read_ts < commit_ts of the write <
+    commit_ts of the reader; keys are compared, not hashes. Rows with nulls don't count.
+
+    No pair is made: the commits of a key up to the reader's two timestamps are counted,
+    and the difference is the answer; the first one is that of the next number. Counts run
+    within (key, one of `spans` ranges of timestamps), so a hot key is spread, and go on
+    from the sums of its earlier ranges.
     """
-    left = reads.where("read_ts is not null and commit_ts is not null and user_key is not null").distinct()
-    left = left.withColumn("_slot", F.explode(F.array_distinct(F.array(F.floor((F.col("read_ts") + 1) / window), F.floor((F.col("commit_ts") - 1) / window)))))
-    right = writes.select("user_key", F.col("commit_ts").alias("_other")).distinct().withColumn("_slot", F.floor(F.col("_other") / window))
-    met = left.join(right, ["user_key", "_slot"]).where("_other > read_ts and _other < commit_ts")
-    return met.groupBy("txn").agg(F.count("*").alias("n"), F.min("_other").alias("first_ts"))
+    low, high = writes.agg(F.min("commit_ts"), F.max("commit_ts")).first()
+    low = low or 0
+    span = max(1, ((high or 0) - low) // spans)
+    commits = writes.where("user_key is not null and commit_ts is not null").select("user_key", F.col("commit_ts").alias("ts")).distinct()
+    asked = reads.where("txn is not null and user_key is not null and read_ts is not null and commit_ts is not null").select("txn", "user_key", "read_ts", "commit_ts").distinct()
+    nobody = F.lit(None).cast(asked.schema["txn"].dataType).alias("txn")
+    # at one timestamp: the end of a read, a commit, the start of a read
+    rows = (
+        commits.select("user_key", "ts", F.lit(1).alias("kind"), nobody, F.lit(None).cast("long").alias("read_ts"), F.lit(None).cast("long").alias("commit_ts"))
+        .unionByName(asked.select("user_key", F.col("commit_ts").alias("ts"), F.lit(0).alias("kind"), "txn", "read_ts", "commit_ts"))
+        .unionByName(asked.select("user_key", F.col("read_ts").alias("ts"), F.lit(2).alias("kind"), "txn", "read_ts", "commit_ts"))
+        .withColumn("_slot", F.least(F.greatest(F.floor((F.col("ts") - low) / span), F.lit(-1)), F.lit(spans + 1)))
+    )
+    one = (F.col("kind") == 1).cast("long")
+    here = F.sum(one).over(Window.partitionBy("user_key", "_slot").orderBy("ts", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    before = Window.partitionBy("user_key").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = rows.groupBy("user_key", "_slot").agg(F.sum(one).alias("_n")).select("user_key", "_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    counted = rows.withColumn("_here", here).join(earlier, ["user_key", "_slot"]).withColumn("_count", F.col("_here") + F.col("_before"))
+    spans_of = counted.where("kind <> 1").groupBy("txn", "user_key", "read_ts", "commit_ts")
+    between = spans_of.agg(F.max(F.when(F.col("kind") == 2, F.col("_count"))).alias("_start"), F.max(F.when(F.col("kind") == 0, F.col("_count"))).alias("_end"))
+    between = between.where("_end > _start").select("txn", "user_key", (F.col("_end") - F.col("_start")).alias("n"), (F.col("_start") + 1).alias("_count"))
+    numbered = counted.where("kind = 1").select("user_key", "_count", F.col("ts").alias("first_ts"))
+    return between.join(numbered, ["user_key", "_count"]).groupBy("txn").agg(F.sum("n").alias("n"), F.min("first_ts").alias("first_ts"))
 
 
 def committed(writes: DataFrame, aborted: DataFrame, next_ts: int, txn: str = "txn") -> DataFrame:

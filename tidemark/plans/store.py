@@ -287,7 +287,7 @@ def _conflicts(spark: SparkSession, folder: str) -> DataFrame:
     """Transactions that read what they write, a window before they commit."""
     rows = entry_log(spark, folder, "user_key", "version", "meta", once=False).where(codec.has("meta", codec.TXN))
     reads = rows.select(F.col("version").alias("txn"), "user_key", (F.col("version") - WINDOW).alias("read_ts"), F.col("version").alias("commit_ts"))
-    return txn.conflicts(rows.select("user_key", F.col("version").alias("commit_ts")), reads, WINDOW)
+    return txn.conflicts(rows.select("user_key", F.col("version").alias("commit_ts")), reads)
 
 
 @query(f"{_CONFLICT} select txn, count(*) as n, min(other) as first_ts from c group by txn")
@@ -299,8 +299,10 @@ def conflict_pairs(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"{_CONFLICT} select (select count(distinct version) from w) as txns, (select count(distinct txn) from c) as aborted")
 def conflict_aborts(spark: SparkSession, folder: str) -> DataFrame:
     """How many transactions there are and abort."""
-    all_txns = entry_log(spark, folder, "version", "meta", once=False).where(codec.has("meta", codec.TXN)).agg(F.countDistinct("version").alias("txns"))
-    return all_txns.join(F.broadcast(_conflicts(spark, folder).agg(F.count("*").alias("aborted"))), F.lit(True))
+    log = entry_log(spark, folder, "version", "meta", once=False).where(codec.has("meta", codec.TXN))
+    each = log.select("version", F.lit(False).alias("aborted")).unionByName(_conflicts(spark, folder).select(F.col("txn").alias("version"), F.lit(True).alias("aborted")))
+    per_txn = each.groupBy("version").agg(F.bool_or("aborted").alias("aborted"))
+    return per_txn.agg(F.count("*").alias("txns"), F.count_if("aborted").alias("aborted"))
 
 
 @query(
