@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.sources.tables import shared_folder
+from tidemark.sources.tables import partitions, shared_folder
 
 #: A larger capacity is measured in units of more than one token, rounded up, so the histogram stays bounded.
 MOST_SIZES = 1 << 15
 #: Items above this share of the capacity are large.
 SMALL = 1 / 4
 GROUPS = 128
-#: Parts that the items of one size are numbered in.
+#: Parts, at least, that the items of one size are numbered in.
 PARTS = 64
 
 
@@ -235,8 +235,8 @@ def pack(sizes: DataFrame, specs: list[tuple[int, int]], groups: int = GROUPS, s
 
     Three small exchanges over (spec, size) counts and item numbers; texts don't move. The
     histogram (at most MOST_SIZES entries a spec) goes to the driver, the plan (at most a
-    few entries a size) to the executors. Items of one size are numbered in PARTS parts, so
-    a size that a third of all texts have is no single task.
+    few entries a size) to the executors. Items of one size are numbered in PARTS parts
+    or the shuffle's width, so a size that a third of all texts have is no single task.
     """
     spark = sizes.sparkSession
     specs = sorted({(int(s), int(c)) for s, c in specs if s is not None and c is not None and c > 0})
@@ -255,7 +255,7 @@ def pack(sizes: DataFrame, specs: list[tuple[int, int]], groups: int = GROUPS, s
     length = F.least(F.col("capacity"), F.col("n") - first)
     held = F.least(F.ceil(length / F.col("unit")), F.floor(F.col("capacity") / F.col("unit")))
     items = pieces.select("spec_id", held.cast("long").alias("size"), "doc_id", "piece", first.alias("first_token"), length.alias("n_tokens"))
-    items = items.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)).cast("int"))
+    items = items.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(max(PARTS, partitions(spark)))).cast("int"))
     counts = items.where("size > 0").groupBy("spec_id", "size", "part").agg(F.count("*").alias("n"))
     earlier = F.coalesce(F.sum("n").over(Window.partitionBy("spec_id", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     histogram: dict[int, dict[int, int]] = {s: {} for s, _ in specs}
