@@ -40,6 +40,15 @@ def test_state_against_brute_force(spark):
     assert rows(changes.kv_state(feed(spark, []))) == []
 
 
+def test_a_change_with_very_many_copies(spark):
+    data = [(b"a", 5, b"", 1, 0, T0)] * 3000 + [(b"a", 4, b"\x01", 2, 0, T0), (b"b", 1, b"\x01", 3, 0, T0)] * 2
+    df = feed(spark, data).repartition(6)
+    assert rows(changes.kv_state(df)) == [("kv", "a", 1)]
+    assert rows(heavy.longest_step(df, fraction=1.0)) == [(b"a", 4, 5)]
+    runs = spark.createDataFrame([(1, 0, 4, 9, T0, "succeeded", T0)], "run_id long, stream_id long, since_version long, upto_version long, read_at timestamp_ntz, status string, reported_at timestamp_ntz")
+    assert rows(incremental.unprocessed(df, runs)) == [(2,), (3,)]
+
+
 def test_state_over_a_base(spark):
     base = spark.createDataFrame([(b"a", 5, 50), (b"b", 5, 51), (b"c", 5, 52)], "key binary, version long, seq long")
     new = spark.createDataFrame([(b"a", 4, 60, False), (b"b", 6, 61, True), (b"d", 1, 62, None)], "key binary, version long, seq long, gone boolean")

@@ -46,10 +46,11 @@ def apply_changes(changes: DataFrame, keys: list[str], version: Column, seq: Col
     null key column or null version are no changes. `base` has (keys, version, seq) of
     the state before them; it takes part as earlier images. Empty input gives no rows.
 
-    Two steps, as sums are associative: first within (key, salt of the seq), so that a key
-    with a third of all rows is spread over `salts` tasks (by default the shuffle's width, 64 at
-    least) and copies, which share a seq, meet in one of them; then over the at most `salts`
-    images that each key has left.
+    Two steps, as sums are associative: first within (key, salt), so that a key with a
+    third of all rows is spread over `salts` tasks (by default the shuffle's width, 64 at
+    least); then over the at most `salts` images that each key has left. The salt is of
+    the seq and the input partition: copies of one change are spread too, and what is
+    left of them meets in the second step, which drops repeats as the first does.
     """
     salts = salts or max(64, partitions(changes.sparkSession))
     rows = changes.select(*keys, version.alias("_version"), seq.alias("_seq"), F.coalesce(deleted, F.lit(False)).alias("_deleted"))
@@ -57,7 +58,7 @@ def apply_changes(changes: DataFrame, keys: list[str], version: Column, seq: Col
         rows = rows.unionByName(base.select(*keys, F.col("version").alias("_version"), F.col("seq").alias("_seq"), F.lit(False).alias("_deleted")))
     for k in [*keys, "_version"]:
         rows = rows.where(F.col(k).isNotNull())
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_seq"), F.lit(salts)))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(F.col("_seq"), F.spark_partition_id()), F.lit(salts)))
     parts = _images(rows, keys, "_deleted", ["_salt"], tombstones=True)
     return _images(parts.drop("_salt"), keys, "_deleted", [], tombstones=False).select(*keys, F.col("_seq").alias("seq"))
 

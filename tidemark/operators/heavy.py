@@ -48,7 +48,8 @@ def longest_step(changes: DataFrame, key: str = "key", version: str = "version",
     found = _best(light.select("key", prior.alias("_from"), F.col("version").alias("_to"), (F.col("version") - prior).alias("_step")), "key")
     if not heavy:
         return found
-    own = rows.join(F.broadcast(names), "key", "left_semi")
+    # distinct first, by (key, version): one version may be on most rows of a key
+    own = rows.join(F.broadcast(names), "key", "left_semi").distinct()
     ranges = own.groupBy("key").agg(F.min("version").alias("_lo"), F.max("version").alias("_hi"))
     width = (F.col("_hi").cast("double") - F.col("_lo").cast("double")) / n
     bucket = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("version").cast("double") - F.col("_lo").cast("double")) / width)).otherwise(0)

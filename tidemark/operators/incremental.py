@@ -74,7 +74,8 @@ def unprocessed(feed: DataFrame, reports: DataFrame) -> DataFrame:
     placed = copies.withColumn("_slot", F.floor(F.col("version") / width))
     c, r = placed.alias("c"), (F.broadcast(ranges) if small else ranges).alias("r")
     read = (F.col("c.stream_id") == F.col("r.stream_id")) & (F.col("c._slot") == F.col("r._slot")) & (F.col("c.version") > F.col("r.since_version")) & (F.col("c.version") <= F.col("r.upto_version")) & (F.col("c.arrived_at") <= F.col("r.read_at"))
-    ledger = c.join(r, read, "left_semi").select("key", "version", "seq")
+    # distinct before the exchange: a change may have very many copies
+    ledger = c.join(r, read, "left_semi").select("key", "version", "seq").distinct()
     settled = (F.col("c.stream_id") == F.col("_stream")) & (F.col("c.version") > F.col("first_version")) & (F.col("c.version") <= F.col("open_from")) & (F.col("c.arrived_at") <= F.col("settled_at"))
-    again = c.join(starts, settled, "left_anti").join(r, read, "left_anti").select("key", "version", "seq")
+    again = c.join(starts, settled, "left_anti").join(r, read, "left_anti").select("key", "version", "seq").distinct()
     return again.join(ledger, ["key", "version", "seq"], "left_anti").select("seq").distinct()

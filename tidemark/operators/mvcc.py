@@ -123,6 +123,6 @@ def merged(log: DataFrame, fold: dict[str, Column], now: int) -> DataFrame:
 
 
 def expiry_days(log: DataFrame) -> DataFrame:
-    """(day, n): writes by the day they expire on; those that never do are left out."""
-    day = F.to_date(F.timestamp_seconds("expires_at"))
+    """(day, n): writes by the day (UTC) they expire on; those that never do are left out."""
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("expires_at") / 86_400).cast("int"))
     return log.where("expires_at <> 0").groupBy(day.alias("day")).agg(F.count("*").alias("n"))
