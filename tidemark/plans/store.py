@@ -123,11 +123,11 @@ def get_missing_or_deleted(spark: SparkSession, folder: str) -> DataFrame:
     return found.where("status <> 'found'").groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query(f"{LOG} select decode(user_key) as user_key, version, seq, ({_LIVE}) as live from log where starts_with(decode(user_key), '{PREFIX.decode()}')")
+@query(f"{LOG} select decode(user_key) as user_key, version, seq, ({_LIVE}) as live from log")
 def version_history(spark: SparkSession, folder: str) -> DataFrame:
-    """All versions of the keys with a prefix."""
-    log = entry_log(spark, folder, "user_key", "version", "seq", "meta", "expires_at", where=(F.col("user_key") >= F.lit(PREFIX)) & (F.col("user_key") < F.lit(scan.prefix_end(PREFIX))))
-    return mvcc.history(log, PREFIX, NOW).select(_text("user_key"), "version", "seq", "live")
+    """All versions of all keys."""
+    log = entry_log(spark, folder, "user_key", "version", "seq", "meta", "expires_at")
+    return mvcc.history(log, b"", NOW).select(_text("user_key"), "version", "seq", "live")
 
 
 def _pending(spark: SparkSession, folder: str) -> DataFrame:
