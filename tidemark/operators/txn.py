@@ -77,9 +77,9 @@ def conflicts(writes: DataFrame, reads: DataFrame, spans: int = 4096) -> DataFra
     commit_ts of the reader; keys are compared, not hashes. Rows with nulls don't count.
 
     No pair is made: the commits of a key up to the reader's two timestamps are counted,
-    and the difference is the answer; the first one is that of the next number. Counts run
-    within (key, one of `spans` ranges of timestamps), so a hot key is spread, and go on
-    from the sums of its earlier ranges.
+    and the difference is the answer; the first one is the next behind the reading. Both
+    run within (key, one of `spans` ranges of timestamps), so a hot key is spread, and go
+    on from the sums of its earlier and the first commits of its later ranges.
     """
     low, high = writes.agg(F.min("commit_ts"), F.max("commit_ts")).first()
     low = low or 0
@@ -95,15 +95,20 @@ def conflicts(writes: DataFrame, reads: DataFrame, spans: int = 4096) -> DataFra
         .withColumn("_slot", F.least(F.greatest(F.floor((F.col("ts") - low) / span), F.lit(-1)), F.lit(spans + 1)))
     )
     one = (F.col("kind") == 1).cast("long")
-    here = F.sum(one).over(Window.partitionBy("user_key", "_slot").orderBy("ts", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    commit = F.when(F.col("kind") == 1, F.col("ts"))
+    up = Window.partitionBy("user_key", "_slot").orderBy("ts", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("user_key", "_slot").orderBy(F.desc("ts"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("user_key").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = rows.groupBy("user_key", "_slot").agg(F.sum(one).alias("_n")).select("user_key", "_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    counted = rows.withColumn("_here", here).join(earlier, ["user_key", "_slot"]).withColumn("_count", F.col("_here") + F.col("_before"))
-    spans_of = counted.where("kind <> 1").groupBy("txn", "user_key", "read_ts", "commit_ts")
-    between = spans_of.agg(F.max(F.when(F.col("kind") == 2, F.col("_count"))).alias("_start"), F.max(F.when(F.col("kind") == 0, F.col("_count"))).alias("_end"))
-    between = between.where("_end > _start").select("txn", "user_key", (F.col("_end") - F.col("_start")).alias("n"), (F.col("_start") + 1).alias("_count"))
-    numbered = counted.where("kind = 1").select("user_key", "_count", F.col("ts").alias("first_ts"))
-    return between.join(numbered, ["user_key", "_count"]).groupBy("txn").agg(F.sum("n").alias("n"), F.min("first_ts").alias("first_ts"))
+    after = Window.partitionBy("user_key").orderBy(F.desc("_slot")).rowsBetween(Window.unboundedPreceding, -1)
+    others = rows.groupBy("user_key", "_slot").agg(F.sum(one).alias("_n"), F.min(commit).alias("_first"))
+    others = others.select("user_key", "_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.min("_first").over(after).alias("_later"))
+    counted = rows.withColumn("_here", F.sum(one).over(up)).withColumn("_next", F.min(commit).over(down)).where("kind <> 1")
+    counted = counted.join(others, ["user_key", "_slot"]).withColumn("_count", F.col("_here") + F.col("_before"))
+    start, end = F.col("kind") == 2, F.col("kind") == 0
+    between = counted.groupBy("txn", "user_key", "read_ts", "commit_ts").agg(
+        (F.max(F.when(end, F.col("_count"))) - F.max(F.when(start, F.col("_count")))).alias("n"), F.max(F.when(start, F.coalesce("_next", "_later"))).alias("first_ts")
+    )
+    return between.where("n > 0").groupBy("txn").agg(F.sum("n").alias("n"), F.min("first_ts").alias("first_ts"))
 
 
 def committed(writes: DataFrame, aborted: DataFrame, next_ts: int, txn: str = "txn") -> DataFrame:
