@@ -9,6 +9,14 @@ from tidemark.llm import packing, quality, seen, tokens, topn
 from tidemark.sources.tables import has_key, table
 
 
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids and texts. A table of fewer splits than the cluster has cores is spread over them by id;
+    a large one stays where it is."""
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores, "doc_id")
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """The three writes of highest version of each key."""
     log = table(spark, folder, "entry_log", "user_key", "version", "seq").where(has_key("user_key") & F.col("seq").isNotNull())
@@ -35,12 +43,12 @@ def p4_wrong_rate(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Each document's token ids."""
-    return tokens.encode(table(spark, folder, "documents", "doc_id", "text"))
+    return tokens.encode(_documents(spark, folder))
 
 
 def p6_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Of each document, its number of tokens and whether decoding gives its text again."""
-    docs = table(spark, folder, "documents", "doc_id", "text")
+    docs = _documents(spark, folder)
     ids = tokens.encode(docs)
     size = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
     back = tokens.decode(size.withColumn("both", F.struct("doc_id", "n_tokens")), "both").select("both.doc_id", "both.n_tokens", F.xxhash64("text").alias("h"))
@@ -58,7 +66,7 @@ def _specs(spark: SparkSession, folder: str) -> list[tuple[int, int]]:
 
 def p7_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Where each document lies, for each container size."""
-    return packing.pack(tokens.count_tokens(table(spark, folder, "documents", "doc_id", "text")), _specs(spark, folder))
+    return packing.pack(tokens.count_tokens(_documents(spark, folder)), _specs(spark, folder))
 
 
 def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
@@ -68,12 +76,12 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """The mails whose own body is not prose."""
-    return quality.not_prose(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "common_words", "word"))
+    return quality.not_prose(_documents(spark, folder), table(spark, folder, "common_words", "word"))
 
 
 def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """Quality statistics of each document's text."""
-    return quality.statistics(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "common_words", "word"))
+    return quality.statistics(_documents(spark, folder), table(spark, folder, "common_words", "word"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_wrong_rate, p6_ids, p6_roundtrip, p7_packing, p7_fill, p8_found, p8_statistics)}
