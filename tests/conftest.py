@@ -6,6 +6,8 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from tidemark.sources.tables import importable  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -18,6 +20,7 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    importable(session)
     yield session
     session.stop()
 

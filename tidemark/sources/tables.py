@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +13,20 @@ from pyspark.sql import functions as F
 BLANKS = " \t\r\n"
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers of this session import this library from where the driver has it.
+
+    Where executors don't share that path, the library has to be shipped (--py-files).
+    """
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     """One table of `folder`; with `columns`, only those are read."""
+    importable(spark)
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return df.select(*columns) if columns else df
 
