@@ -60,19 +60,26 @@ def _body_counts(docs: DataFrame, ident: str, text: str, common: frozenset[str],
 
 
 def _idle(block: Column) -> Column:
-    """lines.idle as a column expression."""
-    spoken = (block["common"] >= lines.LEAST_COMMON * block["words"]) | ((block["common"] > 0) & (block["words"] < lines.SHORT)) | (
-        (block["stops"] > 0) & (3 * block["stops"] <= block["words"]) & (block["words"] <= lines.LONGEST_SENTENCE * block["stops"]) & (block["words"] > 3 * block["lines"])
-    )
-    asian = (block["signs"] >= lines.FEW_SIGNS) & (block["signs"] >= block["words"])
-    return F.when(asian, F.when(block["kana"] < lines.LEAST_KANA * block["signs"], block["chars"]).otherwise(0)).otherwise(
-        F.when((block["words"] >= lines.FEW_WORDS) & ~spoken, block["chars"]).otherwise(0)
-    )
+    """lines.idle as a column expression over an array of a paragraph's counts."""
+
+    def of(b: Column) -> Column:
+        chars, words, common, signs, kana, stops, rows = (F.element_at(b, k + 1) for k in range(len(_BLOCK)))
+        spoken = (
+            (common >= lines.LEAST_COMMON * words)
+            | ((common > 0) & (words < lines.SHORT))
+            | ((stops > 0) & (3 * stops <= words) & (words <= lines.LONGEST_SENTENCE * stops) & (words > 3 * rows))
+        )
+        asian = (signs >= lines.FEW_SIGNS) & (signs >= words)
+        idle = F.when(asian, kana < lines.LEAST_KANA * signs).otherwise((words >= lines.FEW_WORDS) & ~spoken)
+        return F.when(idle, chars).otherwise(0)
+
+    # bound once, as the counts may be a long expression
+    return F.element_at(F.transform(F.array(block), of), 1)
 
 
 def _joined(a: Column, b: Column) -> Column:
     """The paragraph that two open ends make together."""
-    return F.struct(*[(a[n] + b[n]).alias(n) for n in _BLOCK])
+    return F.zip_with(a, b, lambda x, y: x + y)
 
 
 def _merged(a: Column, b: Column) -> Column:
@@ -107,7 +114,7 @@ def prose_shares(docs: DataFrame, words: DataFrame, ident: str = "doc_id", text:
     cut: FAN_IN pieces first, then a document's rest. Only counts are shuffled.
     """
     counts = _body_counts(docs, ident, text, common_set(words), piece)
-    ends = [F.struct(*[F.col(f"{e}_{n}").alias(n) for n in _BLOCK]).alias(name) for e, name in (("h", "head"), ("t", "tail"))]
+    ends = [F.array(*[f"{e}_{n}" for n in _BLOCK]).alias(name) for e, name in (("h", "head"), ("t", "tail"))]
     parts = counts.select(ident, "piece", F.floor(F.col("piece") / FAN_IN).alias("_few"), F.struct("chars", "junk", "broken", *ends).alias("c"))
     whole = _fold(_fold(parts, [ident, "_few"]), [ident])
     idle = F.col("c.junk") + _idle(F.col("c.head")) + _idle(F.col("c.tail"))
