@@ -120,3 +120,45 @@ def test_manifests(spark, tmp_path):
 def test_discards(spark, tmp_path):
     (tmp_path / "DISCARD").write_bytes(struct.pack(">QQQQQQ", 1, 100, 2, 0, 0, 0) + bytes(100))
     assert rows(binary.read_discards(spark, str(tmp_path))) == [(1, 100), (2, 0)]
+
+
+def test_block_checksums_are_of_whole_blocks(spark, tmp_path):
+    from tidemark.operators import greedy
+    from tidemark.plans import store
+
+    log = [(b"key%04d" % (i // 2), 100 - i, b"value%d" % i, i % 3, i % 5, i * 70, 1, 20 + 10 * i, i, 7 + i // 250 if i % 50 else None) for i in range(400)]
+
+    def sums(writes, name):
+        folder = tmp_path / name
+        schema = "user_key binary, version long, value binary, meta int, user_meta int, expires_at long, fid long, log_offset long, seq long, table_id long"
+        spark.createDataFrame(writes, schema).repartition(3).write.parquet(str(folder / "entry_log.parquet"))
+        return rows(store.block_checksums(spark, str(folder)))
+
+    log = [(k, 1000 + v, *r) for k, v, *r in log]
+    want, held = [], {}
+    for table in (7, 8):
+        entries = sorted((k, -v, internal(k, v), stored(x, m, u, e)) for k, v, x, m, u, e, _, _, _, t in log if t == table)
+        cuts, end, n, base = [[]], 0, 0, b""
+        for _, _, key, value in entries:
+            if n and end + 6 + len(key) + len(value) + (n + 1) * 4 + 16 > 4096:
+                cuts.append([])
+                end, n = 0, 0
+            base = base if n else key
+            shared = next((i for i in range(min(len(key), len(base))) if key[i] != base[i]), 0) if n else 0
+            cuts[-1].append((key, value))
+            end, n = end + 4 + len(key) - shared + len(value), n + 1
+        for number, part in enumerate(cuts):
+            whole = block(part)
+            data = whole[: len(whole) - 4 - int.from_bytes(whole[-4:], "big")]
+            held[table, number] = data, part
+            want.append((table, number, len(data), int(crc32c_of([data])[0])))
+    assert len(want) > 3 and sums(log, "log") == sorted(want, key=repr)
+    for at, value in ((2, b"Value9"), (3, 2), (4, 1), (5, 631)):
+        other = [(*r[:at], value, *r[at + 1 :]) if r[8] == 9 else r for r in log]
+        assert other != log and len([a for a, b in zip(sums(other, f"other{at}"), sorted(want, key=repr)) if a != b]) == 1
+    df = spark.createDataFrame([(t, i, k, v) for (t, _), (_, part) in held.items() for i, (k, v) in enumerate(part)], "t long, i long, key binary, stored binary")
+    laid = greedy.laid_out(df.where("t = 7"), "t", ["key"], "key", "stored").orderBy("block").collect()
+    for r in laid:
+        data, part = held[7, r.block]
+        assert bytes(r.data) == data and list(binary.block_entries(data + checksum(data) + struct.pack(">I", len(checksum(data))))) == part
+    assert greedy.laid_out(df.limit(0), "t", ["key"], "key", "stored").count() == 0

@@ -20,6 +20,11 @@ def block_sums(entries: DataFrame) -> DataFrame:
     return blocks.withColumn("crc", crc32c("data"))
 
 
+def summed(blocks: DataFrame) -> DataFrame:
+    """(table_id, block, data) of `greedy.laid_out` with `crc`: CRC32C of all that a block holds before its checksum."""
+    return blocks.withColumn("crc", crc32c("data"))
+
+
 def table_sums(blocks: DataFrame) -> DataFrame:
     """(table_id, blocks, crc): the number of a table's blocks and a sum of their checksums that doesn't depend on their order."""
     return blocks.groupBy("table_id").agg(F.count("*").alias("blocks"), F.bit_xor(F.xxhash64("block", "crc")).alias("crc"))

@@ -6,6 +6,7 @@ group, sorted and streamed: a group of any size passes through one row's worth o
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -117,6 +118,57 @@ def blocks(block_size: int = 4096) -> Step:
     return step
 
 
+def laid_out(df: DataFrame, group: str, order: list[str], key: str, stored: str, block_size: int = 4096) -> DataFrame:
+    """(group, block, data): each group's blocks as a table file holds them up to their checksum.
+
+    Of each entry the header (bytes shared with the block's first key and bytes left of the
+    key, two little-endian bytes each), the rest of the key and the stored value; then the
+    entries' offsets and their number, four big-endian bytes each. A group is streamed in
+    `order`, a total one; no more than a block of it is held.
+    """
+    rows = df.select(*dict.fromkeys([group, *order, key, stored])).repartition(group).sortWithinPartitions(group, *order)
+    at_group, at_key, at_stored = (rows.columns.index(c) for c in (group, key, stored))
+    step = blocks(block_size)
+    schema = f"`{group}` {df.schema[group].dataType.simpleString()}, block long, data binary"
+    kinds = [f.type for f in _arrow(df, schema)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, last, begun, block = None, None, False, 0
+        parts: list[bytes] = []
+        starts: list[int] = []
+        made: list[tuple] = []
+
+        def close() -> None:
+            if starts:
+                made.append((last, block, b"".join([*parts, struct.pack(f">{len(starts) + 1}I", *starts, len(starts))])))
+                parts.clear()
+                starts.clear()
+
+        def batch_of() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), kinds)], [group, "block", "data"])
+            made.clear()
+            return out
+
+        for batch in batches:
+            for g, k, v in zip(*(batch.column(i).to_pylist() for i in (at_group, at_key, at_stored))):
+                if not begun or g != last:
+                    close()
+                    state, last, begun = None, g, True
+                state, (number, _, shared, _, begins) = step(state, (k, len(v)))
+                if not begins:
+                    close()
+                    block = number
+                starts.append(begins)
+                parts += struct.pack("<HH", shared, len(k) - shared), k[shared:], v
+            if made:
+                yield batch_of()
+        close()
+        if made:
+            yield batch_of()
+
+    return rows.mapInArrow(run, schema)
+
+
 def numbered(df: DataFrame, group: str, order: list[str]) -> DataFrame:
     """`df` with `row_no`, from 0 in each group, streamed."""
     return streamed(df.withColumn("_one", F.lit(1)), group, order, ["_one"], lambda s, r: (((s or (0,))[0] + 1,), ((s or (0,))[0],)), "row_no long").drop("_one")

@@ -508,9 +508,13 @@ def block_index(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def block_checksums(spark: SparkSession, folder: str) -> DataFrame:
-    """Bytes of keys and checksum of each block of each table."""
-    rows = _blocks(spark, folder).select("table_id", "block", "begins", F.col("key").alias("entry"))
-    return checksums.block_sums(rows).select("table_id", "block", F.octet_length("data").alias("bytes"), "crc")
+    """Bytes of each block of each table without its checksum (headers, keys, stored values, offsets), and their checksum."""
+    log = entry_log(spark, folder, "user_key", "version", "seq", "value", "meta", "user_meta", "expires_at", "table_id").where("table_id is not null")
+    stored = codec.stored_value(F.col("meta"), F.col("user_meta"), F.col("expires_at"), F.col("value"))
+    key = codec.key_with_version(F.col("user_key"), F.col("version"))
+    rows = log.select("table_id", "seq", "user_key", (-F.col("version")).alias("newest_first"), key.alias("key"), stored.alias("stored"))
+    blocks = greedy.laid_out(rows, "table_id", ["user_key", "newest_first", "seq"], "key", "stored")
+    return checksums.summed(blocks).select("table_id", "block", F.octet_length("data").alias("bytes"), "crc")
 
 
 _FIRST = f"""{LOG}, b as (select table_id, min(user_key) as base from log where table_id is not null group by table_id),
