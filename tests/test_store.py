@@ -102,3 +102,18 @@ def test_sinks(spark, tmp_path):
     files.publish_snapshot(log.limit(3), str(tmp_path / "snap"), 1)
     files.publish_snapshot(log.limit(4), str(tmp_path / "snap"), 2)
     assert files.current_snapshot(spark, str(tmp_path / "snap")).count() == 4
+
+
+def test_checksums_of_entries_cover_the_version(spark, tmp_path):
+    from tidemark.functions.codec import crc32c_of
+    from tidemark.plans.store import checksum_verify
+
+    schema = "user_key binary, version long, value binary, meta int, user_meta int, expires_at long, fid long, log_offset long, seq long, table_id long"
+    log = spark.createDataFrame([(b"k", v, b"x", 1, 2, 300, 1, 20 * v, v, None) for v in (1, 2, 3)], schema)
+    log.write.parquet(str(tmp_path / "entry_log.parquet"))
+    want = {v: int(crc32c_of([b"\x01\x02\x09\x01\xac\x02k" + (2**64 - 1 - v).to_bytes(8, "big") + b"x"])[0]) for v in (1, 2, 3)}
+    assert {r.seq: (r.crc, r.ok) for r in checksum_verify(spark, str(tmp_path)).collect()} == {v: (c, True) for v, c in want.items()} and len(set(want.values())) == 3
+    entries = [bytes(r.entry) for r in files.encoded(log).orderBy("seq").collect()]
+    spoilt = [entries[0], entries[1][:-5] + b"y" + entries[1][-4:], entries[2][:-1], b"abc", None]
+    got = files.verified(spark.createDataFrame(list(enumerate(spoilt)), "i long, entry binary")).collect()
+    assert [r.ok for r in sorted(got, key=lambda r: r.i)] == [True, False, False, False, False]

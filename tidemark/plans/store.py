@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import codec
 from tidemark.operators import bloom, checksums, greedy, manifest, mvcc, ranges, scan, txn, vlog, wal, watermark
+from tidemark.sources import files
 from tidemark.sources.log import discard_log, entry_log, event_frames, mark_log
 from tidemark.sources.tables import has_key, table
 
@@ -660,10 +661,9 @@ def stored_value_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def checksum_verify(spark: SparkSession, folder: str) -> DataFrame:
-    """The checksum of each encoded entry."""
-    log = entry_log(spark, folder, "seq", "meta", "user_meta", "user_key", "value", "expires_at")
-    head = codec.entry_head(F.col("meta"), F.col("user_meta"), F.col("user_key"), F.col("value"), F.col("expires_at"))
-    return log.select("seq", codec.crc32c(F.concat(head, "user_key", "value")).alias("crc"))
+    """The checksum of each entry as it is encoded, with its internal key, and whether the entry read back gives it."""
+    log = entry_log(spark, folder, "seq", "version", "meta", "user_meta", "user_key", "value", "expires_at")
+    return files.verified(files.encoded(log).select("seq", "entry")).select("seq", "crc", "ok")
 
 
 # --- value log -------------------------------------------------------------------------

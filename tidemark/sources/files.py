@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.functions.codec import crc32c, crc32c_of, entry_head, file_id, key_with_version
+from tidemark.functions.codec import CRC_BYTES, crc32c, crc32c_of, entry_head, file_id, key_with_version
 
 #: Fixed value: bytes before a log file's first entry.
 FILE_HEAD = 20
@@ -39,6 +39,15 @@ def encoded(log: DataFrame) -> DataFrame:
     return log.withColumn("_body", body).withColumn("entry", F.concat("_body", F.unhex(F.lpad(F.hex(crc32c("_body")), 8, "0")))).drop("_body")
 
 
+def verified(entries: DataFrame, entry: str = "entry") -> DataFrame:
+    """`entries` with `crc`, the checksum that an encoded entry's last four bytes state, and `ok`, whether what stands
+    before them gives it; null and false for fewer bytes than that."""
+    n = F.octet_length(entry)
+    stated = F.when(n >= CRC_BYTES, F.conv(F.hex(F.substr(entry, n - (CRC_BYTES - 1), F.lit(CRC_BYTES))), 16, 10).cast("long"))
+    found = crc32c(F.substr(entry, F.lit(1), F.greatest(n - CRC_BYTES, F.lit(0))))
+    return entries.withColumn("crc", stated).withColumn("ok", F.coalesce(F.col("crc") == found, F.lit(False)))
+
+
 def _varint(data: memoryview, at: int) -> tuple[int, int]:
     """A number at `at` and where it ends; -1 if it doesn't."""
     value = shift = 0
