@@ -76,3 +76,16 @@ def test_of_nothing(spark):
     assert rows(seen.repeated_records(log, incoming)) == [(2,)]
     assert rows(seen.repeated_records(incoming.select("user_key"), incoming.limit(0))) == []
     assert seen.wrong_rate(seen.seen_before(log, incoming.limit(0))).first().wrong_rate == 0
+
+
+def test_fingerprints_answer_for_all_keys(spark):
+    places = [1, 2, 3, None]
+    log = spark.createDataFrame([(b"k%d" % i, places[i % 4]) for i in range(400)], "user_key binary, table_id long")
+    info = spark.createDataFrame([(1, True), (2, False)], "table_id long, has_bloom_filter boolean")
+    incoming = spark.createDataFrame([(i, b"k%d" % i) for i in range(300, 900)], "incoming_id long, user_key binary")
+    answers = seen.seen_before(log, incoming, info)
+    got = {bytes(r.key): r for r in answers.collect()}
+    assert all(got[b"k%d" % i].maybe and got[b"k%d" % i].seen and got[b"k%d" % i].sealed == (i % 4 == 0) for i in range(300, 400))
+    assert not any(got[b"k%d" % i].seen for i in range(400, 900)) and sum(r.maybe for r in got.values()) <= 102
+    total = seen.wrong_rate(answers).first()
+    assert (total["keys"], total.new_keys) == (600, 500) and total.wrong <= 2

@@ -158,25 +158,25 @@ def known_keys(log: DataFrame, key: str, tables: DataFrame | None) -> DataFrame:
 
 def seen_before(log: DataFrame, incoming: DataFrame, tables: DataFrame | None = None, key: str = "user_key", ident: str = "incoming_id", keys_a_partition: int = KEYS_A_PARTITION) -> DataFrame:
     """(key, first_id, maybe, sealed, seen): each distinct incoming key, the smallest id it came with, what the
-    fingerprints say of it (`maybe`: in a sealed table), whether it is in one, and whether it is in the log at all.
+    fingerprints say of it (`maybe`: in the log), whether it is in a table with a filter, and whether it is in the log at all.
 
     Null and empty keys are left out on both sides, and so are records without an id. Copies
     of a record have one id. Empty tables give no keys or none seen.
 
-    Keys of tables with a filter are sealed: hashed into partitions of about
-    `keys_a_partition` keys, by a bound that counts rows, so none grows with the log; the
-    index of a partition meets only the incoming keys of the same partition. Keys of other
-    tables and of memory are compared as they are, and so is what the fingerprints take for
-    seen, which shows the rate of wrong answers; the rest is new. Keys are reduced to
-    distinct ones before every exchange, so no hot key weighs more than another.
+    All keys of the log, also of memory and of tables without a filter, are hashed into
+    partitions of about `keys_a_partition` keys, by a bound that counts rows, so none grows
+    with the log; the index of a partition meets only the incoming keys of the same
+    partition. What the fingerprints take for seen is compared as it is, which shows the
+    rate of wrong answers; the rest is new. Keys are reduced to distinct ones before every
+    exchange, so no hot key weighs more than another.
     """
     known = known_keys(log, key, tables)
     parts = max(1, math.ceil(log.count() / keys_a_partition))
     first = incoming.where(has_key(key) & F.col(ident).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(ident).alias("first_id"))
     probes = _placed(first, parts).groupBy("part")
-    answered = probes.cogroup(seal(known.where("sealed"), parts).groupBy("part")).applyInArrow(_probed, "key binary, first_id long, maybe boolean")
-    k = known.select(F.col("key").alias("_key"), F.col("sealed").alias("_sealed"), F.col("open").alias("_open"))
-    met = answered.join(k, (F.col("key") == F.col("_key")) & (F.col("maybe") | F.col("_open")), "left")
+    answered = probes.cogroup(seal(known, parts).groupBy("part")).applyInArrow(_probed, "key binary, first_id long, maybe boolean")
+    k = known.select(F.col("key").alias("_key"), F.col("sealed").alias("_sealed"))
+    met = answered.join(k, (F.col("key") == F.col("_key")) & F.col("maybe"), "left")
     return met.select("key", "first_id", "maybe", F.coalesce("_sealed", F.lit(False)).alias("sealed"), F.col("_key").isNotNull().alias("seen"))
 
 
@@ -192,7 +192,7 @@ def repeated_records(log: DataFrame, incoming: DataFrame, tables: DataFrame | No
 
 
 def wrong_rate(answers: DataFrame) -> DataFrame:
-    """One row: distinct incoming keys, those in no sealed table, wrong answers among them, their rate."""
-    new, wrong = (~F.col("sealed")).cast("long"), (F.col("maybe") & ~F.col("sealed")).cast("long")
+    """One row: distinct incoming keys, those that aren't in the log, wrong answers among them, their rate."""
+    new, wrong = (~F.col("seen")).cast("long"), (F.col("maybe") & ~F.col("seen")).cast("long")
     total = answers.agg(F.count("*").alias("keys"), F.coalesce(F.sum(new), F.lit(0)).alias("new_keys"), F.coalesce(F.sum(wrong), F.lit(0)).alias("wrong"))
     return total.withColumn("wrong_rate", F.when(F.col("new_keys") > 0, F.col("wrong") / F.col("new_keys")).otherwise(F.lit(0.0)))
