@@ -101,3 +101,11 @@ def test_a_bounded_word_list(spark):
             quality.common_set(frames(spark, [])[1])
     finally:
         quality.MOST_WORDS = kept
+
+
+def test_own_tables_below_a_line_with_a_comma():
+    for above in ("Hi Anna, here is the list:", "As agreed, the rows of the list:"):
+        for table in (TABLE, "+---+---+\n| a | b |\n+---+---+\n| 1 | 2 |\n+---+---+", "| a | b\n| 1 | 2"):
+            assert own_body(mail(f"{above}\n{table}\n")) == f"{above}\n{table}"
+    for above in ("Mon, 2 Jun 2025 01:00:00 +0000, A Bcd:", "28.06.2025, A Bcd:", "1749486947, A Bcd:", "On Mon, A B wrote:"):
+        assert own_body(mail(f"my words\n\n{above}\n{TABLE}\n")) == "my words"

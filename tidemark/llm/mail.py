@@ -23,6 +23,9 @@ _MARK = re.compile(r"^\s*-{2,}\s*(?:original message|forwarded message|original-
 #: A line that names who wrote the quoted text below it, in the languages of the archive.
 _WROTE = re.compile(r"(?:\bwrote|\bschrieb\b.*|a écrit|escribió|пишет|написал\w*|のメール)\s*[:：]\s*$", re.I)
 _NAMED = re.compile(r"^.{4,120}, [^,:]{3,60}:$")
+#: A date or time, also a short one or seconds since 1970, by which a line above bars names a quoted sender.
+_WHEN = re.compile(r"\d{1,2}:\d{2}|\d{1,4}[./-]\d{1,2}[./-]\d{1,4}|\b\d{1,2}\.? \w{2,}|\b\d{9,}\b|^[\s>|]*\w{2,3}, \d{1,2}\b|\d{4}年")
+_GRID = re.compile(r"^\+[-=+:]+\s*$")
 #: Phrases by which a paragraph is a legal or courtesy notice, not the sender's words.
 _NOTICE = re.compile(
     r"^\s*(?:confidential(?:ity)?\b\s*:|confidential notice|disclaimer\b)"
@@ -141,22 +144,31 @@ def _table_bars(lines: list[str]) -> set[int]:
     """Indices of lines that begin with a bar and are rows of a table, not quoted text.
 
     A run of such lines is a table if each is a row and no line above names a quoted
-    sender. Rows that all have an empty first cell of one space are a quoted table.
+    sender: they have equal numbers of bars, or each has a closing one. Rules of a grid
+    may stand between rows; one row between such rules is a table too. Rows that all have
+    an empty first cell of one space are a quoted table.
     """
     out: set[int] = set()
     run: list[int] = []
-    named = False
+    named = ruled = False
     for i, line in enumerate([*lines, ""]):
         if line[:1] == "|":
             run.append(i)
             continue
-        if len(run) >= 2 and not named:
+        if line[:1] == "+" and _GRID.match(line):
+            if named or any(lines[k].count("|") < 2 for k in run):
+                run = []
+            named, ruled = False, True
+            continue
+        if len(run) >= 2 - ruled and run and not named:
             rows = [lines[k].rstrip() for k in run]
-            if all(r.endswith("|") and r.count("|") >= 3 for r in rows) and not all(r.startswith("| |") for r in rows):
+            bars = {r.count("|") for r in rows}
+            closed = min(bars) >= 3 and all(r.endswith("|") for r in rows)
+            if (closed or (len(bars) == 1 and min(bars) >= 2)) and not all(r.startswith("| |") for r in rows):
                 out.update(run)
-        run = []
+        run, ruled = [], False
         if line.strip():
-            named = bool(_WROTE.search(line) or _NAMED.match(line))
+            named = bool(_WROTE.search(line) or (_NAMED.match(line) and _WHEN.search(line)))
     return out
 
 
