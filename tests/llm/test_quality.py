@@ -109,3 +109,20 @@ def test_own_tables_below_a_line_with_a_comma():
             assert own_body(mail(f"{above}\n{table}\n")) == f"{above}\n{table}"
     for above in ("Mon, 2 Jun 2025 01:00:00 +0000, A Bcd:", "28.06.2025, A Bcd:", "1749486947, A Bcd:", "On Mon, A B wrote:"):
         assert own_body(mail(f"my words\n\n{above}\n{TABLE}\n")) == "my words"
+
+
+def test_all_inline_plain_parts():
+    def parts(*bodies, kind="mixed", name="B"):
+        return f"Content-Type: multipart/{kind}; boundary={name}\n\n" + "".join(f"--{name}\n{b}\n" for b in bodies) + f"--{name}--\n"
+
+    text = "Content-Type: text/plain\n\n{}".format
+    page = "Content-Type: text/html\n\n<p>{}</p>".format
+    picture = "Content-Type: image/png\nContent-Disposition: inline\n\nAAAA"
+    attached = "Content-Type: text/plain\nContent-Disposition: attachment\n\nno"
+    assert own_body(HEAD + parts(text("one"), picture, text("two"), attached)) == "one\n\ntwo"
+    assert own_body(HEAD + parts(text(""), picture, text("two"))) == "two"
+    assert own_body(HEAD + parts(text("one"), text("other form"), page("html"), kind="alternative")) == "one"
+    both = parts(text("one"), page("html"), kind="alternative", name="C")
+    assert own_body(HEAD + parts(both, picture, text("two"))) == "one\n\ntwo"
+    assert own_body(HEAD + parts(parts(text("one"), picture, text("two"), name="C"), page("html"), kind="alternative")) == "one\n\ntwo"
+    assert own_body(HEAD + parts(page("one"), picture, page("two"))) == "one\n\ntwo"

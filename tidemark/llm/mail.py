@@ -42,13 +42,13 @@ _NOTICE = re.compile(
 _QUOTE = (">", "|")
 
 
-def _head(text: str, at: int) -> tuple[dict[str, str], int]:
-    """The headers that begin at `at`, by lower-case name, and where what follows them begins."""
+def _head(text: str, at: int, stop: int | None = None) -> tuple[dict[str, str], int]:
+    """The headers that begin at `at`, by lower-case name, and where what follows them begins; nothing from `stop` on is read."""
     found: dict[str, list[str]] = {}
     name = ""
-    n = len(text)
+    n = len(text) if stop is None else stop
     while at < n:
-        end = text.find("\n", at)
+        end = text.find("\n", at, n)
         end = n if end < 0 else end
         line = text[at:end]
         if not line.strip():
@@ -93,51 +93,67 @@ def _untagged(body: str) -> str:
     return html.unescape(_TAG.sub("", _BREAK.sub("\n", body)))
 
 
-def _parts(text: str, at: int, head: dict[str, str], depth: int = 0):
-    """(content type, attached?, decoded text) of the leaves of a message."""
-    kind = head.get("content-type", "text/plain")
-    low = kind.lower()
-    found = _BOUNDARY.search(kind) if low.startswith("multipart/") and depth < 8 else None
-    if not found:
-        attached = head.get("content-disposition", "").lower().startswith("attachment")
-        if attached or not low.startswith("text/"):
-            yield low, True, ""
-        else:
-            yield low, False, _decoded(text[at:], head)
-        return
-    mark = "\n--" + (found.group(1) or found.group(2))
-    rest = "\n" + text[at:]
-    begin = rest.find(mark)
-    if begin < 0:
-        yield "text/plain", False, text[at:]
-        return
-    while begin >= 0:
-        end_line = rest.find("\n", begin + 1)
-        if end_line < 0 or rest.startswith("--", begin + len(mark)):
-            return
-        end = rest.find(mark, end_line)
-        piece = rest[end_line + 1 : end if end >= 0 else len(rest)]
-        inner, start = _head(piece, 0)
-        yield from _parts(piece, start, inner, depth + 1)
-        begin = end
+def _parts(text: str, at: int, head: dict[str, str]):
+    """(content type, attached?, decoded text, alternatives) of the leaves of a message.
+
+    `alternatives` has, from the outermost on, a number for each multipart/alternative
+    around the leaf and the number of the part of it that the leaf is in.
+    """
+    stack: list[tuple] = [(at, len(text), head, (), 0)]
+    met = 0
+    while stack:
+        at, stop, head, way, depth = stack.pop()
+        kind = head.get("content-type", "text/plain")
+        low = kind.lower()
+        found = _BOUNDARY.search(kind) if low.startswith("multipart/") and depth < 8 else None
+        if not found:
+            attached = head.get("content-disposition", "").lower().startswith("attachment")
+            if attached or not low.startswith("text/"):
+                yield low, True, "", way
+            else:
+                yield low, False, _decoded(text[at:stop], head), way
+            continue
+        mark = "--" + (found.group(1) or found.group(2))
+        begin = at if text.startswith(mark, at, stop) else text.find("\n" + mark, at, stop) + 1 or -1
+        if begin < 0:
+            yield "text/plain", False, text[at:stop], way
+            continue
+        met += 1
+        inner: list[tuple] = []
+        while begin >= 0:
+            end_line = text.find("\n", begin, stop)
+            if end_line < 0 or text.startswith("--", begin + len(mark), stop):
+                break
+            end = text.find("\n" + mark, end_line, stop)
+            last = stop if end < 0 else max(end, end_line + 1)
+            own, start = _head(text, end_line + 1, last)
+            inner.append((start, last, own, (*way, (met, len(inner))) if low.startswith("multipart/alternative") else way, depth + 1))
+            begin = end + 1 or -1
+        stack += reversed(inner)
 
 
 def readable(text: str | None) -> str | None:
-    """The decoded plain text of a mail, quoted mails and notices included; None if it has none."""
+    """The decoded plain text of a mail, quoted mails and notices included; None if it has none.
+
+    All inline parts of plain text together, or else of HTML; of alternatives the first that has any.
+    """
     if text is None or not text.strip():
         return None
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     head, at = _head(text, 0)
-    page = None
-    for kind, attached, body in _parts(text, at, head):
+    found: dict[str, list[str]] = {"plain": [], "other": [], "html": []}
+    taken: dict[tuple[str, int], int] = {}
+    for kind, attached, body, way in _parts(text, at, head):
         if attached:
             continue
-        if kind.startswith("text/html"):
-            page = body if page is None else page
-        else:
-            return body
-    return None if page is None else _untagged(page)
+        sort = "html" if kind.startswith("text/html") else "plain" if kind.startswith("text/plain") else "other"
+        if all(taken.setdefault((sort, number), part) == part for number, part in way):
+            found[sort].append(_untagged(body) if sort == "html" else body)
+    bodies = found["plain"] or found["other"][:1] or found["html"]
+    if len(bodies) > 1:
+        return "\n\n".join(b.strip("\n") for b in bodies if b.strip())
+    return bodies[0] if bodies else None
 
 
 def _table_bars(lines: list[str]) -> set[int]:
