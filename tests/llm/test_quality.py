@@ -126,3 +126,11 @@ def test_all_inline_plain_parts():
     assert own_body(HEAD + parts(both, picture, text("two"))) == "one\n\ntwo"
     assert own_body(HEAD + parts(parts(text("one"), picture, text("two"), name="C"), page("html"), kind="alternative")) == "one\n\ntwo"
     assert own_body(HEAD + parts(page("one"), picture, page("two"))) == "one\n\ntwo"
+
+
+@pytest.mark.parametrize("depth", [9, 3000])
+def test_deep_mails(depth):
+    inner = "Content-Type: text/plain\n\ndeep"
+    for k in range(depth):
+        inner = f"Content-Type: multipart/mixed; boundary=b{k}x\n\n--b{k}x\n{inner}\n--b{k}x--\n"
+    assert own_body(HEAD + inner) == "deep"

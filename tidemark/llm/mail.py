@@ -94,18 +94,18 @@ def _untagged(body: str) -> str:
 
 
 def _parts(text: str, at: int, head: dict[str, str]):
-    """(content type, attached?, decoded text, alternatives) of the leaves of a message.
+    """(content type, attached?, decoded text, alternatives) of the leaves of a message, however deep they lie.
 
     `alternatives` has, from the outermost on, a number for each multipart/alternative
     around the leaf and the number of the part of it that the leaf is in.
     """
-    stack: list[tuple] = [(at, len(text), head, (), 0)]
+    stack: list[tuple] = [(at, len(text), head, ())]
     met = 0
     while stack:
-        at, stop, head, way, depth = stack.pop()
+        at, stop, head, way = stack.pop()
         kind = head.get("content-type", "text/plain")
         low = kind.lower()
-        found = _BOUNDARY.search(kind) if low.startswith("multipart/") and depth < 8 else None
+        found = _BOUNDARY.search(kind) if low.startswith("multipart/") else None
         if not found:
             attached = head.get("content-disposition", "").lower().startswith("attachment")
             if attached or not low.startswith("text/"):
@@ -127,7 +127,7 @@ def _parts(text: str, at: int, head: dict[str, str]):
             end = text.find("\n" + mark, end_line, stop)
             last = stop if end < 0 else max(end, end_line + 1)
             own, start = _head(text, end_line + 1, last)
-            inner.append((start, last, own, (*way, (met, len(inner))) if low.startswith("multipart/alternative") else way, depth + 1))
+            inner.append((start, last, own, (*way, (met, len(inner))) if low.startswith("multipart/alternative") else way))
             begin = end + 1 or -1
         stack += reversed(inner)
 
