@@ -201,3 +201,18 @@ def test_order_by_ranges(spark):
     got = {(r.g, r.i): r._prior and r._prior.i for r in ranges.before(df, order, F.struct("i")).collect()}
     assert got == {p: None if k == 0 else want[k - 1][1] for k, p in enumerate(want)}
     assert ranges.before(df.limit(0), order, F.struct("i")).count() == 0 and ranges.numbered(df.limit(0), order, "n").count() == 0
+
+
+def test_a_value_log_opened_again(spark):
+    schema = "writer long, seq long, user_key binary, value binary, meta int, expires_at long"
+    batches = [spark.createDataFrame([(w, 100 * b + i, b"k%d" % i, b"%d-%d-%d-" % (b, w, i) + b"x" * 40, 0, 0) for w in (1, 2) for i in range(3 + w)], schema) for b in (0, 1)]
+    first = vlog.write(batches[0], 10, 120, 100)
+    second = vlog.write(batches[1], 10, 120, 100, existing=first)
+    written = first.unionByName(second)
+    assert written.select("writer", "fid", "offset").distinct().count() == written.count() == 18
+    for w in (1, 2):
+        assert second.where(f"writer = {w}").agg({"fid": "min"}).first()[0] == first.where(f"writer = {w}").agg({"fid": "max"}).first()[0] + 1
+    entries = vlog.with_pointers(batches[1], vlog.places(batches[1], 10, 120, 100, existing=first))
+    assert rows(vlog.dereferenced(entries, written).select("writer", "seq", "value")) == rows(batches[1].select("writer", "seq", "value"))
+    files = spark.createDataFrame([(1, 1, 90, 90), (1, 2, 20, 20), (1, 3, 200, 150), (2, 4, 20, 20)], "writer long, fid long, size long, valid_end long")
+    assert rows(vlog.opened(files)) == [(1, 1, 90), (1, 3, 150), (2, 4, 20)]

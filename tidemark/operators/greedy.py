@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Fixed value: bytes before a value file's first entry.
+FILE_HEAD = 20
 #: A step gets (state or None for a new group, the values of a row) and gives (new state, values of the new columns).
 Step = Callable[[tuple | None, tuple], tuple[tuple, tuple]]
 
@@ -65,7 +67,7 @@ def rotate(limit: int) -> Step:
     return step
 
 
-def value_files(limit_bytes: int, limit_entries: int, first_offset: int = 20) -> Step:
+def value_files(limit_bytes: int, limit_entries: int, first_offset: int = FILE_HEAD) -> Step:
     """(file, offset) of values written to log files: a new file once one is over its bytes or the entries
     written since the last change of file are over their number."""
 

@@ -14,22 +14,37 @@ def split(log: DataFrame, threshold: int) -> DataFrame:
     return log.withColumn("inline", F.octet_length("value") < threshold)
 
 
-def places(log: DataFrame, threshold: int, limit_bytes: int, limit_entries: int, writer: str = "writer") -> DataFrame:
+def opened(files: DataFrame, writer: str = "writer") -> DataFrame:
+    """(writer, fid, size) of the files a value log goes on with, from (writer, fid, size, valid_end).
+
+    Empty files that aren't a writer's last are left out; its last ends where its valid entries do.
+    """
+    last = files.groupBy(writer).agg(F.max("fid").alias("_last"))
+    rows = files.join(last, writer).where((F.col("size") != greedy.FILE_HEAD) | (F.col("fid") == F.col("_last")))
+    return rows.select(writer, "fid", F.when(F.col("fid") == F.col("_last"), F.col("valid_end")).otherwise(F.col("size")).alias("size"))
+
+
+def places(log: DataFrame, threshold: int, limit_bytes: int, limit_entries: int, writer: str = "writer", existing: DataFrame | None = None) -> DataFrame:
     """(writer, seq, len, fid, offset) of each value that isn't inline.
 
-    Each writer fills its own files in order of seq; `fid` counts them from 1. `len` is the
-    encoded entry with header and checksum. Lengths alone are shuffled, not the values.
+    Each writer fills its own files in order of seq; `fid` counts them from 1, or from the
+    one after the writer's highest in `existing` (writer, fid). `len` is the encoded entry
+    with header and checksum. Lengths alone are shuffled, not the values.
     """
     large = split(log, threshold).where("not inline")
     lengths = large.select(writer, "seq", entry_bytes(F.col("user_key"), F.col("value"), F.col("expires_at")).cast("long").alias("len"))
-    return greedy.streamed(lengths, writer, ["seq"], ["len"], greedy.value_files(limit_bytes, limit_entries), "fid long, offset long")
+    placed = greedy.streamed(lengths, writer, ["seq"], ["len"], greedy.value_files(limit_bytes, limit_entries), "fid long, offset long")
+    if existing is None:
+        return placed
+    highest = existing.groupBy(writer).agg(F.max("fid").alias("_highest"))
+    return placed.join(highest, writer, "left").withColumn("fid", F.col("fid") + F.coalesce("_highest", F.lit(0))).drop("_highest")
 
 
-def write(log: DataFrame, threshold: int, limit_bytes: int, limit_entries: int, writer: str = "writer") -> DataFrame:
+def write(log: DataFrame, threshold: int, limit_bytes: int, limit_entries: int, writer: str = "writer", existing: DataFrame | None = None) -> DataFrame:
     """The value log: the entries whose values aren't inline at their places, without transaction bits."""
     large = split(log, threshold).where("not inline").drop("inline")
     large = large.withColumn("meta", F.col("meta").bitwiseAND(~(TXN | FIN_TXN) & 0xFF))
-    return large.join(places(log, threshold, limit_bytes, limit_entries, writer), [writer, "seq"])
+    return large.join(places(log, threshold, limit_bytes, limit_entries, writer, existing), [writer, "seq"])
 
 
 def with_pointers(log: DataFrame, written: DataFrame, writer: str = "writer") -> DataFrame:
