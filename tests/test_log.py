@@ -195,12 +195,40 @@ def test_order_by_ranges(spark):
     from tidemark.operators import ranges
 
     df = spark.createDataFrame([(i % 3, i) for i in range(200)], "g long, i long")
-    order = [F.col("g"), F.col("i")]
+    order = ["g", "i"]
     want = sorted((i % 3, i) for i in range(200))
     assert [r[2] for r in sorted(map(tuple, ranges.numbered(df, order, "n", 5).collect()))] == list(range(5, 205))
     got = {(r.g, r.i): r._prior and r._prior.i for r in ranges.before(df, order, F.struct("i")).collect()}
     assert got == {p: None if k == 0 else want[k - 1][1] for k, p in enumerate(want)}
+    down = sorted(((i % 3, -i) for i in range(200)))
+    got = {(r.g, r.i): r._prior and r._prior.i for r in ranges.before(df, ["g", ranges.By("i", True)], F.struct("i")).collect()}
+    assert got == {(g, -i): None if k == 0 else -down[k - 1][1] for k, (g, i) in enumerate(down)}
     assert ranges.before(df.limit(0), order, F.struct("i")).count() == 0 and ranges.numbered(df.limit(0), order, "n").count() == 0
+    odd = spark.createDataFrame([(None, 1), (None, 2), (b"", 1), (b"a", None), (b"a", 5)], "k binary, v long")
+    assert [r.n for r in ranges.numbered(odd, ["k", ranges.By("v", True)], "n").orderBy(F.asc("k"), F.desc("v")).collect()] == [0, 1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("reuse", [True, False])
+def test_numbers_of_rows_with_other_columns(spark, reuse):
+    """Each number once and each row's predecessor right, whatever columns are read, with exchange reuse or without."""
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import ranges
+
+    n = 1_500_000
+    df = spark.range(n).select((F.col("id") * 48_271 % 1_500_007).alias("key"), F.xxhash64("id").alias("payload"))
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        placed = ranges.numbered(df, ["key"], "n")
+        found = placed.agg(F.count_distinct("n").alias("d"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.bit_xor("payload").alias("x")).first()
+        assert tuple(found)[:3] == (n, 0, n - 1) and found.x == df.agg(F.bit_xor("payload")).first()[0]
+        prior = ranges.before(df, ["key"], F.struct("key")).agg(
+            F.count("*").alias("rows"), F.count("_prior").alias("priors"), F.sum(F.col("key") - F.col("_prior.key")).alias("steps"), F.count_if(F.col("_prior.key") >= F.col("key")).alias("wrong"), F.count("payload").alias("kept")
+        )
+        ends = df.agg(F.max("key") - F.min("key")).first()[0]
+        assert tuple(prior.first()) == (n, n - 1, ends, 0, n)
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
 
 
 def test_a_value_log_opened_again(spark):

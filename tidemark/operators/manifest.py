@@ -66,7 +66,7 @@ def levels(info: DataFrame) -> DataFrame:
 def overlaps(info: DataFrame) -> DataFrame:
     """(level, table_id, error): tables below level 0 that begin at or before the end of the one before ('overlap')
     or after their own end ('inverted'). All levels are ordered together, by ranges, as one may have most tables."""
-    order = [F.col("level"), F.col("smallest"), F.desc("smallest_ver"), F.col("table_id")]
+    order = ["level", "smallest", ranges.By("smallest_ver", True), "table_id"]
     rows = tables(info).where("level > 0").select("level", "table_id", "smallest", "smallest_ver", "biggest")
     rows = ranges.before(rows, order, F.struct("level", "biggest"))
     last = F.when(F.col("_prior.level") == F.col("level"), F.col("_prior.biggest"))

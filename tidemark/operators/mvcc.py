@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.codec import DELETE, DISCARD_EARLIER, has
+from tidemark.operators.ranges import MOST_RANGES, bounds, part_of
+from tidemark.sources.tables import partitions
 
 
 def read_version(log: DataFrame) -> DataFrame:
@@ -74,16 +76,16 @@ def overlay(stored: DataFrame, pending: DataFrame, now: int, read_ts: int) -> Da
     return rows.where(~invisible(now)).select("user_key", "version", "value")
 
 
-def as_of(probes: DataFrame, log: DataFrame, spans: int = 4096) -> DataFrame:
+def as_of(probes: DataFrame, log: DataFrame, spans: int | None = None) -> DataFrame:
     """(probe, user_key, found_version): for each (probe, user_key, version) the newest version of the key up to it; null if none.
 
-    A key's rows are spread over `spans` ranges of the log's versions: each row knows its
-    range, a probe that finds nothing in its own takes the last version of an earlier one.
+    A key's rows are spread over `spans` ranges of versions, which hold about equal numbers
+    of the log's rows however its versions are spaced, so no key has more than a range's
+    share in one; a probe that finds nothing in its own takes the last version of an earlier one.
     """
-    low, high = log.agg(F.min("version"), F.max("version")).first()
-    width = max(1, ((high or 0) - (low or 0)) // spans)
+    at = bounds(log, ["version"], min(spans or 4 * partitions(log.sparkSession), MOST_RANGES))
     marks = log.select("user_key", "version", F.lit(None).cast("long").alias("probe")).distinct()
-    rows = marks.unionByName(probes.select("user_key", "version", F.col("probe").cast("long").alias("probe"))).withColumn("_range", F.least(F.greatest(F.floor((F.col("version") - (low or 0)) / width), F.lit(-1)), F.lit(spans + 1)))
+    rows = marks.unionByName(probes.select("user_key", "version", F.col("probe").cast("long").alias("probe"))).withColumn("_range", part_of(at, ["version"], log))
     own = F.when(F.col("probe").isNull(), F.col("version"))
     order = Window.partitionBy("user_key", "_range").orderBy("version", F.col("probe").asc_nulls_first())
     here = rows.withColumn("_here", F.last(own, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranges import placed
+from tidemark.operators.ranges import MOST_RANGES, By, bounds, part_of
 from tidemark.sources.tables import partitions
 
 
@@ -53,21 +53,23 @@ def ends(log: DataFrame) -> DataFrame:
 
 
 def _sought(probes: DataFrame, log: DataFrame, forward: bool) -> DataFrame:
-    spark = log.sparkSession
-    marks = log.select("user_key", "version", F.lit(None).cast("long").alias("probe")).distinct()
+    order = ["user_key", By("version", True)]
+    marks = log.select("user_key", "version").distinct()
     wanted = probes.select("user_key", "version", F.col("probe").cast("long").alias("probe"))
-    n = 4 * partitions(spark)
-    rows = placed(marks.unionByName(wanted), [F.col("user_key"), F.desc("version")], n)
+    # both are placed by the log's bounds, probes outside of it in its first or last range
+    at = bounds(log, order, min(4 * partitions(log.sparkSession), MOST_RANGES))
+    part = part_of(at, order, log)
+    marks, wanted = (d.withColumn("_part", part) for d in (marks.withColumn("probe", F.lit(None).cast("long")), wanted))
+    rows = marks.unionByName(wanted)
     place: Column = F.struct(F.col("user_key").alias("k"), F.col("version").alias("v"))
     own = F.when(F.col("probe").isNull(), place)
     ascending = [F.col("user_key"), F.desc("version")] if not forward else [F.desc("user_key"), F.col("version")]
-    order = Window.partitionBy("_part").orderBy(*ascending, F.col("probe").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    here = rows.withColumn("_here", F.last(own, ignorenulls=True).over(order)).where("probe is not null")
+    window = Window.partitionBy("_part").orderBy(*ascending, F.col("probe").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    here = rows.withColumn("_here", F.last(own, ignorenulls=True).over(window)).where("probe is not null")
     rank = F.struct(F.col("user_key").alias("k"), (-F.col("version")).alias("v"))
-    edge = (F.min if forward else F.max)(F.when(F.col("probe").isNull(), rank))
-    edges = rows.groupBy("_part").agg(edge.alias("_edge")).where("_edge is not null")
-    # one row a partition: a bounded table, so one task may order it
-    parts = spark.range(n).select(F.col("id").cast("int").alias("_part")).join(edges, "_part", "left")
+    edges = marks.groupBy("_part").agg((F.min if forward else F.max)(rank).alias("_edge"))
+    # one row a range: a bounded table, so one task may order it
+    parts = log.sparkSession.range(len(at) + 1).select(F.col("id").cast("int").alias("_part")).join(edges, "_part", "left")
     beyond = Window.partitionBy(F.lit(0)).orderBy(F.desc("_part") if forward else F.col("_part")).rowsBetween(Window.unboundedPreceding, -1)
     carry = parts.select("_part", F.last("_edge", ignorenulls=True).over(beyond).alias("_beyond"))
     found = here.join(F.broadcast(carry), "_part", "left")
@@ -81,9 +83,9 @@ def _sought(probes: DataFrame, log: DataFrame, forward: bool) -> DataFrame:
 def seek_many(probes: DataFrame, log: DataFrame) -> DataFrame:
     """(probe, found_key, found_version): for each (probe, user_key, version) the first entry at or behind it; nulls if none.
 
-    Probes and entries are range-partitioned together by (key, version), so a hot key is
-    split; within a partition a running last value answers, across partitions a table of
-    their first entries, one row each.
+    Probes and entries are placed together in ranges of (key, version), so a hot key is
+    split; within a range a running last value answers, across ranges a table of their
+    first entries, one row each.
     """
     return _sought(probes, log, True)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.codec import estimated_bytes, too_long
 from tidemark.operators import ranges
+from tidemark.sources.tables import partitions
 
 #: Bytes that a transaction counts before its first write and beside each.
 START, EACH = 21, 10
@@ -69,7 +70,7 @@ def too_big(sized: DataFrame, txn: str = "txn") -> DataFrame:
     return sized.where("too_big").groupBy(txn).agg(F.min(F.struct("seq", "size")).alias("w")).select(txn, "w.seq", "w.size")
 
 
-def conflicts(writes: DataFrame, reads: DataFrame, spans: int = 4096) -> DataFrame:
+def conflicts(writes: DataFrame, reads: DataFrame, spans: int | None = None) -> DataFrame:
     """(txn, n, first_ts): transactions that must abort, the number of commits that got between and the first of them.
 
     `writes` has (user_key, commit_ts); `reads` (txn, user_key, read_ts, commit_ts). A read
@@ -78,13 +79,13 @@ def conflicts(writes: DataFrame, reads: DataFrame, spans: int = 4096) -> DataFra
 
     No pair is made: the commits of a key up to the reader's two timestamps are counted,
     and the difference is the answer; the first one is the next behind the reading. Both
-    run within (key, one of `spans` ranges of timestamps), so a hot key is spread, and go
-    on from the sums of its earlier and the first commits of its later ranges.
+    run within (key, one of `spans` ranges of timestamps that hold about equal numbers of
+    commits), so a hot key is spread, and go on from the sums of its earlier and the first
+    commits of its later ranges.
     """
-    low, high = writes.agg(F.min("commit_ts"), F.max("commit_ts")).first()
-    low = low or 0
-    span = max(1, ((high or 0) - low) // spans)
     commits = writes.where("user_key is not null and commit_ts is not null").select("user_key", F.col("commit_ts").alias("ts")).distinct()
+    stamps = writes.where("user_key is not null and commit_ts is not null").select(F.col("commit_ts").alias("ts"))
+    at = ranges.bounds(stamps, ["ts"], min(spans or 4 * partitions(writes.sparkSession), ranges.MOST_RANGES))
     asked = reads.where("txn is not null and user_key is not null and read_ts is not null and commit_ts is not null").select("txn", "user_key", "read_ts", "commit_ts").distinct()
     nobody = F.lit(None).cast(asked.schema["txn"].dataType).alias("txn")
     # at one timestamp: the end of a read, a commit, the start of a read
@@ -92,7 +93,7 @@ def conflicts(writes: DataFrame, reads: DataFrame, spans: int = 4096) -> DataFra
         commits.select("user_key", "ts", F.lit(1).alias("kind"), nobody, F.lit(None).cast("long").alias("read_ts"), F.lit(None).cast("long").alias("commit_ts"))
         .unionByName(asked.select("user_key", F.col("commit_ts").alias("ts"), F.lit(0).alias("kind"), "txn", "read_ts", "commit_ts"))
         .unionByName(asked.select("user_key", F.col("read_ts").alias("ts"), F.lit(2).alias("kind"), "txn", "read_ts", "commit_ts"))
-        .withColumn("_slot", F.least(F.greatest(F.floor((F.col("ts") - low) / span), F.lit(-1)), F.lit(spans + 1)))
+        .withColumn("_slot", ranges.part_of(at, ["ts"], stamps))
     )
     one = (F.col("kind") == 1).cast("long")
     commit = F.when(F.col("kind") == 1, F.col("ts"))
@@ -117,5 +118,5 @@ def committed(writes: DataFrame, aborted: DataFrame, next_ts: int, txn: str = "t
     The number of a transaction is its rank among those that commit, by range partitions.
     """
     kept = last_pending(writes, txn).join(aborted.select(txn).distinct(), txn, "left_anti")
-    numbers = ranges.numbered(kept.select(txn).distinct(), [F.col(txn)], "commit_ts", next_ts)
+    numbers = ranges.numbered(kept.select(txn).distinct(), [txn], "commit_ts", next_ts, of=writes)
     return kept.join(numbers, txn)

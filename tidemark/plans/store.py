@@ -416,9 +416,8 @@ def table_info(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"{_TABLES} select table_id, level, row_number() over (partition by level order by case when level = 0 then table_id end, smallest, table_id) as place from t")
 def tables_sorted(spark: SparkSession, folder: str) -> DataFrame:
     """Each table's place in its level."""
-    rows = manifest.tables(table(spark, folder, "table_info")).select("table_id", "level", "smallest")
-    order = [F.col("level"), F.when(F.col("level") == 0, F.col("table_id")), F.col("smallest"), F.col("table_id")]
-    placed = ranges.numbered(rows, order, "_place", 1)
+    rows = manifest.tables(table(spark, folder, "table_info")).select("table_id", "level", "smallest").withColumn("in_zero", F.when(F.col("level") == 0, F.col("table_id")))
+    placed = ranges.numbered(rows, ["level", "in_zero", "smallest", "table_id"], "_place", 1)
     first = placed.groupBy("level").agg(F.min("_place").alias("_first"))
     return placed.join(first, "level").select("table_id", "level", (F.col("_place") - F.col("_first") + 1).alias("place"))
 
