@@ -77,39 +77,31 @@ def conflicts(writes: DataFrame, reads: DataFrame, spans: int | None = None) ->
     conflicts with a commit of the same key with read_ts < commit_ts of the write <
     commit_ts of the reader; keys are compared, not hashes. Rows with nulls don't count.
 
-    No pair is made: the commits of a key up to the reader's two timestamps are counted,
-    and the difference is the answer; the first one is the next behind the reading. Both
-    run within (key, one of `spans` ranges of timestamps that hold about equal numbers of
-    commits), so a hot key is spread, and go on from the sums of its earlier and the first
-    commits of its later ranges.
+    No pair is made: the commits of a key behind each of the reader's two timestamps are
+    counted, and the difference is the answer; the first one is the next behind the reading.
+    One sort from the latest to the earliest within (key, one of `spans` ranges of
+    timestamps that hold about equal numbers of commits) gives both, so a hot key is
+    spread; what a key's later ranges hold comes from one row each.
     """
-    commits = writes.where("user_key is not null and commit_ts is not null").select("user_key", F.col("commit_ts").alias("ts")).distinct()
-    stamps = writes.where("user_key is not null and commit_ts is not null").select(F.col("commit_ts").alias("ts"))
-    at = ranges.bounds(stamps, ["ts"], min(spans or 4 * partitions(writes.sparkSession), ranges.MOST_RANGES))
+    commits = writes.where("user_key is not null and commit_ts is not null").select("user_key", F.col("commit_ts").alias("ts"))
+    at = ranges.bounds(commits, ["ts"], min(spans or 4 * partitions(writes.sparkSession), ranges.MOST_RANGES))
     asked = reads.where("txn is not null and user_key is not null and read_ts is not null and commit_ts is not null").select("txn", "user_key", "read_ts", "commit_ts").distinct()
-    nobody = F.lit(None).cast(asked.schema["txn"].dataType).alias("txn")
-    # at one timestamp: the end of a read, a commit, the start of a read
-    rows = (
-        commits.select("user_key", "ts", F.lit(1).alias("kind"), nobody, F.lit(None).cast("long").alias("read_ts"), F.lit(None).cast("long").alias("commit_ts"))
-        .unionByName(asked.select("user_key", F.col("commit_ts").alias("ts"), F.lit(0).alias("kind"), "txn", "read_ts", "commit_ts"))
-        .unionByName(asked.select("user_key", F.col("read_ts").alias("ts"), F.lit(2).alias("kind"), "txn", "read_ts", "commit_ts"))
-        .withColumn("_slot", ranges.part_of(at, ["ts"], stamps))
-    )
-    one = (F.col("kind") == 1).cast("long")
-    commit = F.when(F.col("kind") == 1, F.col("ts"))
-    up = Window.partitionBy("user_key", "_slot").orderBy("ts", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    # at one timestamp, from the last: the start of a read, a commit, the end of a read
+    marks = F.array(F.struct(F.col("read_ts").alias("ts"), F.lit(2).alias("kind")), F.struct(F.col("commit_ts").alias("ts"), F.lit(0).alias("kind")))
+    read = asked.select("user_key", "txn", F.col("commit_ts").alias("end"), F.inline(marks))
+    rows = commits.distinct().withColumn("kind", F.lit(1)).unionByName(read, allowMissingColumns=True).withColumn("_slot", ranges.part_of(at, ["ts"], commits))
+    one, commit = (F.col("kind") == 1).cast("long"), F.when(F.col("kind") == 1, F.col("ts"))
     down = Window.partitionBy("user_key", "_slot").orderBy(F.desc("ts"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy("user_key").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("user_key").orderBy(F.desc("_slot")).rowsBetween(Window.unboundedPreceding, -1)
-    others = rows.groupBy("user_key", "_slot").agg(F.sum(one).alias("_n"), F.min(commit).alias("_first"))
-    others = others.select("user_key", "_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.min("_first").over(after).alias("_later"))
-    counted = rows.withColumn("_here", F.sum(one).over(up)).withColumn("_next", F.min(commit).over(down)).where("kind <> 1")
-    counted = counted.join(others, ["user_key", "_slot"]).withColumn("_count", F.col("_here") + F.col("_before"))
-    start, end = F.col("kind") == 2, F.col("kind") == 0
-    between = counted.groupBy("txn", "user_key", "read_ts", "commit_ts").agg(
-        (F.max(F.when(end, F.col("_count"))) - F.max(F.when(start, F.col("_count")))).alias("n"), F.max(F.when(start, F.coalesce("_next", "_later"))).alias("first_ts")
+    later = Window.partitionBy("user_key").orderBy(F.desc("_slot")).rowsBetween(Window.unboundedPreceding, -1)
+    slots = rows.groupBy("user_key", "_slot").agg(F.sum(one).alias("_n"), F.min(commit).alias("_first"))
+    slots = slots.select("user_key", "_slot", F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_more"), F.last("_first", ignorenulls=True).over(later).alias("_later"))
+    counted = rows.withColumn("_here", F.sum(one).over(down)).withColumn("_next", F.last(commit, ignorenulls=True).over(down)).where("kind <> 1").join(slots, ["user_key", "_slot"])
+    start, behind = F.col("kind") == 2, F.col("_here") + F.col("_more")
+    following = F.coalesce("_next", "_later")
+    found = counted.groupBy("txn").agg(
+        F.sum(F.when(start, behind).otherwise(-behind)).alias("n"), F.min(F.when(start & (following < F.col("end")), following)).alias("first_ts")
     )
-    return between.where("n > 0").groupBy("txn").agg(F.sum("n").alias("n"), F.min("first_ts").alias("first_ts"))
+    return found.where("n > 0")
 
 
 def committed(writes: DataFrame, aborted: DataFrame, next_ts: int, txn: str = "txn") -> DataFrame:
@@ -117,6 +109,6 @@ def committed(writes: DataFrame, aborted: DataFrame, next_ts: int, txn: str = "t
 
     The number of a transaction is its rank among those that commit, by range partitions.
     """
-    kept = last_pending(writes, txn).join(aborted.select(txn).distinct(), txn, "left_anti")
-    numbers = ranges.numbered(kept.select(txn).distinct(), [txn], "commit_ts", next_ts, of=writes)
-    return kept.join(numbers, txn)
+    going = writes.select(txn).where(F.col(txn).isNotNull()).distinct().join(aborted.select(txn).distinct(), txn, "left_anti")
+    numbers = ranges.numbered(going, [txn], "commit_ts", next_ts, of=writes)
+    return last_pending(writes, txn).join(numbers, txn)
