@@ -115,7 +115,60 @@ def test_unprocessed_against_brute_force(spark):
         incremental.BROADCAST_ROWS = kept
 
 
+REPORTS = "run_id long, stream_id long, since_version long, upto_version long, read_at timestamp_ntz, status string, reported_at timestamp_ntz"
+
+
+def unread(data, reports):
+    """Brute force: the seqs of changes that no successful run has read."""
+    last = {}
+    for r in sorted(reports, key=lambda r: r[6]):
+        last[r[0]] = r
+    runs = [r for r in last.values() if r[5] == "succeeded"]
+    real = [(s, v, stream, at) for k, v, _, s, stream, at in data if k and v is not None]
+    return {x[0] for x in real} - {s for s, v, stream, at in real if at and any(stream == r[1] and r[2] < v <= r[3] and at <= r[4] for r in runs)}
+
+
+def test_steps_of_a_ledger(spark, tmp_path):
+    """Step by step, with late rows, backfills, a step that fails and a run that is revoked."""
+    rnd = random.Random(5)
+    data = []
+    for seq in range(600):
+        version = rnd.randrange(1, 200)
+        at = T0 + dt.timedelta(minutes=version + rnd.choice([0, 1, 2, 60]))
+        key, stream = rnd.choice([b"hot", b"hot", b"a", b"b", None]), rnd.randrange(2)
+        data.append((key, version, b"", seq, stream, at if rnd.random() < 0.98 else None))
+        if rnd.random() < 0.2:
+            data.append((key, version, b"", seq, rnd.randrange(2), at + dt.timedelta(minutes=rnd.randrange(90))))
+    data.sort(key=lambda r: r[5] or T0)
+    reports, run = [], 0
+    ledger = incremental.Ledger(spark, str(tmp_path / "ledger"))
+    skipped = []
+    for step in range(5):
+        now = T0 + dt.timedelta(minutes=60 * (step + 1))
+        for stream in (0, 1):
+            for since, upto in ((60 * step - 20 * (step > 0), 60 * step + 30), (60 * step + 30, 60 * step + 45)) + (((10, 40),) if step == 2 else ()):
+                run += 1
+                reports.append((run, stream, since, upto, now - dt.timedelta(minutes=rnd.randrange(10)), rnd.choice(["succeeded"] * 4 + ["failed"]) if run != 2 else "succeeded", now))
+        if step == 3:
+            reports.append((2, 0, 0, 200, now, "revoked", now))
+        here = [r for r in data if r[5] is None or r[5] <= now]
+        path = str(tmp_path / f"feed{step}")
+        feed(spark, here).repartitionByRange(8, "arrived_at").sortWithinPartitions("arrived_at").write.parquet(path)
+        kept, table = spark.read.parquet(path), spark.createDataFrame(reports, REPORTS)
+        # a step that fails before its last part is written leaves nothing
+        (tmp_path / f"ledger/step={step}/changes").mkdir(parents=True)
+        ledger = incremental.Ledger(spark, ledger.path)
+        runs = incremental.successful_runs(table)
+        if ledger.first_step(runs) < ledger.steps:
+            tail = incremental._skipped(kept, ledger._part(step - 1, "starts"))
+            assert "PushedFilters: [Or" in tail._jdf.queryExecution().toString()
+            skipped.append(len(here) - tail.count())
+        assert {r[0] for r in rows(incremental.unprocessed(kept, table, ledger))} == unread(here, reports)
+    assert len(skipped) == 3 and min(skipped) > 0 and ledger.first_step(runs) == 3
+    assert {r[0] for r in rows(incremental.unprocessed(kept.limit(0), table, incremental.Ledger(spark, str(tmp_path / "other"))))} == set()
+
+
 def test_reread_starts_at_the_first_gap(spark):
     t = [T0 + dt.timedelta(hours=h) for h in range(4)]
     runs = spark.createDataFrame([(1, 0, 10, t[1]), (1, 10, 20, t[0]), (1, 25, 30, t[2]), (2, 5, 6, t[3])], "stream_id long, since_version long, upto_version long, read_at timestamp_ntz")
-    assert rows(incremental.reread_from(runs)) == [(1, 0, 20, t[0]), (2, 5, 6, t[3])]
+    assert rows(incremental.reread_from(runs)) == [(1, 0, 20, t[2]), (2, 5, 6, t[3])]

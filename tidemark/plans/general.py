@@ -54,11 +54,12 @@ select seq from c group by seq having not bool_or(was_read)""",
     "p3_reread_from": """
 with last as (select *, row_number() over (partition by run_id order by reported_at desc, lower(trim(status)) desc) as rn from feed_runs),
 ok as (select * from last where rn = 1 and lower(trim(status)) = 'succeeded' and since_version < upto_version),
+t as (select stream_id, min(since_version) as first_version, max(read_at) as settled_at from ok group by stream_id),
 g as (select *, coalesce(since_version > max(upto_version) over (partition by stream_id order by since_version, upto_version
              rows between unbounded preceding and 1 preceding), false) as gap from ok),
 s as (select *, sum(gap::int) over (partition by stream_id order by since_version, upto_version rows unbounded preceding) as gaps from g)
-select stream_id, min(since_version) as first_version, max(upto_version) as open_from, min(read_at) as settled_at
-from s where gaps = 0 group by stream_id""",
+select s.stream_id, first_version, max(upto_version) as open_from, settled_at
+from s join t using (stream_id) where gaps = 0 group by all""",
     "p5_found": """
 with v as (select distinct key, version from kv_feed where octet_length(key) > 0 and version is not null),
 s as (select key, version, lag(version) over (partition by key order by version) as prior from v),
