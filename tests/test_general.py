@@ -44,7 +44,7 @@ def test_a_change_with_very_many_copies(spark):
     data = [(b"a", 5, b"", 1, 0, T0)] * 3000 + [(b"a", 4, b"\x01", 2, 0, T0), (b"b", 1, b"\x01", 3, 0, T0)] * 2
     df = feed(spark, data).repartition(6)
     assert rows(changes.kv_state(df)) == [("kv", "a", 1)]
-    assert rows(heavy.longest_step(df, fraction=1.0)) == [(b"a", 4, 5)]
+    assert rows(heavy.longest_step(df)) == [(b"a", 4, 5)]
     runs = spark.createDataFrame([(1, 0, 4, 9, T0, "succeeded", T0)], "run_id long, stream_id long, since_version long, upto_version long, read_at timestamp_ntz, status string, reported_at timestamp_ntz")
     assert rows(incremental.unprocessed(df, runs)) == [(2,), (3,)]
 
@@ -73,15 +73,36 @@ def test_longest_steps_against_brute_force(spark):
             step, low = max((b - a, -a) for a, b in zip(v, v[1:]))
             want.append((key, -low, -low + step))
     df = spark.createDataFrame([(*r, "x") for r in data], "key binary, version long, _bucket string")
-    for fraction, buckets in ((1.0, None), (1.0, 3), (0.0001, None)):
-        assert rows(heavy.longest_step(df, fraction=fraction, buckets=buckets)) == sorted(want, key=repr)
-    assert heavy.heavy_hitters(df.where("key is not null and key <> ''"), "key", 0.1, 1.0) == [b"hot"]
+    for shares, sampled in ((None, 400), (3, 400), (200, 10), (16, 1)):
+        assert rows(heavy.longest_step(df.repartition(5), shares=shares, sampled=sampled)) == sorted(want, key=repr)
     assert rows(heavy.longest_step(df.limit(0))) == []
 
 
 def test_longest_steps_of_one_version(spark):
     df = spark.createDataFrame([(b"a", 5)] * 100, "key binary, version long")
-    assert rows(heavy.longest_step(df, fraction=1.0)) == []
+    assert rows(heavy.longest_step(df)) == []
+
+
+def test_uneven_heavy_keys_are_spread(spark):
+    """A key with one far version, one with most of its rows under one version, and one of little more than half a share."""
+    n = 20_000
+    hot = spark.range(n).select(F.encode(F.lit("far"), "UTF-8").alias("key"), F.when(F.col("id") == 0, 10**12).otherwise(F.col("id")).alias("version"))
+    same = spark.range(n).select(F.encode(F.lit("same"), "UTF-8").alias("key"), F.when(F.col("id") < 9, F.col("id") * 1000).otherwise(5000).alias("version"))
+    rest = spark.range(n).select(F.encode(F.concat(F.lit("k"), F.col("id") % 5000), "UTF-8").alias("key"), (F.col("id") % 977).alias("version"))
+    df = hot.union(same).union(rest).repartition(16)
+    shares = 30
+    heavy_rows = {bytes(r.key): r.bounds for r in heavy.heavy_keys(df, "key", "version", shares).collect()}
+    assert set(heavy_rows) == {b"far", b"same"} and all(8 <= len(b) <= 11 for b in heavy_rows.values())
+    found = {r[0]: r[1:] for r in rows(heavy.longest_step(df, shares=shares))}
+    assert found[b"far"] == (n - 1, 10**12) and found[b"same"] == (0, 1000)
+    # no group of the exchange has much more than a share
+    plan = heavy.longest_step(df, shares=shares)
+    groups = df.join(heavy.heavy_keys(df, "key", "version", shares), "key")
+    from tidemark.operators.ranges import place_in
+
+    low, high = (place_in(F.col("bounds"), shares, lambda b, f=f: f(b, F.col("version"))) for f in ((lambda b, v: b < v), (lambda b, v: b <= v)))
+    most = groups.groupBy("key", (low + F.pmod(F.hash(F.spark_partition_id()), high - low + 1)).alias("piece")).count().agg(F.max("count")).first()[0]
+    assert most < 4 * 3 * n / shares and plan.count() == 5002 - rest.groupBy("key").agg(F.countDistinct("version").alias("d")).where("d < 2").count()
 
 
 def test_unprocessed_against_brute_force(spark):

@@ -2,70 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranges import MOST_RANGES, place_in
 from tidemark.sources.tables import has_key, partitions
 
+#: Rows of the sample for each task's share of the rows.
+SAMPLED = 400
 
-def heavy_hitters(df: DataFrame, key: str, share: float = 0.002, fraction: float = 0.05, least: int = 20, seed: int = 7) -> list:
-    """Keys that hold at least `share` of a sample of the rows.
 
-    At most 1/share keys can, whatever the size of the data: that bounds what reaches the
-    driver. A key missed or added by the sample changes the plan, never the result.
+def heavy_keys(df: DataFrame, key: str, value: str, shares: int, sampled: int = SAMPLED, seed: int = 7) -> DataFrame:
+    """(key, bounds): the keys that hold at least half of a share, 1/shares of all rows, and the quantiles of their
+    values that cut them into pieces of about a share.
+
+    Found in a sample of about `sampled` rows a share, whatever the size of the table: at
+    most 2 x shares keys and 3 x shares bounds come out. A key missed or added by the
+    sample changes the plan, never the result.
     """
-    counts = df.sample(fraction, seed).rollup(key).count().orderBy(F.desc("count")).limit(int(1 / share) + 1).collect()
-    total = next((r["count"] for r in counts if r[key] is None), 0)
-    return [r[key] for r in counts if r[key] is not None and r["count"] >= max(least, share * total)]
+    total = df.count()
+    fraction = min(1.0, sampled * shares / total) if total else 1.0
+    sample = df.select(F.col(key).alias("key"), F.col(value).alias("value")).sample(fraction, seed).where("key is not null and value is not null")
+    drawn = max(1.0, total * fraction)
+    each = sample.groupBy("key").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("value")).alias("v")).where(F.col("n") >= drawn / (2 * shares))
+    pieces = F.ceil(F.col("n") * shares / drawn)
+    cut = F.transform(F.sequence(F.lit(1), pieces - 1), lambda i: F.element_at("v", F.floor(i * F.col("n") / pieces).cast("int") + 1))
+    return each.select("key", F.when(pieces > 1, cut).otherwise(F.slice("v", 1, 0)).alias("bounds"))
 
 
-def _best(df: DataFrame, key: str) -> DataFrame:
-    """The longest step of each key, the lowest among equal ones."""
-    best = F.max(F.struct("_step", (-F.col("_from")).alias("_low"), "_to"))
-    return df.where("_step > 0").groupBy(key).agg(best.alias("_b")).select(key, (-F.col("_b._low")).alias("from_version"), F.col("_b._to").alias("to_version"))
+def _best(step: Column, low: Column, to: Column) -> Column:
+    """The longest of steps above 0, the lowest among equal ones."""
+    return F.max(F.when(step > 0, F.struct(step.alias("step"), (-low).alias("low"), to.alias("to"))))
 
 
-def longest_step(changes: DataFrame, key: str = "key", version: str = "version", share: float = 0.002, fraction: float = 0.05, buckets: int | None = None) -> DataFrame:
+def longest_step(changes: DataFrame, key: str = "key", version: str = "version", shares: int | None = None, sampled: int = SAMPLED) -> DataFrame:
     """(key, from_version, to_version): the neighbouring distinct versions of a key that lie furthest apart.
 
     Keys with fewer than two distinct versions have no row; null or empty keys and null
     versions are left out; among equal steps the lowest counts. Repeated versions give
     steps of 0, which are no steps. Versions are not negative, so that no step overflows.
 
-    Heavy keys, found in a sample, are split: a broadcast join (at most 1/share rows)
-    gives each its range of versions, cut into `buckets` ranges; steps are taken within
-    (key, bucket) and between the ends of neighbouring buckets. All other keys take the
-    ordinary shuffle by key. A heavy key's work is spread evenly if its versions are.
+    Heavy keys, found in a sample, are joined by broadcast to the quantiles of their
+    versions (at most three bounds a share, four shares a task of the shuffle, MOST_RANGES
+    shares at most) and so cut into pieces of about a share; all others have one piece.
+    Both then go through one exchange by (key, piece), which is their union: one scan after
+    the sample. A version that fills several pieces alone is spread over them by input
+    partition, so its copies are no hot group. Steps are taken within pieces, and between
+    the ends of neighbouring ones from one row a piece.
     """
-    spark: SparkSession = changes.sparkSession
     rows = changes.where(has_key(key) & F.col(version).isNotNull()).select(F.col(key).alias("key"), F.col(version).alias("version"))
-    heavy = heavy_hitters(rows, "key", share, fraction)
-    n = buckets or 4 * partitions(spark)
-    names = spark.createDataFrame([(bytes(k) if isinstance(k, (bytes, bytearray)) else k,) for k in heavy], rows.select("key").schema)
-    light = rows.join(F.broadcast(names), "key", "left_anti") if heavy else rows
-    by_key = Window.partitionBy("key").orderBy("version")
-    prior = F.lag("version").over(by_key)
-    found = _best(light.select("key", prior.alias("_from"), F.col("version").alias("_to"), (F.col("version") - prior).alias("_step")), "key")
-    if not heavy:
-        return found
-    # distinct first, by (key, version): one version may be on most rows of a key
-    own = rows.join(F.broadcast(names), "key", "left_semi").distinct()
-    ranges = own.groupBy("key").agg(F.min("version").alias("_lo"), F.max("version").alias("_hi"))
-    width = (F.col("_hi").cast("double") - F.col("_lo").cast("double")) / n
-    bucket = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("version").cast("double") - F.col("_lo").cast("double")) / width)).otherwise(0)
-    placed = own.join(F.broadcast(ranges), "key").select("key", "version", F.least(bucket, F.lit(n - 1)).cast("int").alias("_bucket"))
-    within = F.lag("version").over(Window.partitionBy("key", "_bucket").orderBy("version"))
-    steps = placed.select("key", "_bucket", "version", within.alias("_from"), (F.col("version") - within).alias("_step"))
-    best = F.max(F.struct("_step", (-F.col("_from")).alias("_low"), F.col("version").alias("_to")))
-    parts = steps.groupBy("key", "_bucket").agg(best.alias("_b"), F.min("version").alias("_first"), F.max("version").alias("_last"))
-    parts = parts.withColumn("_before", F.lag("_last").over(Window.partitionBy("key").orderBy("_bucket")))
-    ends = parts.select(
-        "key",
-        F.explode(
-            F.array(
-                F.struct(F.col("_b._step").alias("_step"), (-F.col("_b._low")).alias("_from"), F.col("_b._to").alias("_to")),
-                F.struct((F.col("_first") - F.col("_before")).alias("_step"), F.col("_before").alias("_from"), F.col("_first").alias("_to")),
-            )
-        ).alias("_s"),
-    ).select("key", "_s.*")
-    return found.unionByName(_best(ends, "key"))
+    shares = shares or min(4 * partitions(changes.sparkSession), MOST_RANGES)
+    heavy = heavy_keys(changes, key, version, shares, sampled)
+    low = place_in(F.col("bounds"), shares, lambda b: b < F.col("version"))
+    high = place_in(F.col("bounds"), shares, lambda b: b <= F.col("version"))
+    # any piece from the first to the last that the version bounds will do, as order within and between them is kept
+    spread = low + F.pmod(F.hash(F.spark_partition_id()), high - low + 1)
+    pieces = rows.join(F.broadcast(heavy), "key", "left").select("key", "version", F.when(F.size("bounds") > 0, spread).otherwise(0).alias("piece"))
+    within = F.lag("version").over(Window.partitionBy("key", "piece").orderBy("version"))
+    ends = pieces.withColumn("prior", within).groupBy("key", "piece").agg(
+        _best(F.col("version") - F.col("prior"), F.col("prior"), F.col("version")).alias("best"), F.min("version").alias("first"), F.max("version").alias("last")
+    )
+    before = F.lag("last").over(Window.partitionBy("key").orderBy("piece"))
+    across = _best(F.col("first") - F.col("before"), F.col("before"), F.col("first"))
+    found = ends.withColumn("before", before).groupBy("key").agg(F.max("best").alias("a"), across.alias("b"))
+    best = F.greatest("a", "b")
+    return found.where("a is not null or b is not null").select("key", (-best["low"]).alias("from_version"), best["to"].alias("to_version"))
