@@ -80,17 +80,17 @@ def _skipped(feed: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def _marked(copies: DataFrame, runs: DataFrame) -> DataFrame:
-    """(key, version, seq, stream_id, arrived_at, read): each change of each stream, when its first copy arrived, and
-    whether a successful run of the stream read one.
+    """The copies with `read`: whether a successful run of their stream read them. No exchange up to BROADCAST_ROWS runs.
 
     Ranges of runs are matched by equality of (stream, slot), so no stream meets every run.
-    Copies of a change are combined before the exchange: there may be very many.
     """
     ranges, width, small = _ranges(runs)
-    c, r = copies.withColumn("_slot", F.floor(F.col("version") / width)).alias("c"), (F.broadcast(ranges) if small else ranges).alias("r")
-    read = (F.col("c.stream_id") == F.col("r.stream_id")) & (F.col("c._slot") == F.col("r._slot")) & (F.col("c.version") > F.col("r.since_version")) & (F.col("c.version") <= F.col("r.upto_version")) & (F.col("c.arrived_at") <= F.col("r.read_at"))
-    rows = c.join(r, read, "left").select(*_PAIR, "c.stream_id", "c.arrived_at", F.col("r.read_at").isNotNull().alias("read"))
-    return rows.groupBy(*_PAIR, "stream_id").agg(F.min("arrived_at").alias("arrived_at"), F.bool_or("read").alias("read"))
+    span = F.struct("since_version", "upto_version", "read_at")
+    spans = ranges.groupBy(F.col("stream_id").alias("_stream"), F.col("_slot").alias("_place")).agg(F.collect_list(span).alias("_spans"))
+    c = copies.withColumn("_slot", F.floor(F.col("version") / width))
+    rows = c.join(F.broadcast(spans) if small else spans, (F.col("stream_id") == F.col("_stream")) & (F.col("_slot") == F.col("_place")), "left")
+    by_run = F.exists("_spans", lambda r: (F.col("version") > r["since_version"]) & (F.col("version") <= r["upto_version"]) & (F.col("arrived_at") <= r["read_at"]))
+    return rows.withColumn("read", F.coalesce(by_run, F.lit(False))).select(*copies.columns, "read")
 
 
 class Ledger:
@@ -157,7 +157,9 @@ class Ledger:
         runs.withColumn("first_step", F.lit(first)).write.mode("overwrite").parquet(self._at(step, "runs"))
         reread_from(runs).write.mode("overwrite").parquet(self._at(step, "starts"))
         self.steps += 1
-        return self._changes(step, False).select(*_PAIR).join(self.processed(first), _PAIR, "left_anti").select("seq").distinct()
+        # a change may have very many copies: they are made one before the exchange
+        left = self._changes(step, False).select(*_PAIR).distinct()
+        return left.join(self.processed(first).distinct(), _PAIR, "left_anti").select("seq").distinct()
 
 
 def unprocessed(feed: DataFrame, reports: DataFrame, ledger: Ledger | None = None) -> DataFrame:
