@@ -71,13 +71,24 @@ def test_mails_that_are_not_prose(spark):
     assert quality.not_prose(docs, words.limit(0)).count() >= 4
 
 
-@pytest.mark.parametrize("piece", [200, 1000])
-def test_pieces_add_up_to_the_whole(spark, piece):
-    docs, words = frames(spark, [d for d in DOCS if d[0] not in (8, 9)])
-    whole, cut = (dict((r[0], r[1:]) for r in rows(quality.prose_shares(docs, words, piece=p))) for p in (10**6, piece))
-    assert whole == cut
-    docs, words = frames(spark, DOCS)
-    assert rows(quality.statistics(docs, words, piece=piece)) == rows(quality.statistics(docs, words, piece=10**7))
+LONG = [
+    (11, mail("Parts:\n    pump\n    hose\n" * 90)),
+    (12, mail(" ".join(f"2025-01-01T00:00:0{i % 10}Z ERROR x={i} rc=143" for i in range(1500)))),
+    (13, "then\tthe\t" * 9000),
+    (14, mail("the end\n\n\n" * 40 + " \n" * 300 + "x. \n y" * 50)),
+    (15, mail("| a | b |\n" * 3000 + "\n" + PROSE)),
+]
+
+
+@pytest.mark.parametrize("piece", [64, 1000])
+@pytest.mark.parametrize("spread", [3, 10**6])
+def test_pieces_add_up_to_the_whole(spark, monkeypatch, piece, spread):
+    docs, words = frames(spark, DOCS + LONG)
+    whole = [rows(f(docs, words, piece=10**7)) for f in (quality.prose_shares, quality.statistics)]
+    monkeypatch.setattr(quality, "SPREAD", spread)
+    monkeypatch.setattr(quality, "ROWS", 7)
+    assert [rows(f(docs, words, piece=piece)) for f in (quality.prose_shares, quality.statistics)] == whole
+    assert {r[0]: r[3] for r in whole[0]}[12] == 1.0 and {r[0]: r[3] for r in whole[0]}[9] == 1.0
 
 
 def test_statistics_by_hand(spark):
@@ -88,10 +99,13 @@ def test_statistics_by_hand(spark):
 
 
 def test_pieces_lose_nothing():
-    text = "ab cd\n" * 50 + "x" * 500 + " y" * 100
-    for size in (7, 64, 1000):
+    text = "ab cd\n" * 50 + "\n\n" + "x" * 500 + " y" * 100
+    for size in (1, 7, 64, 1000):
         parts = lines.pieces(text, size)
-        assert "".join(p + ("" if on else "\n") for p, on in parts) == text + "\n" and all(len(p) <= size for p, _ in parts)
+        assert "\n".join(p for p, _ in parts) == text and all(len(p) <= size or "\n" not in p for p, _ in parts)
+        assert all(after[:2] == p[:2] for (_, after), (p, _) in zip(parts, parts[1:])) or size == 1
+        words = [p for p, _ in lines.word_pieces(text, size)]
+        assert "".join(words) == text and [w for p in words for w in p.split()] == text.split()
 
 
 def test_a_bounded_word_list(spark):
@@ -134,3 +148,24 @@ def test_deep_mails(depth):
     for k in range(depth):
         inner = f"Content-Type: multipart/mixed; boundary=b{k}x\n\n--b{k}x\n{inner}\n--b{k}x--\n"
     assert own_body(HEAD + inner) == "deep"
+
+
+def test_notices_and_quotes_by_their_form():
+    kept = "Hello Ann,\nthis message is confidential between us, but the pump is broken."
+    assert own_body(mail(kept)) == kept
+    kept = "As you know nothing in this e-mail forms a contract and I agree. The rest is fine."
+    assert own_body(mail(kept)) == kept
+    kept = "See you.\n\n____\nThanks for the contract. Please delete the old one."
+    assert own_body(mail(kept)) == kept
+    notice = "This e-mail is intended only for the recipient. If it reached you in error, please destroy it."
+    dutch = "Dit bericht is vertrouwelijk. Bent u niet de geadresseerde, verwijder het dan."
+    assert own_body(mail(f"my words\n\n{notice}")) == own_body(mail(f"my words\n\n----\n\n{dutch}")) == "my words"
+    assert own_body(mail(f"my words\n____\n{notice}\n\n> old")) == "my words"
+    assert own_body(mail(f"{notice}\n\nmy words behind it")) == f"{notice}\n\nmy words behind it"
+    assert own_body(mail(f"> old\n\nmy words\n{notice}")) == "my words"
+    assert own_body(mail("my words\n\nBegin forwarded message:\n\nFrom: A <a@b.example>\nSubject: x\nDate: today\n\nold")) == "my words"
+    assert own_body(mail("my words\n\n---- Doorgestuurd bericht ----\nVan: A\nAan: B\n\nold")) == "my words"
+    for line in ("Op ma 2 jun. 2025 om 10:00 schreef A B:", "Den 2 juni 2025 kl. 10:00 skrev A B:", "Il 2 giu 2025 A B ha scritto:"):
+        assert own_body(mail(f"my words\n\n{line}\n> old")) == "my words"
+    listed = "As asked:\nPump: 4\nHose: 7\nValve: n/a"
+    assert own_body(mail(listed)) == listed

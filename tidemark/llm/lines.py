@@ -116,12 +116,15 @@ def idle(block: list[int]) -> int:
     return 0
 
 
-def count(piece: str, common: frozenset[str]) -> Counts:
-    """Counts over a piece that is cut between lines, or inside a line longer than a piece."""
+def count(piece: str, common: frozenset[str], following: str | None = None) -> Counts:
+    """Counts over a piece that is cut between lines; `following` is how the line behind it begins, None at the end."""
     out = Counts()
     block = out.head
     lines = piece.split("\n")
-    for at, line in enumerate(lines):
+    n_lines = len(lines)
+    if following is not None:
+        lines.append(following)
+    for at, line in enumerate(lines[:n_lines]):
         n = len(line)
         if not n or line.isspace() and n < 40:
             if block is out.tail:
@@ -155,23 +158,36 @@ def count(piece: str, common: frozenset[str]) -> Counts:
     return out
 
 
-def pieces(text: str, size: int) -> list[tuple[str, bool]]:
-    """The text cut into pieces of at most `size` characters, each with whether its last line goes on.
+def pieces(text: str, size: int) -> list[tuple[str, str | None]]:
+    """The text cut between lines into pieces of about `size` characters, each with how the line behind it begins.
 
-    Cuts lie behind a line end if the piece has one, else behind white space near its end,
-    else anywhere.
+    No line is cut: a piece is longer only if a single line is.
     """
-    out: list[tuple[str, bool]] = []
+    out: list[tuple[str, str | None]] = []
     at, n = 0, len(text)
     while n - at > size:
-        end = text.rfind("\n", at, at + size)
-        if end > at:
-            out.append((text[at:end], False))
-            at = end + 1
-            continue
-        space = text.rfind(" ", max(at + 1, at + size - 1024), at + size)
-        end = space + 1 if space > at else at + size
-        out.append((text[at:end], True))
-        at = end
-    out.append((text[at:], False))
+        end = text.rfind("\n", at, at + size + 1)
+        end = text.find("\n", at + size) if end < 0 else end
+        if end < 0:
+            break
+        out.append((text[at:end], text[end + 1 : end + 3].partition("\n")[0]))
+        at = end + 1
+    out.append((text[at:], None))
+    return out
+
+
+_BLANK = re.compile(r"\s")
+
+
+def word_pieces(text: str, size: int) -> list[tuple[str, None]]:
+    """The text cut behind white space into pieces of `size` characters or, as no word is cut, up to a word more."""
+    out: list[tuple[str, None]] = []
+    at, n = 0, len(text)
+    while n - at > size:
+        blank = _BLANK.search(text, at + size - 1)
+        if not blank:
+            break
+        out.append((text[at : blank.end()], None))
+        at = blank.end()
+    out.append((text[at:], None))
     return out

@@ -19,25 +19,32 @@ _CHARSET = re.compile(r'charset\s*=\s*"?([\w.:-]+)', re.I)
 _TAG = re.compile(r"<[^<>]*>")
 _BREAK = re.compile(r"<br\s*/?>\n?|</p>\n?", re.I)
 _RULE = re.compile(r"^\s*([*=_#~+-])(?:[ ]?[*=_#~+-]){3,}\s*$")
-_MARK = re.compile(r"^\s*-{2,}\s*(?:original message|forwarded message|original-nachricht|ursprüngliche nachricht|weitergeleitete nachricht|message d'origine|message transféré|mensaje original|mensaje reenviado|исходное сообщение|пересылаемое сообщение|転送メッセージ)\s*-{2,}\s*$", re.I)
-#: A line that names who wrote the quoted text below it, in the languages of the archive.
-_WROTE = re.compile(r"(?:\bwrote|\bschrieb\b.*|a écrit|escribió|пишет|написал\w*|のメール)\s*[:：]\s*$", re.I)
+#: A line between dashes, or one that ends with a colon, which announces a forwarded or replied-to mail if its headers follow.
+_MARK = re.compile(r"^\s*-{2,}\s*[^\W\d_][^\n]{2,60}?\s*-{2,}\s*$|^[^\W\d_][^\n]{4,60}[:：]\s*$")
+#: A header line of a mail that is quoted in the text, in any language: a name of one or two words and a value.
+_FIELD = re.compile(r"^\s*\*?[^\W\d_]{2,14}(?:[ -][^\W\d_]{1,12})?\*?\s?[:：](?!//)\*? ?\S")
+#: What one of the headers of a quoted mail has: an address or a time.
+_ADDRESS = re.compile(r"\S@\S|\d{1,2}:\d{2}")
+#: A line that names who wrote the quoted text below it: a verb of writing in the languages of the archive and their neighbours.
+_WROTE = re.compile(r"(?:\bwrote|\bschrieb\b.*|a écrit|escribió|escreveu|ha scritto|schreef\b.*|skrev\b.*|пишет|написал\w*|のメール)\s*[:：]\s*$", re.I)
 _NAMED = re.compile(r"^.{4,120}, [^,:]{3,60}:$")
 #: A date or time, also a short one or seconds since 1970, by which a line above bars names a quoted sender.
 _WHEN = re.compile(r"\d{1,2}:\d{2}|\d{1,4}[./-]\d{1,2}[./-]\d{1,4}|\b\d{1,2}\.? \w{2,}|\b\d{9,}\b|^[\s>|]*\w{2,3}, \d{1,2}\b|\d{4}年")
 _GRID = re.compile(r"^\+[-=+:]+\s*$")
-#: Phrases by which a paragraph is a legal or courtesy notice, not the sender's words.
-_NOTICE = re.compile(
-    r"^\s*(?:confidential(?:ity)?\b\s*:|confidential notice|disclaimer\b)"
-    r"|\bthis (?:message|e-?mail)(?: and any (?:files|attachments))?\b.{0,60}\b(?:meant only|intended (?:only|solely)|confidential)"
-    r"|\bthink of the trees before you print|\bconsider the environment before printing"
-    r"|\bregistered under no\b|checked it for malware"
-    r"|\bnothing in this e-?mail forms a contract"
-    r"|\bdiese (?:nachricht|e-?mail) ist vertraulich|\birrtümlich erhalten haben"
-    r"|\bce (?:courriel|message) est confidentiel"
-    r"|\beste (?:mensaje|correo) es confidencial"
-    r"|это сообщение (?:является )?конфиденциальн|このメールは機密",
-    re.I,
+#: Subjects of legal and courtesy notices, a group for each, by word stems. None alone makes a notice: see _notice.
+_SUBJECTS = re.compile(
+    r"(?P<label>^\W{0,4}(?:confidential(?:ity)?(?: notice)?|disclaimer|legal notice|haftungsausschluss|avertissement|aviso legal)\s*:)"
+    r"|(?P<secret>\bconfiden[ct]i|\bprivileged\b|\bvertraulich|\bvertrouwelijk|\bkonfidenti|конфиденциальн|機密)"
+    r"|(?P<addressee>\baddressee|\brecipient|\bintended (?:for|only|solely)|\bempfänger|\bdestinat[aá]|\bgeadresseerde|\bmottagare|адресат|получател|宛先|受信者)"
+    r"|(?P<error>\bin error\b|\bby mistake|\birrtümlich|\bversehentlich|\bpar erreur|\bpor error|\bper errore|\babusievelijk|\bav misstag|по ошибке|誤って)"
+    r"|(?P<delete>\bdelet|\bdestroy|\blösch|\bvernicht|\bdétrui|\bsupprim|\belimin|\bcancell|\bverwijder|\bradera|удалит|削除)"
+    r"|(?P<liable>\bliab|\bwarrant|\bhaft(?:et|ung)|\bgewähr|\bresponsab|\bgarant|\baansprakelijk|\bansvar|ответственност)"
+    r"|(?P<contract>\bcontract|\blegally binding|\bverträge?\b|\brechtsverbindlich|\bcontrat)"
+    r"|(?P<views>\b(?:views|opinions)\b.{0,40}\b(?:writer|author|sender|firm|company)|\bansichten\b|\bmeinungen\b)"
+    r"|(?P<malware>\bmalware|\bvirus|\bschadsoftware|вирус)"
+    r"|(?P<print>\b(?:before|bevor|avant d|antes de)\b.{0,20}\b(?:print|druck|ausdruck|imprim)|\benvironment|\btrees\b|\bumwelt\b)"
+    r"|(?P<firm>\bregistered (?:under|in|office|no\b|number)|\bcompany (?:no|number)\b|\bhandelsregister|\bsiège social)",
+    re.I | re.S,
 )
 _QUOTE = (">", "|")
 
@@ -188,59 +195,102 @@ def _table_bars(lines: list[str]) -> set[int]:
     return out
 
 
+def _forwarded(lines: list[str], at: int) -> bool:
+    """Whether the line announces a mail that follows: the next line with something in it is a header; without dashes,
+    the next three are, and have an address or a time."""
+    if not _MARK.match(lines[at]):
+        return False
+    need = 1 if lines[at].lstrip().startswith("--") else 3
+    fields = [x for x in lines[at + 1 : at + 8] if x.strip()][:need]
+    return len(fields) == need and all(_FIELD.match(x) for x in fields) and (need == 1 or any(_ADDRESS.search(x) for x in fields))
+
+
+def _notice(lines: list[str], ruled: bool) -> int:
+    """How many of a paragraph's lines stand before a notice that ends it; all if it has none.
+
+    A notice touches at least three of its subjects; a label counts as two, or as three if
+    a rule stands above it. It begins below the rule, else with the paragraph or the last line
+    from which on it touches all of them.
+    """
+    text = " ".join(lines)
+    subjects = {m.lastgroup for m in _SUBJECTS.finditer(text)}
+    if len(subjects) + ("label" in subjects) * (1 + ruled) < 3:
+        return len(lines)
+    if ruled:
+        return 0
+    for k in range(len(lines) - 1, 0, -1):
+        if {m.lastgroup for m in _SUBJECTS.finditer(" ".join(lines[k:]))} >= subjects:
+            # a full line above that doesn't end a sentence is the notice's own, wrapped
+            return k if k > 1 or len(lines[0]) < 40 or lines[0].rstrip()[-1:] in ".!?…。:" else 0
+    return 0
+
+
+def _without_notices(lines: list[str]) -> list[str]:
+    """The lines without notices. A notice is a paragraph, or its end, behind which own words no longer come before a
+    quote or the end; the rule above it goes with it. A quote left a None behind."""
+    paragraphs: list[tuple[int, int]] = []
+    at, n = 0, len(lines)
+    while at < n:
+        end = at
+        while end < n and lines[end] and lines[end].strip() and (end == at or not _RULE.match(lines[end])):
+            end += 1
+        if end > at:
+            paragraphs.append((at, end))
+        at = max(end, at + 1)
+    dropped: set[int] = set()
+    last, gone = True, False
+    follows = n
+    for begin, end in reversed(paragraphs):
+        last = last or any(x is None for x in lines[end:follows])
+        follows = begin
+        if not last:
+            gone = False
+            continue
+        ruled = bool(_RULE.match(lines[begin]))
+        if ruled and end == begin + 1:
+            # a rule alone goes if the notice below it went
+            if gone:
+                dropped.add(begin)
+            gone = False
+            continue
+        own = begin + ruled
+        above = ruled or any(_RULE.match(lines[k] or "") for k in range(max(0, begin - 2), begin))
+        kept = own + _notice(lines[own:end], above)
+        gone = last = kept == own
+        if kept < end:
+            dropped.update(range(begin if gone else kept, end))
+    return [x or "" for k, x in enumerate(lines) if k not in dropped]
+
+
 def own_body(text: str | None) -> str | None:
     """What the sender wrote: None for null or blank text or a mail without own words.
 
-    Line ends become \\n. A line that follows a notice's rule is judged by paragraph.
+    Line ends become \\n. Quoted lines go with the line that names their sender, forwarded
+    mails with what announces them, notices with their rule.
     """
     body = readable(text)
     if body is None:
         return None
     lines = body.split("\n")
     bars = _table_bars(lines) if "|" in body else set()
-    kept: list[str] = []
+    kept: list[str | None] = []
     n = len(lines)
     i = 0
     while i < n:
         line = lines[i]
         if line[:1] in _QUOTE and line and i not in bars:
             # the line that names the quoted sender belongs to the quote, also when it is wrapped
-            while kept and not kept[-1].strip():
+            while kept and not (kept[-1] or "").strip():
                 kept.pop()
-            if kept and (_WROTE.search(kept[-1]) or _NAMED.match(kept[-1])):
+            if kept and (_WROTE.search(kept[-1]) or _NAMED.match(kept[-1]) or (kept[-1].rstrip()[-1:] in ":：" and _WHEN.search(kept[-1]))):
                 kept.pop()
             while i < n and lines[i] and lines[i][:1] in _QUOTE and i not in bars:
                 i += 1
-            kept.append("")
+            kept.append(None)
             continue
-        if line.lstrip()[:2] == "--" and _MARK.match(line):
+        if _forwarded(lines, i):
             break
         kept.append(line)
         i += 1
-    # notices: a paragraph with one of the phrases, and the rule above it
-    out: list[str] = []
-    i, n = 0, len(kept)
-    while i < n:
-        j = i
-        while j < n and kept[j].strip():
-            j += 1
-        para = kept[i:j]
-        cut = next((k for k, x in enumerate(para) if _NOTICE.search(x)), None)
-        if cut is None and len(para) > 1 and _NOTICE.search(" ".join(para)):
-            cut = next((k + 1 for k, x in enumerate(para) if _RULE.match(x)), 0)
-        if cut is not None:
-            if cut and _RULE.match(para[cut - 1]):
-                cut -= 1
-            para = para[:cut]
-            if not para:
-                while out and not out[-1].strip():
-                    out.pop()
-                if out and _RULE.match(out[-1]):
-                    out.pop()
-        out += para
-        while j < n and not kept[j].strip():
-            out.append("")
-            j += 1
-        i = j
-    result = "\n".join(out).strip("\n")
+    result = "\n".join(_without_notices(kept)).strip("\n")
     return result if result.strip() else None

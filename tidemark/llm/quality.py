@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -12,15 +13,20 @@ from tidemark.llm import lines
 from tidemark.llm.batches import sliced
 from tidemark.llm.mail import own_body
 
-#: Characters of a piece; a longer text is counted piece by piece.
+#: Characters of a piece, but for longer lines or words; a longer text is counted piece by piece, which changes no count.
 PIECE = 16_384
 #: Pieces of a text whose counts are merged first.
 FAN_IN = 16
+#: A text of more pieces is spread over tasks before it is counted.
+SPREAD = 64
+#: Pieces that a batch of such texts holds.
+ROWS = 256
 #: A frequent-word list beyond this many words is refused: it goes to every task.
 MOST_WORDS = 100_000
 
 _BLOCK = ("chars", "words", "common", "signs", "kana", "stops", "lines")
-_SUMS = ("chars", "words", "letters", "symbols", "lines", "ended", "common")
+_SUMS = ("chars", "words", "letters", "symbols", "common")
+_LINE = ("lines", "ended", "broken", "head", "tail")
 
 
 def common_set(words: DataFrame, word: str = "word") -> frozenset[str]:
@@ -31,32 +37,62 @@ def common_set(words: DataFrame, word: str = "word") -> frozenset[str]:
     return frozenset(r["w"] for r in found)
 
 
-# --- prose or not -------------------------------------------------------------
-
+def _counted(docs: DataFrame, ident: str, text: str, names: list[str], prepare: Callable, cut: Callable, count: Callable) -> DataFrame:
+    """(ident, piece, *names): the counts of each piece of each text that `prepare` gives something for.
 
-def _body_counts(docs: DataFrame, ident: str, text: str, common: frozenset[str], piece: int) -> DataFrame:
-    """One row of counts for each piece of each document's own body."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+    `cut` gives (piece, context) of a text, `count` of such a pair the counts. Texts of up to
+    SPREAD pieces are counted where they are; the pieces of longer ones travel by (ident,
+    piece) first, so that one huge text is counted by many tasks. Of the others only counts
+    travel, along the same way: one scan, one exchange.
+    """
     rows = docs.select(F.col(ident), F.col(text))
     kind = rows.schema[0].dataType.simpleString()
-    names = ["chars", "junk", "broken", *(f"h_{b}" for b in _BLOCK), *(f"t_{b}" for b in _BLOCK)]
+    schema = f"`{ident}` {kind}, piece long, rest string, context string, " + ", ".join(f"{n} long" for n in names)
+    columns = [ident, "piece", "rest", "context", *names]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+    def batch_of(ids: pa.Array, made: list[tuple]) -> pa.RecordBatch:
+        at, numbers, rests, contexts, counts = zip(*made) if made else ((), (), (), (), ())
+        values = [pa.array(c, pa.int64()) for c in zip(*counts)] if made else [pa.array([], pa.int64())] * len(names)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(numbers, pa.int64()), pa.array(rests, pa.string()), pa.array(contexts, pa.string()), *values], columns)
+
+    def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = (None,) * len(names)
         for batch in sliced(batches):
-            at, numbers, counts = [], [], []
+            made: list[tuple] = []
             for i, t in enumerate(batch.column(1).to_pylist()):
-                body = own_body(t)
-                if body is None:
+                own = prepare(t)
+                if own is None:
+                    continue
+                parts = cut(own)
+                if len(parts) <= SPREAD:
+                    made += [(i, n, None, None, count(*part)) for n, part in enumerate(parts)]
                     continue
-                for n, (part, _) in enumerate(lines.pieces(body, piece)):
-                    at.append(i)
-                    numbers.append(n)
-                    counts.append(lines.count(part, own).row())
-            columns = [pa.array(c, pa.int64()) for c in zip(*counts)] if counts else [pa.array([], pa.int64())] * len(names)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(numbers, pa.int64()), *columns], [ident, "piece", *names])
+                for first in range(0, len(parts), ROWS):
+                    yield batch_of(batch.column(0), [(i, first + n, *part, none) for n, part in enumerate(parts[first : first + ROWS])])
+            yield batch_of(batch.column(0), made)
 
-    return rows.mapInArrow(run, f"`{ident}` {kind}, piece long, " + ", ".join(f"{n} long" for n in names))
+    def there(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = batch.column(2)
+            if rest.null_count < len(rest):
+                found = [(None if r is None else count(r, c)) for r, c in zip(rest.to_pylist(), batch.column(3).to_pylist())]
+                values = [pa.array([b if f is None else f[k] for f, b in zip(found, batch.column(4 + k).to_pylist())], pa.int64()) for k in range(len(names))]
+            else:
+                values = batch.columns[4:]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *values], [ident, "piece", *names])
+
+    spread = rows.mapInArrow(here, schema).repartition(ident, "piece")
+    return spread.mapInArrow(there, f"`{ident}` {kind}, piece long, " + ", ".join(f"{n} long" for n in names))
+
+
+# --- prose or not -------------------------------------------------------------
+
+
+def _body_counts(docs: DataFrame, ident: str, text: str, common: frozenset[str], piece: int) -> DataFrame:
+    """One row of counts for each piece of each document's own body."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+    names = ["chars", "junk", "broken", *(f"h_{b}" for b in _BLOCK), *(f"t_{b}" for b in _BLOCK)]
+    return _counted(docs, ident, text, names, own_body, lambda t: lines.pieces(t, piece), lambda part, after: lines.count(part, shared.value, after).row())
 
 
 def _idle(block: Column) -> Column:
@@ -95,12 +131,18 @@ def _merged(a: Column, b: Column) -> Column:
     )
 
 
-def _fold(parts: DataFrame, by: list[str]) -> DataFrame:
+def _fold(parts: DataFrame, by: list[str], merge: Callable[[Column, Column], Column]) -> DataFrame:
     """The counts of each group's pieces in their order, merged into one."""
     row = F.array_sort(F.collect_list(F.struct("piece", "c")))
     each = parts.groupBy(*by).agg(row.alias("_p"), F.min("piece").alias("piece"))
     first = F.element_at("_p", 1)["c"]
-    return each.select(*by, "piece", F.aggregate(F.slice("_p", 2, F.greatest(F.size("_p") - 1, F.lit(0))), first, lambda acc, x: _merged(acc, x["c"])).alias("c"))
+    return each.select(*by, "piece", F.aggregate(F.slice("_p", 2, F.greatest(F.size("_p") - 1, F.lit(0))), first, lambda acc, x: merge(acc, x["c"])).alias("c"))
+
+
+def _merged_tree(parts: DataFrame, ident: str, merge: Callable[[Column, Column], Column]) -> DataFrame:
+    """(ident, c) of (ident, piece, c): a text's counts, FAN_IN neighbouring pieces merged first, then the rest."""
+    few = parts.withColumn("_few", F.floor(F.col("piece") / FAN_IN))
+    return _fold(_fold(few, [ident, "_few"], merge), [ident], merge)
 
 
 def prose_shares(docs: DataFrame, words: DataFrame, ident: str = "doc_id", text: str = "text", piece: int = PIECE) -> DataFrame:
@@ -109,14 +151,14 @@ def prose_shares(docs: DataFrame, words: DataFrame, ident: str = "doc_id", text:
 
     A null or blank text, or one without own body, has no row; line ends don't count as
     characters. `ident` is unique; two rows with the same are merged. A body longer than
-    `piece` is counted in pieces. Within a piece, paragraphs that end are judged and leave
-    two sums; those open at its ends leave their counts, which the merge joins over the
-    cut: FAN_IN pieces first, then a document's rest. Only counts are shuffled.
+    `piece` is counted in pieces of whole lines, whose number changes nothing. Within a
+    piece, paragraphs that end are judged and leave two sums; those open at its ends leave
+    their counts, which the merge joins over the cut. Only counts are shuffled, and the
+    pieces of huge texts.
     """
     counts = _body_counts(docs, ident, text, common_set(words), piece)
     ends = [F.array(*[f"{e}_{n}" for n in _BLOCK]).alias(name) for e, name in (("h", "head"), ("t", "tail"))]
-    parts = counts.select(ident, "piece", F.floor(F.col("piece") / FAN_IN).alias("_few"), F.struct("chars", "junk", "broken", *ends).alias("c"))
-    whole = _fold(_fold(parts, [ident, "_few"]), [ident])
+    whole = _merged_tree(counts.select(ident, "piece", F.struct("chars", "junk", "broken", *ends).alias("c")), ident, _merged)
     idle = F.col("c.junk") + _idle(F.col("c.head")) + _idle(F.col("c.tail"))
     return whole.select(ident, F.col("c.chars").alias("n_chars"), idle.alias("n_idle")).withColumn("idle_share", F.when(F.col("n_chars") > 0, F.col("n_idle") / F.col("n_chars")).otherwise(0.0))
 
@@ -130,24 +172,37 @@ def not_prose(docs: DataFrame, words: DataFrame, ident: str = "doc_id", text: st
 
 
 _ENDS = frozenset(".!?…。！？:;\"”»'")
+_SYMBOL = re.compile(r"[^\w\s]|_")
 
 
-def _piece_sums(part: str, goes_on: bool, goes_in: bool, end: str, common: frozenset[str]) -> tuple[list[int], str]:
-    """Sums of one piece, and the last sign of the line that goes on behind it.
+def _sign(row: str) -> int:
+    """How a line, or a part of one, ends: 0 with nothing in it, 2 with a sign that ends sentences, else 1."""
+    row = row.rstrip()
+    return 0 if not row else 2 if row[-1] in _ENDS else 1
 
-    A word that a cut divides counts in its first piece alone, a line in its last: `end` is
-    the last sign it had before this piece.
-    """
+
+def _piece_counts(part: str, common: frozenset[str]) -> list[int]:
+    """Sums over a piece, and what its lines say: those closed in it, and how the lines open at its ends end here."""
     words = part.split()
-    cut = goes_in and bool(part) and not part[0].isspace()
-    plain = part.isascii() and part.replace(" ", "").replace("\n", "").isalnum()
-    symbols = 0 if plain else sum(not (c.isalnum() or c.isspace()) for c in part)
-    ends = [row.rstrip()[-1:] for row in part.split("\n")]
-    ends[0] = ends[0] or end
-    end = ends.pop() if goes_on else ""
-    n_lines, ended = sum(map(bool, ends)), sum(e in _ENDS for e in ends)
     hits = sum(w.strip(".,;:!?\"'()").lower() in common for w in words)
-    return [len(part), len(words) - cut, sum(map(len, words)), symbols, n_lines, ended, hits], end
+    ends = [_sign(row) for row in part.split("\n")]
+    inner = ends[1:-1]
+    broken = len(ends) > 1
+    return [len(part), len(words), sum(map(len, words)), len(_SYMBOL.findall(part)), hits, sum(e > 0 for e in inner), inner.count(2), int(broken), ends[0], ends[-1] if broken else 0]
+
+
+def _merged_sums(a: Column, b: Column) -> Column:
+    """Sums of two pieces that follow each other; the line that lies over the cut ends as its last part with something in it."""
+    over = F.when(b["head"] > 0, b["head"]).otherwise(F.when(a["broken"] > 0, a["tail"]).otherwise(a["head"]))
+    closed = (a["broken"] > 0) & (b["broken"] > 0)
+    return F.struct(
+        *[(a[n] + b[n]).alias(n) for n in _SUMS],
+        (a["lines"] + b["lines"] + F.when(closed & (over > 0), 1).otherwise(0)).alias("lines"),
+        (a["ended"] + b["ended"] + F.when(closed & (over == 2), 1).otherwise(0)).alias("ended"),
+        F.greatest(a["broken"], b["broken"]).alias("broken"),
+        F.when(a["broken"] > 0, a["head"]).otherwise(over).alias("head"),
+        F.when(b["broken"] > 0, b["tail"]).when(a["broken"] > 0, over).otherwise(b["tail"]).alias("tail"),
+    )
 
 
 def statistics(docs: DataFrame, words: DataFrame, ident: str = "doc_id", text: str = "text", piece: int = PIECE) -> DataFrame:
@@ -158,35 +213,16 @@ def statistics(docs: DataFrame, words: DataFrame, ident: str = "doc_id", text: s
     only lines with something in them count, by how they end. A null text counts as empty;
     an empty one has zeros and is no prose. Shares over nothing are 0. `prose`: mean word
     length from 2 to 12, symbols at most a quarter, a twentieth of frequent words at least.
-    A text longer than `piece` is counted in pieces, whose sums add up, corrected where a
-    cut divides a word or line; partial sums meet before the shuffle.
+    A text longer than `piece` is counted in pieces of whole words, whose number changes
+    nothing: sums add up, and the merge closes the line that lies over a cut.
     """
     shared = docs.sparkSession.sparkContext.broadcast(common_set(words))
-    rows = docs.select(F.col(ident), F.col(text))
-    kind = rows.schema[0].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for batch in sliced(batches):
-            at, few, sums = [], [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                before, end = False, ""
-                for n, (part, on) in enumerate(lines.pieces(t or "", piece)):
-                    at.append(i)
-                    few.append(n // FAN_IN)
-                    row, end = _piece_sums(part, on, before, end, own)
-                    sums.append(row)
-                    # a piece cut behind white space doesn't go on in the middle of a word
-                    before = on and not part[-1:].isspace()
-                    if not on:
-                        sums[-1][0] += 1
-                if sums:
-                    sums[-1][0] -= 1
-            columns = [pa.array(c, pa.int64()) for c in zip(*sums)] if sums else [pa.array([], pa.int64())] * len(_SUMS)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(few, pa.int64()), *columns], [ident, "_few", *_SUMS])
-
-    parts = rows.mapInArrow(run, f"`{ident}` {kind}, _few long, " + ", ".join(f"{n} long" for n in _SUMS))
-    total = parts.groupBy(ident, "_few").agg(*[F.sum(n).alias(n) for n in _SUMS]).groupBy(ident).agg(*[F.sum(n).alias(n) for n in _SUMS])
+    counts = _counted(docs, ident, text, [*_SUMS, *_LINE], lambda t: t or "", lambda t: lines.word_pieces(t, piece), lambda part, _: _piece_counts(part, shared.value))
+    whole = _merged_tree(counts.select(ident, "piece", F.struct(*_SUMS, *_LINE).alias("c")), ident, _merged_sums).select(ident, "c.*")
+    open_ends = (F.col("head"), F.col("tail"))
+    total = whole.withColumns(
+        {"lines": F.col("lines") + sum((e > 0).cast("long") for e in open_ends), "ended": F.col("ended") + sum((e == 2).cast("long") for e in open_ends)}
+    )
 
     def share(a: str, b: str) -> Column:
         return F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 6)).otherwise(0.0)

@@ -3,35 +3,40 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from typing import NamedTuple
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.sources.tables import has_key
+from tidemark.sources.tables import has_key, shared_folder
 
-#: Keys that a sealed partition holds on average; its index takes about 2.5 bytes a key.
+#: Keys that a sealed partition holds on average; its index takes about 4.5 bytes a key.
 KEYS_A_PARTITION = 200_000
 LEVELS = 24
+#: Hashes that are made distinct at once before the exchange.
+WINDOW = 1 << 20
 _INDEX = "part int, n long, levels binary, prints binary, rest binary"
 
 
-def _mixed(h1: np.ndarray, h2: np.ndarray, level: int) -> np.ndarray:
-    """A 64-bit hash for one level from a key's two 64-bit hashes."""
+def _mixed(h: np.ndarray, level: int) -> np.ndarray:
+    """A 64-bit hash for one level from a key's."""
     with np.errstate(over="ignore"):
-        x = h1 + h2 * np.uint64(2 * level + 1)
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0x9E3779B97F4A7C15)
-        x ^= x >> np.uint64(29)
-    return x
+        x = h + np.uint64(0x9E3779B97F4A7C15 * (level + 1) & 0xFFFFFFFFFFFFFFFF)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
 
 
 class PerfectHash:
-    """A minimal perfect hash of n keys, level by level: a key that meets no other on a level takes its bit there.
+    """A minimal perfect hash of n keys by their distinct 64-bit hashes, level by level: a key that meets no other on a
+    level takes its bit there.
 
-    The slot of a key is the number of bits set before its own. Keys left after the last
-    level are kept as they are. `prints` has 16 bits of each key at its slot.
+    The slot of a key is the number of bits set before its own. Hashes left after the last
+    level are kept as they are. `prints` has 32 bits of each key at its slot.
     """
 
     def __init__(self, bits: list[np.ndarray], prints: np.ndarray, rest: np.ndarray):
@@ -40,52 +45,47 @@ class PerfectHash:
         self.offset = np.concatenate([[0], np.cumsum([int(b.sum()) for b in bits], dtype=np.int64)])
 
     @classmethod
-    def build(cls, h1: np.ndarray, h2: np.ndarray, gamma: float = 2.0) -> PerfectHash:
-        n = len(h1)
-        prints = np.zeros(n, np.uint16)
+    def build(cls, h: np.ndarray, gamma: float = 2.0, levels: int = LEVELS) -> PerfectHash:
+        prints = np.zeros(len(h), np.uint32)
         bits: list[np.ndarray] = []
-        left = np.arange(n)
-        done = 0
-        for level in range(LEVELS):
+        left, done = h, 0
+        for level in range(levels):
             if not len(left):
                 break
             size = max(8, int(gamma * len(left)))
-            at = (_mixed(h1[left], h2[left], level) % np.uint64(size)).astype(np.int64)
+            at = (_mixed(left, level) % np.uint64(size)).astype(np.int64)
             alone = np.bincount(at, minlength=size) == 1
             own = alone[at]
             slot = done + np.cumsum(alone)[at[own]] - 1
-            prints[slot] = cls.fingerprint(h1[left[own]], h2[left[own]])
+            prints[slot] = cls.fingerprint(left[own])
             bits.append(alone)
             done += int(alone.sum())
             left = left[~own]
-        return cls(bits, prints[:done], np.stack([h1[left], h2[left]], axis=1) if len(left) else np.zeros((0, 2), np.uint64))
+        return cls(bits, prints[:done], left)
 
     @staticmethod
-    def fingerprint(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        return (_mixed(h2, h1, 77) >> np.uint64(48)).astype(np.uint16)
+    def fingerprint(h: np.ndarray) -> np.ndarray:
+        return (_mixed(h, 77) >> np.uint64(32)).astype(np.uint32)
 
-    def slots(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    def slots(self, h: np.ndarray) -> np.ndarray:
         """Each key's slot; -1 for a key that certainly wasn't there."""
-        out = np.full(len(h1), -1, np.int64)
-        left = np.arange(len(h1))
+        out = np.full(len(h), -1, np.int64)
+        left = np.arange(len(h))
         for level, bits in enumerate(self.bits):
             if not len(left):
                 break
-            at = (_mixed(h1[left], h2[left], level) % np.uint64(len(bits))).astype(np.int64)
+            at = (_mixed(h[left], level) % np.uint64(len(bits))).astype(np.int64)
             hit = bits[at]
             out[left[hit]] = self.offset[level] + self.before[level][at[hit]]
             left = left[~hit]
         return out
 
-    def contains(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        """Whether each key may have been there: wrong for about 1 in 65,536 of those that were not."""
-        slot = self.slots(h1, h2)
+    def contains(self, h: np.ndarray) -> np.ndarray:
+        """Whether each key may have been there: wrong for about 1 in 2^32 of those that were not."""
+        slot = self.slots(h)
         hit = slot >= 0
-        hit[hit] = self.prints[slot[hit]] == self.fingerprint(h1[hit], h2[hit])
-        if len(self.rest):
-            known = {(int(a), int(b)) for a, b in self.rest}
-            hit |= np.fromiter(((int(a), int(b)) in known for a, b in zip(h1, h2)), bool, len(h1))
-        return hit
+        hit[hit] = self.prints[slot[hit]] == self.fingerprint(h[hit])
+        return hit | np.isin(h, self.rest) if len(self.rest) else hit
 
     def dump(self) -> tuple[bytes, bytes, bytes]:
         sizes = np.array([len(self.bits), *map(len, self.bits)], np.int64)
@@ -100,39 +100,100 @@ class PerfectHash:
             packed = np.frombuffer(levels, np.uint8, (size + 7) // 8, at)
             bits.append(np.unpackbits(packed, count=size).astype(bool))
             at += len(packed)
-        return cls(bits, np.frombuffer(prints, np.uint16), np.frombuffer(rest, np.uint64).reshape(-1, 2))
+        return cls(bits, np.frombuffer(prints, np.uint32), np.frombuffer(rest, np.uint64))
 
 
-def _hashes(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(table.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("h1", "h2"))
+def _hashes(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+    return table.column("h").to_numpy().view(np.uint64)
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes, each once among WINDOW of them: a key on very many rows is few before the exchange."""
+    held: list[np.ndarray] = []
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)))], ["h"])
+
+    for batch in batches:
+        held.append(batch.column(0).to_numpy())
+        if sum(map(len, held)) >= WINDOW:
+            yield out()
+            held.clear()
+    if held:
+        yield out()
 
 
 def _sealed(table: pa.Table) -> pa.Table:
     """One row: the index of a partition's keys."""
-    h1, h2 = _hashes(table)
-    levels, prints, rest = PerfectHash.build(h1, h2).dump()
-    row = {"part": [table.column("part")[0].as_py()], "n": [len(h1)], "levels": [levels], "prints": [prints], "rest": [rest]}
+    h = np.unique(_hashes(table))
+    levels, prints, rest = PerfectHash.build(h).dump()
+    row = {"part": [table.column("part")[0].as_py()], "n": [len(h)], "levels": [levels], "prints": [prints], "rest": [rest]}
     return pa.table(row, schema=pa.schema([("part", pa.int32()), ("n", pa.int64()), ("levels", pa.binary()), ("prints", pa.binary()), ("rest", pa.binary())]))
 
 
 def _probed(keys: pa.Table, index: pa.Table) -> pa.Table:
-    h1, h2 = _hashes(keys)
-    if index.num_rows and len(h1):
-        maybe = PerfectHash.load(*(index.column(c)[0].as_py() for c in ("levels", "prints", "rest"))).contains(h1, h2)
+    """(h, first_id, maybe) of incoming keys that meet the index of their partition, or none."""
+    h = _hashes(keys)
+    if index.num_rows and len(h):
+        maybe = PerfectHash.load(*(index.column(c)[0].as_py() for c in ("levels", "prints", "rest"))).contains(h)
     else:
-        maybe = np.zeros(len(h1), bool)
-    return pa.table({"key": keys.column("key"), "first_id": keys.column("first_id"), "maybe": pa.array(maybe)})
+        maybe = np.zeros(len(h), bool)
+    return pa.table({"h": keys.column("h"), "first_id": keys.column("first_id"), "maybe": pa.array(maybe)})
+
+
+def _placed(hashes: DataFrame, parts: int) -> DataFrame:
+    """`hashes` with the sealed partition that each belongs to."""
+    return hashes.withColumn("part", F.pmod(F.shiftrightunsigned("h", 20), F.lit(parts)).cast("int"))
+
+
+class Sealed(NamedTuple):
+    """The indexes of sealed partitions, a row each, and the number of partitions."""
+
+    index: DataFrame
+    parts: int
+
+
+def seal(log: DataFrame, key: str = "user_key", keys_a_partition: int = KEYS_A_PARTITION, path: str | None = None) -> Sealed:
+    """Seals all keys of a log and writes their indexes, to `path` or into the shared folder; null and empty keys are none.
+
+    The number of partitions comes from the number of rows, so none grows with the log.
+    Only hashes are exchanged, 8 bytes a key, made distinct before it: no hot key weighs
+    more than another.
+    """
+    spark = log.sparkSession
+    parts = max(1, math.ceil(log.count() / keys_a_partition))
+    hashes = log.where(has_key(key)).select(F.xxhash64(key).alias("h")).mapInArrow(_distinct, "h long")
+    folder = path or f"{shared_folder(spark)}/sealed-{uuid4().hex}"
+    _placed(hashes, parts).groupBy("part").applyInArrow(_sealed, _INDEX).write.parquet(folder)
+    return Sealed(spark.read.schema(_INDEX).parquet(folder), parts)
+
+
+def first_seen(sealed: Sealed, incoming: DataFrame, key: str = "user_key", ident: str = "incoming_id") -> DataFrame:
+    """(h, first_id, maybe): each distinct incoming key by its hash, the smallest id it came with, and whether the
+    fingerprints take it for one of the sealed keys. Records without key or id are left out.
 
+    The current batch is an exact set, by key. A partition's index meets only the incoming
+    keys of the same partition.
+    """
+    first = incoming.where(has_key(key) & F.col(ident).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(ident).alias("first_id"))
+    probes = _placed(first.select(F.xxhash64("key").alias("h"), "first_id"), sealed.parts)
+    return probes.groupBy("part").cogroup(sealed.index.groupBy("part")).applyInArrow(_probed, "h long, first_id long, maybe boolean")
 
-def _placed(df: DataFrame, parts: int) -> DataFrame:
-    """Two 64-bit hashes of `key` and the sealed partition it belongs to."""
-    h1 = F.xxhash64("key")
-    return df.withColumns({"h1": h1, "h2": F.xxhash64(F.col("key"), F.lit(41))}).withColumn("part", F.pmod(F.shiftrightunsigned("h1", 20), F.lit(parts)).cast("int"))
 
+def repeated_records(log: DataFrame, incoming: DataFrame, key: str = "user_key", ident: str = "incoming_id", sealed: Sealed | None = None) -> DataFrame:
+    """(ident): the incoming records whose key the log has or an earlier incoming record had.
 
-def seal(keys: DataFrame, parts: int) -> DataFrame:
-    """(part, n, levels, prints, rest): the index of each sealed partition of distinct `key`s."""
-    return _placed(keys, parts).select("part", "h1", "h2").groupBy("part").applyInArrow(_sealed, _INDEX)
+    Tables with a filter, tables without, and memory are sealed alike: a key counts wherever
+    it lies. All but the first record of each key that the fingerprints call new: those are
+    taken out by id, which spreads evenly however often a key comes. A new key is taken for
+    a known one in about 1 of 2^32 cases, plus the number of keys over 2^64 for equal hashes;
+    a known key is never taken for new. `wrong_rate` measures it. With `sealed`, written by
+    an earlier call, the log isn't read. Empty tables give no keys or none seen.
+    """
+    answers = first_seen(sealed or seal(log, key), incoming, key, ident)
+    fresh = answers.where(~F.col("maybe")).select(F.col("first_id").alias(ident))
+    ids = incoming.where(has_key(key) & F.col(ident).isNotNull()).select(ident).distinct()
+    return ids.join(fresh, ident, "left_anti")
 
 
 #: A list of tables up to this many rows (a long each) is broadcast; a longer one is shuffled.
@@ -160,37 +221,18 @@ def seen_before(log: DataFrame, incoming: DataFrame, tables: DataFrame | None =
     """(key, first_id, maybe, sealed, seen): each distinct incoming key, the smallest id it came with, what the
     fingerprints say of it (`maybe`: in the log), whether it is in a table with a filter, and whether it is in the log at all.
 
-    Null and empty keys are left out on both sides, and so are records without an id. Copies
-    of a record have one id. Empty tables give no keys or none seen.
-
-    All keys of the log, also of memory and of tables without a filter, are hashed into
-    partitions of about `keys_a_partition` keys, by a bound that counts rows, so none grows
-    with the log; the index of a partition meets only the incoming keys of the same
-    partition. What the fingerprints take for seen is compared as it is, which shows the
-    rate of wrong answers; the rest is new. Keys are reduced to distinct ones before every
-    exchange, so no hot key weighs more than another.
+    The exact answer beside that of the fingerprints, to measure them: what they take for
+    seen is compared with the keys themselves. Null and empty keys are left out on both
+    sides, and so are records without an id.
     """
-    known = known_keys(log, key, tables)
-    parts = max(1, math.ceil(log.count() / keys_a_partition))
-    first = incoming.where(has_key(key) & F.col(ident).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(ident).alias("first_id"))
-    probes = _placed(first, parts).groupBy("part")
-    answered = probes.cogroup(seal(known, parts).groupBy("part")).applyInArrow(_probed, "key binary, first_id long, maybe boolean")
-    k = known.select(F.col("key").alias("_key"), F.col("sealed").alias("_sealed"))
+    answers = first_seen(seal(log, key, keys_a_partition), incoming, key, ident)
+    named = incoming.where(has_key(key) & F.col(ident).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(ident).alias("first_id"))
+    answered = named.withColumn("h", F.xxhash64("key")).join(answers, ["h", "first_id"])
+    k = known_keys(log, key, tables).select(F.col("key").alias("_key"), F.col("sealed").alias("_sealed"))
     met = answered.join(k, (F.col("key") == F.col("_key")) & F.col("maybe"), "left")
     return met.select("key", "first_id", "maybe", F.coalesce("_sealed", F.lit(False)).alias("sealed"), F.col("_key").isNotNull().alias("seen"))
 
 
-def repeated_records(log: DataFrame, incoming: DataFrame, tables: DataFrame | None = None, key: str = "user_key", ident: str = "incoming_id") -> DataFrame:
-    """(ident): the incoming records whose key the log has or an earlier incoming record had.
-
-    All but the first record of each key that is new: those are taken out by id, which
-    spreads evenly however often a key comes.
-    """
-    fresh = seen_before(log, incoming, tables, key, ident).where(~F.col("seen")).select(F.col("first_id").alias(ident))
-    ids = incoming.where(has_key(key) & F.col(ident).isNotNull()).select(ident).distinct()
-    return ids.join(fresh, ident, "left_anti")
-
-
 def wrong_rate(answers: DataFrame) -> DataFrame:
     """One row: distinct incoming keys, those that aren't in the log, wrong answers among them, their rate."""
     new, wrong = (~F.col("seen")).cast("long"), (F.col("maybe") & ~F.col("seen")).cast("long")
