@@ -78,3 +78,29 @@ def test_a_capacity_beyond_the_histogram(spark):
 def test_fill(spark):
     row = packing.fill(packed(spark, [(1, 60), (2, 40), (3, 50)], [(7, 100)]), [(7, 100)]).first()
     assert tuple(row) == (7, 2, 150, 2, 0.75)
+
+
+def test_large_capacities_lose_no_room(spark):
+    """Exact sizes of small items beyond the rooms of the search; large ones rounded up only while configurations are sought."""
+    histogram = {97: 60_000, 101: 40_000, 250_001: 300, 333_334: 500, 999_999: 2}
+    kinds, optimal = packing.solved(histogram, 1_000_000)
+    held = Counter()
+    for n, sizes in kinds:
+        assert sum(s * c for s, c in sizes.items()) <= 1_000_000
+        for s, c in sizes.items():
+            held[s] += n * c
+    total = sum(s * c for s, c in histogram.items())
+    assert optimal and held == Counter(histogram) and sum(n for n, _ in kinds) <= total / 1_000_000 * 1.1 + 1
+    kinds = packing.plan({100: 50_000}, 1_000_000)
+    assert sum(n for n, _ in kinds) == 5
+    sizes = [(i, 100) for i in range(40_000)] + [(100_000 + i, 600_000) for i in range(3)]
+    assert packing.fill(packed(spark, sizes, [(1, 1_000_000)]), [(1, 1_000_000)]).first().containers == 6
+
+
+def test_faults(spark):
+    sizes = spark.createDataFrame([(1, 60), (2, 150), (3, None)], "doc_id long, n_tokens long")
+    specs = [(7, 100)]
+    assert rows(packing.faults(packing.pack(sizes, specs), sizes, specs)) == [(7, 3, 0, 0, 0)]
+    bad = [(7, 1, 1, 0, 0, 30), (7, 1, 1, 1, 30, 30), (7, 1, 2, 0, 0, 90), (7, None, 3, 0, 0, 0)]
+    packed_badly = spark.createDataFrame(bad, "spec_id long, container_id long, doc_id long, piece long, first_token long, n_tokens long")
+    assert rows(packing.faults(packed_badly, sizes, specs)) == [(7, 3, 1, 1, 1)]

@@ -9,6 +9,7 @@ container follows from the item's rank among those of its size.
 from __future__ import annotations
 
 import bisect
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.tables import partitions, shared_folder
 
-#: A larger capacity is measured in units of more than one token, rounded up, so the histogram stays bounded.
-MOST_SIZES = 1 << 15
+#: For a larger capacity, configurations of large items are searched in units of more than one token, rounded up: the
+#: search is over a table of that many rooms. All else, small items above all, goes by exact sizes.
+MOST_ROOMS = 1 << 15
 #: Items above this share of the capacity are large.
 SMALL = 1 / 4
 GROUPS = 128
@@ -78,16 +80,23 @@ def _best_pattern(widths: np.ndarray, worth: np.ndarray, capacity: int) -> tuple
     return float(counts @ worth), counts
 
 
-def _patterns(widths: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[int, np.ndarray]]:
+def _patterns(widths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[list[tuple[int, np.ndarray]], bool]:
     """Patterns of rounded sizes and how often each is used: the configuration programme's
-    optimum by column generation, rounded down; the demand that is left is packed singly."""
+    optimum by column generation, rounded down; the demand that is left is packed singly.
+    And whether the optimum was reached: 40 columns a width are made at most, should the
+    programme be degenerate; without it the patterns are as good as the last columns."""
+    unit = -(-capacity // MOST_ROOMS)
+    capacity //= unit
+    widths = np.minimum(-(-widths // unit), capacity)
     k = len(widths)
     basis = np.diag((capacity // widths).astype(float))
     use = demand / np.diag(basis)
+    optimal = False
     for _ in range(40 * k):
         price = np.linalg.solve(basis.T, np.ones(k))
         value, column = _best_pattern(widths, np.maximum(price, 0), capacity)
         if value <= 1 + 1e-7:
+            optimal = True
             break
         step = np.linalg.solve(basis, column)
         ratio = np.where(step > 1e-9, use / np.where(step > 1e-9, step, 1), np.inf)
@@ -115,11 +124,17 @@ def _patterns(widths: np.ndarray, demand: np.ndarray, capacity: int) -> list[tup
         n = int((left[pattern > 0] // pattern[pattern > 0]).min())
         found.append((n, pattern))
         left -= n * pattern
-    return found
+    return found, optimal
 
 
 def plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS, small: float = SMALL) -> list[tuple[int, dict[int, int]]]:
-    """(number of containers, {size: copies in each}) that hold all items of the histogram.
+    """The first of what `solved` gives."""
+    return solved(histogram, capacity, groups, small)[0]
+
+
+def solved(histogram: dict[int, int], capacity: int, groups: int = GROUPS, small: float = SMALL) -> tuple[list[tuple[int, dict[int, int]]], bool]:
+    """(number of containers, {size: copies in each}) that hold all items of the histogram, and whether the
+    configurations of large items are optimal.
 
     Sizes are from 1 to the capacity. Large ones are rounded up to the largest of their
     group; the few rounded sizes are packed by optimal configurations; the items themselves
@@ -131,6 +146,7 @@ def plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS, small:
     large = [(s, n) for s, n in sizes if small * capacity < s < capacity]
     tiny = [(s, n) for s, n in sizes if s <= small * capacity and s < capacity]
     kinds: list[list] = []
+    optimal = True
     if large:
         grouped = _groups(large, groups)
         # equal roundings are one width
@@ -144,7 +160,8 @@ def plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS, small:
         demand = np.array([sum(n for _, n in g) for _, g in merged])
         queues = [[list(x) for x in g] for _, g in merged]
         heads = [0] * len(queues)
-        for times, pattern in _patterns(widths, demand, capacity):
+        found, optimal = _patterns(widths, demand, capacity)
+        for times, pattern in found:
             slots = [g for g in range(len(widths)) for _ in range(int(pattern[g]))]
             runs: list[list[tuple[int, int]]] = []
             for g in slots:
@@ -208,20 +225,46 @@ def plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS, small:
             n -= times * take
             if kind[2]:
                 put(i)
-    return full + [(n, held) for n, held, _ in kinds]
+    return full + [(n, held) for n, held, _ in kinds], optimal
+
+
+_PLAN = "spec_id long, size long, rank long, copies long, first long, optimal boolean"
+
+
+def _planned(groups: int, small: float):
+    """A function of a spec's histogram: the plan as rows of _PLAN. From `rank` on, the items of a size lie `copies`
+    together, in containers from `first` on."""
+
+    def run(table: pa.Table) -> pa.Table:
+        spec, capacity = table.column("spec_id")[0].as_py(), table.column("capacity")[0].as_py()
+        kinds, optimal = solved(dict(zip(table.column("size").to_pylist(), table.column("n").to_pylist())), capacity, groups, small)
+        used: dict[int, int] = {}
+        rows, first = [], 0
+        for n, held in kinds:
+            for size, copies in held.items():
+                rows.append((spec, size, used.get(size, 0), copies, first, optimal))
+                used[size] = used.get(size, 0) + n * copies
+            first += n
+        names = ["spec_id", "size", "rank", "copies", "first"]
+        return pa.table([*(pa.array(c, pa.int64()) for c in list(zip(*rows))[:5]), pa.array([r[5] for r in rows], pa.bool_())], [*names, "optimal"])
+
+    return run
 
 
-def _slots(kinds: list[tuple[int, dict[int, int]]]) -> tuple[np.ndarray, ...]:
-    """Sorted (size, first rank) and, for each, copies in a container and the first container's id."""
-    used: dict[int, int] = {}
-    rows, first = [], 0
-    for n, held in kinds:
-        for size, copies in held.items():
-            rows.append((size, used.get(size, 0), copies, first))
-            used[size] = used.get(size, 0) + n * copies
-        first += n
-    rows.sort()
-    return tuple(np.array(c, np.int64) for c in zip(*rows)) if rows else tuple(np.zeros(0, np.int64) for _ in range(4))
+class _Slots:
+    """The plan of one spec, to be asked for the containers of many items."""
+
+    #: Items of one size are fewer.
+    RANKS = 1 << 40
+
+    def __init__(self, rows: list[tuple[int, int, int, int]]):
+        size, self.rank, self.copies, self.first = (np.array(c, np.int64) for c in zip(*sorted(rows)))
+        self.sizes, at = np.unique(size, return_inverse=True)
+        self.at = at * self.RANKS + self.rank
+
+    def containers(self, size: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(self.at, np.searchsorted(self.sizes, size) * self.RANKS + rank, side="right") - 1
+        return self.first[k] + (rank - self.rank[k]) // self.copies[k]
 
 
 def pack(sizes: DataFrame, specs: list[tuple[int, int]], groups: int = GROUPS, small: float = SMALL) -> DataFrame:
@@ -233,55 +276,73 @@ def pack(sizes: DataFrame, specs: list[tuple[int, int]], groups: int = GROUPS, s
     Specs with a null or not positive capacity are left out; without any there are no rows.
     Equal rows of `sizes` are items of their own.
 
-    Three small exchanges over (spec, size) counts and item numbers; texts don't move. The
-    histogram (at most MOST_SIZES entries a spec) goes to the driver, the plan (at most a
-    few entries a size) to the executors. Items of one size are numbered in PARTS parts
-    or the shuffle's width, so a size that a third of all texts have is no single task.
+    Small exchanges over (spec, size) counts and item numbers; texts don't move. Each spec
+    is planned by a task of its own from its histogram, at most one entry for each size that
+    occurs; the plans (at most a few entries a size) go by the driver to the executors.
+    Items of one size are numbered in PARTS parts or the shuffle's width, so a size that a
+    third of all texts have is no single task. A warning tells of specs whose
+    configurations are not optimal.
     """
     spark = sizes.sparkSession
     specs = sorted({(int(s), int(c)) for s, c in specs if s is not None and c is not None and c > 0})
-    unit = {s: -(-c // MOST_SIZES) for s, c in specs}
     schema = "spec_id long, container_id long, doc_id long, piece long, first_token long, n_tokens long"
     if not specs:
         return spark.createDataFrame([], schema)
     shared_folder(spark)
     # written once, as the histogram and the placing both read it
     sizes = sizes.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n")).checkpoint()
-    spec = F.explode(F.array(*[F.struct(F.lit(s).cast("long").alias("spec_id"), F.lit(c).cast("long").alias("capacity"), F.lit(unit[s]).cast("long").alias("unit")) for s, c in specs]))
+    spec = F.explode(F.array(*[F.struct(F.lit(s).cast("long").alias("spec_id"), F.lit(c).cast("long").alias("capacity")) for s, c in specs]))
     each = sizes.select("doc_id", "n", spec.alias("s")).select("s.*", "doc_id", "n")
     last = F.greatest(F.ceil(F.col("n") / F.col("capacity")) - 1, F.lit(0))
-    pieces = each.select("spec_id", "capacity", "unit", "doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
+    pieces = each.select("spec_id", "capacity", "doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
     first = F.col("piece") * F.col("capacity")
-    length = F.least(F.col("capacity"), F.col("n") - first)
-    held = F.least(F.ceil(length / F.col("unit")), F.floor(F.col("capacity") / F.col("unit")))
-    items = pieces.select("spec_id", held.cast("long").alias("size"), "doc_id", "piece", first.alias("first_token"), length.alias("n_tokens"))
+    items = pieces.select("spec_id", "capacity", "doc_id", "piece", first.alias("first_token"), F.least(F.col("capacity"), F.col("n") - first).alias("n_tokens"))
     items = items.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(max(PARTS, partitions(spark)))).cast("int"))
-    counts = items.where("size > 0").groupBy("spec_id", "size", "part").agg(F.count("*").alias("n"))
+    counts = items.where("n_tokens > 0").groupBy("spec_id", "capacity", F.col("n_tokens").alias("size"), "part").agg(F.count("*").alias("n"))
     earlier = F.coalesce(F.sum("n").over(Window.partitionBy("spec_id", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    histogram: dict[int, dict[int, int]] = {s: {} for s, _ in specs}
-    for r in counts.groupBy("spec_id", "size").agg(F.sum("n").alias("n")).collect():
-        histogram[r["spec_id"]][r["size"]] = r["n"]
-    plans = {s: _slots(plan(histogram[s], c // unit[s], groups, small)) for s, c in specs}
-    shared = spark.sparkContext.broadcast(plans)
-    order = Window.partitionBy("spec_id", "size", "part").orderBy("doc_id", "piece")
-    ranked = items.withColumn("rank", F.row_number().over(order) - 1).join(counts.withColumn("earlier", earlier).drop("n"), ["spec_id", "size", "part"], "left")
-    ranked = ranked.select("spec_id", "doc_id", "piece", "first_token", "n_tokens", "size", (F.col("rank") + F.coalesce("earlier", F.lit(0))).alias("rank"))
+    histogram = counts.groupBy("spec_id", "capacity", "size").agg(F.sum("n").alias("n"))
+    plans: dict[int, list[tuple]] = {}
+    for r in histogram.groupBy("spec_id").applyInArrow(_planned(groups, small), _PLAN).collect():
+        plans.setdefault(r["spec_id"], []).append((r["size"], r["rank"], r["copies"], r["first"]))
+        if not r["optimal"] and len(plans[r["spec_id"]]) == 1:
+            warnings.warn(f"spec {r['spec_id']}: its configurations are not optimal", stacklevel=2)
+    shared = spark.sparkContext.broadcast({s: _Slots(rows) for s, rows in plans.items()})
+    order = Window.partitionBy("spec_id", "n_tokens", "part").orderBy("doc_id", "piece")
+    begins = counts.select("spec_id", F.col("size").alias("n_tokens"), "part", earlier.alias("earlier"))
+    ranked = items.withColumn("rank", F.row_number().over(order) - 1).join(begins, ["spec_id", "n_tokens", "part"], "left")
+    ranked = ranked.select("spec_id", "doc_id", "piece", "first_token", "n_tokens", (F.col("rank") + F.coalesce("earlier", F.lit(0))).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {s: (size * (1 << 44) + rank, rank, copies, first) for s, (size, rank, copies, first) in shared.value.items()}
         for batch in batches:
-            spec_of, size, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 5, 6))
+            spec_of, size, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 4, 5))
             out = np.full(batch.num_rows, -1, np.int64)
-            for s, (at, begin, copies, first) in known.items():
+            for s, slots in shared.value.items():
                 own = np.flatnonzero((spec_of == s) & (size > 0))
-                if len(own):
-                    k = np.searchsorted(at, size[own] * (1 << 44) + rank[own], side="right") - 1
-                    out[own] = first[k] + (rank[own] - begin[k]) // copies[k]
+                out[own] = slots.containers(size[own], rank[own])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, mask=out < 0), *(batch.column(i) for i in range(1, 5))], ["spec_id", "container_id", "doc_id", "piece", "first_token", "n_tokens"])
 
     return ranked.mapInArrow(place, schema)
 
 
+def faults(packed: DataFrame, sizes: DataFrame, specs: list[tuple[int, int]]) -> DataFrame:
+    """(spec_id, documents, over_full, split_short, broken): documents that a packing names, containers with more than
+    their capacity, documents cut though they are not above it, and documents whose pieces don't add up to them, end to end.
+
+    `sizes` has (doc_id, n_tokens), one row a document.
+    """
+    capacity = F.element_at(F.create_map(*[F.lit(x).cast("long") for s in specs for x in s]), F.col("spec_id"))
+    held = packed.where("container_id is not null").groupBy("spec_id", "container_id").agg(F.sum("n_tokens").alias("n"))
+    full = held.groupBy("spec_id").agg(F.count_if(F.col("n") > capacity).alias("over_full"))
+    whole = packed.groupBy("spec_id", "doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("n"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end"), F.countDistinct("first_token").alias("starts"))
+    own = sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("own"))
+    each = whole.join(own, "doc_id").groupBy("spec_id").agg(
+        F.count("*").alias("documents"),
+        F.count_if((F.col("pieces") > 1) & (F.col("own") <= capacity)).alias("split_short"),
+        F.count_if((F.col("n") != F.col("own")) | (F.col("end") != F.col("own")) | (F.col("starts") != F.col("pieces"))).alias("broken"),
+    )
+    return each.join(full, "spec_id", "left").select("spec_id", "documents", F.coalesce("over_full", F.lit(0)).alias("over_full"), "split_short", "broken")
+
+
 def fill(packed: DataFrame, specs: list[tuple[int, int]]) -> DataFrame:
     """(spec_id, containers, tokens, least, fill): containers used, the fewest that any packing needs by volume, and the share of room used."""
     capacity = F.element_at(F.create_map(*[F.lit(x).cast("long") for s in specs for x in s]), F.col("spec_id"))

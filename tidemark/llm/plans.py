@@ -74,6 +74,12 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill(p7_packing(spark, folder), _specs(spark, folder))
 
 
+def p7_faults(spark: SparkSession, folder: str) -> DataFrame:
+    """What is wrong with the packing: nothing, for each container size, over all documents."""
+    sizes, specs = tokens.count_tokens(_documents(spark, folder)), _specs(spark, folder)
+    return packing.faults(packing.pack(sizes, specs), sizes, specs)
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """The mails whose own body is not prose."""
     return quality.not_prose(_documents(spark, folder), table(spark, folder, "common_words", "word"))
@@ -84,7 +90,7 @@ def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return quality.statistics(_documents(spark, folder), table(spark, folder, "common_words", "word"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_wrong_rate, p6_ids, p6_roundtrip, p7_packing, p7_fill, p8_found, p8_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_wrong_rate, p6_ids, p6_roundtrip, p7_packing, p7_fill, p7_faults, p8_found, p8_statistics)}
 
 ORACLES = {
     "p1_found": """
@@ -97,4 +103,7 @@ with i as (select user_key, min(incoming_id) as first_id from incoming_keys wher
 k as (select distinct user_key from entry_log where octet_length(user_key) > 0)
 select distinct n.incoming_id from incoming_keys n join i using (user_key) left join k on k.user_key = n.user_key
 where k.user_key is not null or n.incoming_id > i.first_id""",
+    "p7_faults": """
+select spec_id, (select count(distinct doc_id) from documents) as documents, 0 as over_full, 0 as split_short, 0 as broken
+from (select distinct spec_id, capacity_tokens from pack_specs where capacity_tokens > 0)""",
 }
