@@ -111,7 +111,8 @@ def test_manifests(spark, tmp_path):
     log = got.selectExpr("change_set * 1000 + number as seq", "op", "table_id", "level", "key_id")
     assert [r[0] for r in rows(manifest.state(log))] == [300, 6]
     good = manifest_file(SETS)
-    for bad, why in ((b"x" + good[1:], "magic"), (manifest_file(SETS, version=7), "version"), (manifest_file(SETS, external=3), "external"), (good[:20] + b"!" + good[21:], "checksum")):
+    longer = good[:8] + struct.pack(">I", len(good) + 1) + good[12:]
+    for bad, why in ((longer, "bytes in a file"), (b"x" + good[1:], "magic"), (manifest_file(SETS, version=7), "version"), (manifest_file(SETS, external=3), "external"), (good[:20] + b"!" + good[21:], "checksum")):
         with pytest.raises(binary.Broken, match=why):
             list(binary.change_sets(bad, b"Test", 8))
     assert len(list(binary.change_sets(good[:-1], b"Test", 8))) == 3
@@ -162,3 +163,83 @@ def test_block_checksums_are_of_whole_blocks(spark, tmp_path):
         data, part = held[7, r.block]
         assert bytes(r.data) == data and list(binary.block_entries(data + checksum(data) + struct.pack(">I", len(checksum(data))))) == part
     assert greedy.laid_out(df.limit(0), "t", ["key"], "key", "stored").count() == 0
+
+
+ENTRY = "table_id long, user_key binary, version long, seq long, value binary, meta int, user_meta int, expires_at long"
+
+
+def test_written_tables(spark, tmp_path):
+    """Ten thousand keys in one table, another with one, rows of none; the index by a reader of its own."""
+    from tidemark.operators import checksums
+    from tidemark.sources import writing
+
+    data = [(3, b"%016x" % i, i + 1, i, b"%d" % i, 0x40, 7, 0) for i in range(10_000)] + [(4, b"one", 5, 1, b"", 1, 0, 1 << 40), (None, b"none", 1, 2, b"", 0, 0, 0)]
+    log = spark.createDataFrame(data, ENTRY).repartition(7)
+    assert writing.write_files(writing.table_files(log), str(tmp_path), "{:05d}.sst") == 2
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["00003.sst", "00004.sst"]
+    got = rows(binary.read_tables(spark, str(tmp_path), verify_blocks=True).drop("block"))
+    assert got == sorted(((t, k, v, m, u, e, x) for t, k, v, _, x, m, u, e in data if t), key=repr)
+    index = binary.table_index((tmp_path / "00003.sst").read_bytes())
+    blocks = index["blocks"]
+    assert index["max_version"] == 10_000 and index["key_count"] == 10_000 and len(blocks) > 50
+    assert [b[1] for b in blocks] == [sum(x[2] for x in blocks[:i]) for i in range(len(blocks))] and max(b[2] for b in blocks) <= 4096
+    probes, bits = index["bloom"][-1], (len(index["bloom"]) - 1) * 8
+    assert (probes, bits) == (4, 70_000)
+    assert {r.fault for r in binary.verify_tables(spark, str(tmp_path), "both").collect()} == {None}
+    spoilt = bytearray((tmp_path / "00003.sst").read_bytes())
+    spoilt[blocks[7][1] + 9] ^= 1
+    (tmp_path / "00003.sst").write_bytes(spoilt)
+    for mode in checksums.MODES:
+        assert rows(binary.verify_tables(spark, str(tmp_path), mode)) == ([] if mode == "none" else [(3, "block: wrong checksum"), (4, None)])
+    assert writing.write_files(writing.table_files(log.limit(0)), str(tmp_path / "no"), "{}.sst") == 0
+
+
+def test_written_manifests_and_discards(spark, tmp_path):
+    from tidemark.sources import writing
+
+    assert writing.manifest_file([[("CREATE", 5, 2, 0, 1), ("CREATE", 6, 0, 0, 0)], [("DELETE", 5, 0, 0, 0)], [("CREATE", 300, 1, 9, 0)]], b"Test", 8) == manifest_file(
+        [[[(1, 5), (3, 2), (6, 1)], [(1, 6)]], [[(1, 5), (2, 1)]], [[(1, 300), (3, 1), (4, 9)]]]
+    )
+    stats = spark.createDataFrame([(9, 5), (2, 1 << 40), (3, 0)], "fid long, discarded long")
+    writing.write_files(writing.discard_files(stats, 100), str(tmp_path), "DISCARD")
+    assert (tmp_path / "DISCARD").stat().st_size == 1600 and rows(binary.read_discards(spark, str(tmp_path))) == [(2, 1 << 40), (3, 0), (9, 5)]
+
+
+def test_written_logs(spark, tmp_path):
+    from tidemark.sources import files, writing
+
+    frames = [(2, 60, b"b", 7, b"x" * 300, 64, 0, 5), (2, 20, b"a", 9, b"", 0, 1, 0), (9, 20, b"k", 1 << 62, b"v", 128, 0, 1 << 50)]
+    df = spark.createDataFrame(frames, "fid long, offset long, user_key binary, version long, value binary, meta int, user_meta int, expires_at long")
+    assert writing.write_files(writing.log_files(df), f"file://{tmp_path}", "{:05d}.mem") == 2
+    got = files.read_log_files(spark, str(tmp_path)).drop("path", "len")
+    first = 2 + 1 + 1 + 1 + 9 + 4 + 20
+    assert rows(got) == sorted([(2, 20, b"a", 9, b"", 0, 1, 0), (2, first, b"b", 7, b"x" * 300, 64, 0, 5), (9, 20, b"k", 1 << 62, b"v", 128, 0, 1 << 50)], key=repr)
+    whole = (tmp_path / "00002.mem").read_bytes()
+    assert len(list(files.decoded(whole[:-1]))) == 1 and list(files.decoded(b"")) == []
+
+
+def test_kv_messages(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.functions import messages
+
+    schema = "key binary, value binary, user_meta binary, version long, expires_at long, meta binary, stream_id long, stream_done boolean, seq long"
+    data = [(b"k", b"v" * 200, b"u", 300, 1 << 40, b"\x41", 7, True, 1), (None,) * 8 + (2,), (b"", b"", b"", 0, 0, b"", 0, False, 3)]
+    df = spark.createDataFrame(data, schema).withColumn("m", messages.kv())
+    got = rows(messages.read_kv(df.select("seq", "m", "key"), "m"))
+    nothing = (b"", b"", b"", b"", 0, 0, 0, False)
+    assert got == sorted([(1, b"k", b"v" * 200, b"u", b"\x41", 300, 1 << 40, 7, True), (2, *nothing), (3, *nothing)], key=repr)
+    wire = {r.seq: bytes(r.m) for r in df.collect()}
+    assert wire[1] == field(1, b"k") + field(2, b"v" * 200) + field(3, b"u") + field(4, 300) + field(5, 1 << 40) + field(6, b"\x41") + field(10, 7) + field(11, 1) and wire[2] == b""
+    lists = df.groupBy().agg(messages.kv_list(F.array_sort(F.collect_list("m"))).alias("l"))
+    assert messages.read_kv(lists, "l", listed=True).count() == 3 and messages.read_kv(df.limit(0), "m").count() == 0
+
+
+def test_matching_keys(spark):
+    from tidemark.streaming import feed
+
+    df = spark.createDataFrame([(b"abcdef",), (b"abXdef",), (b"aXcdef",), (b"abc",), (None,), (b"",)], "user_key binary")
+    assert feed.ignored_places("1, 2-3, 9") == {1, 2, 3, 9} and feed.ignored_places("") == set()
+    assert rows(feed.matching(df, [(b"ab?d", "2")])) == [(b"abXdef",), (b"abcdef",)]
+    assert rows(feed.matching(df, [(b"zzz", "0-2")])) == [(b"aXcdef",), (b"abXdef",), (b"abc",), (b"abcdef",)]
+    assert rows(feed.matching(df, [])) == []

@@ -9,10 +9,10 @@ import pytest
 FOLDER = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="no test tables here")
 
-from tidemark.plans import general, store, streams  # noqa: E402
+from tidemark.plans import files, general, store, streams  # noqa: E402
 
-QUERIES = {**store.QUERIES, **general.QUERIES, **streams.QUERIES}
-ORACLES = {**store.ORACLES, **general.ORACLES, **streams.ORACLES}
+QUERIES = {**store.QUERIES, **files.QUERIES, **general.QUERIES, **streams.QUERIES}
+ORACLES = {**store.ORACLES, **files.ORACLES, **general.ORACLES, **streams.ORACLES}
 
 
 @pytest.fixture(scope="module")

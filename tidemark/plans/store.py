@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import codec
 from tidemark.operators import bloom, checksums, greedy, manifest, mvcc, ranges, scan, txn, vlog, wal, watermark
 from tidemark.sources import files
-from tidemark.sources.log import discard_log, entry_log, event_frames, mark_log
+from tidemark.sources.log import discard_log, entry_log, log_frames, mark_log
 from tidemark.sources.tables import has_key, table
 
 NOW = 1_750_000_000
@@ -320,41 +320,47 @@ def txn_commit(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- log replay -------------------------------------------------------------------
 
-_FRAMES = """with l as (select event_id // 1000 as fid, 20 + (event_id % 1000) * 40 as off, event_id // 5 + 1 as ts, event_type || '/' || lpad(user_id::varchar, 4, '0') as key,
-  case when event_type in ('click', 'error') then 'T' when event_type = 'signup' then 'F' else 'P' end as k from events where event_id is not null),
+_SIZE = f"2 + {_VARINT.format('octet_length(user_key) + 8')} + {_VARINT.format('octet_length(value)')} + {_VARINT.format('expires_at')} + octet_length(user_key) + 8 + octet_length(value) + 4"
+_FRAMES = f"""{LOG}, l0 as (select fid, version as ts, seq, user_key, value, expires_at, case when (meta & 64) <> 0 then 'T' else 'P' end as k from log where fid is not null
+  union all select fid, version, max(seq), 'txn'::blob, encode(version::varchar), 0, 'F' from log where (meta & 64) <> 0 and fid is not null and not (fid % 7 = 3 and version % 11 = 5) group by fid, version),
+l as (select fid, ts, decode(user_key) as key, k, size, (20 + coalesce(sum(size) over (partition by fid order by ts, strpos('TFP', k), seq rows between unbounded preceding and 1 preceding), 0))::bigint as off
+  from (select *, {_SIZE} as size from l0)),
 a as (select *, coalesce(sum((k = 'F')::int) over (partition by fid order by off rows between unbounded preceding and 1 preceding), 0) as grp from l),
 b as (select *, first_value(case when k = 'T' then ts end ignore nulls) over (partition by fid, grp order by off rows unbounded preceding) as open_ts from a),
 c as (select *, case k when 'T' then ts <> open_ts when 'F' then ts <> coalesce(open_ts, 0) else open_ts is not null end as bad from b),
 d as (select *, coalesce(min(case when bad then off end) over (partition by fid), 9223372036854775807) as fb from c),
 e as (select *, max(case when k = 'F' and off < fb then 1 else 0 end) over (partition by fid, grp) as fin from d)"""
+_REPLAYED = f"{_FRAMES} select fid, off as \"offset\", key, ts from e where off < fb and (k = 'P' or (k = 'T' and fin = 1))"
 
 
 def _frames(spark: SparkSession, folder: str) -> DataFrame:
-    return event_frames(table(spark, folder, "events", "event_id", "user_id", "event_type"))
+    """The log's writes in files with frames; in every seventh file some transactions were never finished."""
+    log = entry_log(spark, folder, "user_key", "version", "value", "meta", "user_meta", "expires_at", "fid", "seq")
+    return log_frames(log, (F.col("fid") % 7 == 3) & (F.col("version") % 11 == 5))
 
 
-@query(f"{_FRAMES} select fid, off as \"offset\", key, ts from e where off < fb and (k = 'P' or (k = 'T' and fin = 1))")
+@query(_REPLAYED)
 def wal_replay(spark: SparkSession, folder: str) -> DataFrame:
     """The rows that a replay of the log files gives."""
-    return wal.replay(_frames(spark, folder)).select("fid", "offset", "key", "ts")
+    return wal.replay(_frames(spark, folder).select("fid", "offset", "size", "key", "kind", "ts")).select("fid", "offset", "key", "ts")
 
 
-@query(f"{_FRAMES} select fid, coalesce(max(off + 40) filter (off < fb and k in ('P', 'F')), 20)::bigint as valid_end from e group by fid")
+@query(f"{_FRAMES} select fid, coalesce(max(off + size) filter (off < fb and k in ('P', 'F')), 20)::bigint as valid_end from e group by fid")
 def wal_valid_end(spark: SparkSession, folder: str) -> DataFrame:
     """Where each log file is valid up to."""
     return wal.valid_end(_frames(spark, folder))
 
 
-@query(f"{_FRAMES}, v as (select fid, coalesce(max(off + 40) filter (off < fb and k in ('P', 'F')), 20) as ve from e group by fid) select fid, count(*) as n from l join v using (fid) where off < ve group by fid")
+@query(f"{_FRAMES}, v as (select fid, coalesce(max(off + size) filter (off < fb and k in ('P', 'F')), 20) as ve from e group by fid) select fid, count(*) as n from l join v using (fid) where off < ve group by fid")
 def wal_truncate(spark: SparkSession, folder: str) -> DataFrame:
     """Rows that each log file keeps when it is cut at its valid end."""
     return wal.truncated(_frames(spark, folder)).groupBy("fid").agg(F.count("*").alias("n"))
 
 
-@query(f"{_FRAMES} select key, ts, max(fid * 1000000 + off)::bigint as place from e where off < fb and (k = 'P' or (k = 'T' and fin = 1)) group by key, ts")
+@query(f"{_FRAMES} select key, ts, max(fid * 1000000000 + off)::bigint as place from e where off < fb and (k = 'P' or (k = 'T' and fin = 1)) group by key, ts")
 def memtable_apply(spark: SparkSession, folder: str) -> DataFrame:
     """The last row of each key and timestamp after a replay."""
-    return wal.memtable(_frames(spark, folder)).select("key", "ts", (F.col("fid") * 1_000_000 + F.col("offset")).alias("place"))
+    return wal.memtable(_frames(spark, folder)).select("key", "ts", (F.col("fid") * 1_000_000_000 + F.col("offset")).alias("place"))
 
 
 # --- tables -----------------------------------------------------------------------

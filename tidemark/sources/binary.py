@@ -27,7 +27,7 @@ class Broken(ValueError):
     """A file that isn't what it should be."""
 
 
-def _message(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+def message(data: bytes) -> Iterator[tuple[int, int | bytes]]:
     """(field, value) of a protocol buffer message: numbers and byte strings."""
     at = 0
     while at < len(data):
@@ -48,14 +48,18 @@ def _message(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             raise Broken(f"wire type {tag & 7}")
 
 
-def _check(data: bytes, checksum: bytes, what: str) -> None:
-    fields = dict(_message(checksum))
+def _compare(crc: int, checksum: bytes, what: str) -> None:
+    fields = dict(message(checksum))
     if fields.get(1, 0) != 0:
         raise Broken(f"{what}: unknown kind of checksum")
-    if int(crc32c_of([data])[0]) != fields.get(2, 0):
+    if crc != fields.get(2, 0):
         raise Broken(f"{what}: wrong checksum")
 
 
+def _check(data: bytes, checksum: bytes, what: str) -> None:
+    _compare(int(crc32c_of([data])[0]), checksum, what)
+
+
 class _Flat:
     """A table of a flat buffer: its fields by number."""
 
@@ -115,12 +119,19 @@ def table_index(content: bytes) -> dict:
     }
 
 
+def _block_end(data: bytes) -> tuple[int, bytes]:
+    """Where a block's checksum begins, and the checksum."""
+    n = struct.unpack_from(">I", data, len(data) - 4)[0] if len(data) >= 12 else len(data)
+    if n + 12 > len(data):
+        raise Broken("a block is cut off")
+    return len(data) - 4 - n, data[len(data) - 4 - n : len(data) - 4]
+
+
 def block_entries(data: bytes, verify: bool = True) -> Iterator[tuple[bytes, bytes]]:
     """(internal key, stored value) of a block's entries in order."""
-    (n,) = struct.unpack_from(">I", data, len(data) - 4)
-    end = len(data) - 4 - n
+    end, checksum = _block_end(data)
     if verify:
-        _check(data[:end], data[end : end + n], "block")
+        _check(data[:end], checksum, "block")
     (count,) = struct.unpack_from(">I", data, end - 4)
     last = end - 4 - 4 * count
     starts = [*struct.unpack_from(f">{count}I", data, last), last]
@@ -137,10 +148,20 @@ def _long(n: int) -> int:
     return min(n, (1 << 63) - 1)
 
 
+def verify_blocks(content: bytes) -> None:
+    """Compares the checksums of all blocks of a table file, summed together."""
+    blocks = [content[offset : offset + length] for _, offset, length in table_index(content)["blocks"]]
+    ends = [_block_end(b) for b in blocks]
+    for crc, (_, checksum) in zip(crc32c_of([b[:end] for b, (end, _) in zip(blocks, ends)]), ends):
+        _compare(int(crc), checksum, "block")
+
+
 def table_rows(content: bytes, verify: bool = True) -> Iterator[tuple]:
     """(block, key, version, meta, user_meta, expires_at, value) of all entries of a table file."""
+    if verify:
+        verify_blocks(content)
     for number, (_, offset, length) in enumerate(table_index(content)["blocks"]):
-        for internal, stored in block_entries(content[offset : offset + length], verify):
+        for internal, stored in block_entries(content[offset : offset + length], False):
             expires_at, at = _varint(stored, 2)
             version = ~int.from_bytes(internal[-8:], "big") & 0xFFFFFFFFFFFFFFFF if len(internal) >= 8 else 0
             yield number, internal[:-8], _long(version), stored[0], stored[1], _long(expires_at), stored[at:]
@@ -175,6 +196,29 @@ def read_tables(spark: SparkSession, folder: str, suffix: str = ".sst", verify_b
     return _read(spark, folder, f"*{suffix}", suffix, TABLE, lambda fid, data: ((fid, *row) for row in table_rows(data, verify_blocks)))
 
 
+def verify_tables(spark: SparkSession, folder: str, mode: str, suffix: str = ".sst") -> DataFrame:
+    """(table_id, fault): each table that a mode looks at, and what is wrong with it, null if nothing.
+
+    none: no table is looked at. table: blocks are compared as a table is opened. block: as
+    they are read. both: each time. The faults of one file are the same either way; a file
+    with a broken index is a fault in each mode but none.
+    """
+    if mode not in ("none", "table", "block", "both"):
+        raise ValueError(f"mode {mode}")
+
+    def walk(fid: int, data: bytes) -> Iterator[tuple]:
+        fault = None
+        try:
+            for _ in range(2 if mode == "both" else 1):
+                verify_blocks(data)
+        except Broken as e:
+            fault = str(e)
+        yield fid, fault
+
+    found = _read(spark, folder, f"*{suffix}", suffix, "table_id long, fault string", walk)
+    return found.limit(0) if mode == "none" else found
+
+
 def read_indexes(spark: SparkSession, folder: str, suffix: str = ".sst") -> DataFrame:
     """One row for each block of a folder's table files (columns of INDEX)."""
 
@@ -187,7 +231,8 @@ def read_indexes(spark: SparkSession, folder: str, suffix: str = ".sst") -> Data
 
 
 def change_sets(content: bytes, magic: bytes, version: int, external: int = 0) -> Iterator[tuple]:
-    """(set, number, op, table id, level, key id, compression) of a manifest file's changes. A cut-off last set is left out."""
+    """(set, number, op, table id, level, key id, compression) of a manifest file's changes. A cut-off last set is left out; one
+    longer than the whole file is an error."""
     if content[: len(magic)] != magic:
         raise Broken("manifest: wrong magic")
     found_external, found = struct.unpack_from(">HH", content, len(magic))
@@ -198,13 +243,15 @@ def change_sets(content: bytes, magic: bytes, version: int, external: int = 0) -
     at, number = len(magic) + 4, 0
     while at + 8 <= len(content):
         size, checksum = struct.unpack_from(">II", content, at)
+        if size > len(content):
+            raise Broken(f"manifest: a set of {size} bytes in a file of {len(content)}")
         body = content[at + 8 : at + 8 + size]
         if len(body) < size:
             return
         if int(crc32c_of([body])[0]) != checksum:
             raise Broken("manifest: wrong checksum")
-        for i, (_, change) in enumerate(_message(body)):
-            fields = dict(_message(change))
+        for i, (_, change) in enumerate(message(body)):
+            fields = dict(message(change))
             yield number, i, "DELETE" if fields.get(2, 0) else "CREATE", fields.get(1, 0), fields.get(3, 0), fields.get(4, 0), fields.get(6, 0)
         at, number = at + 8 + size, number + 1
 

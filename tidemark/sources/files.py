@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.functions.codec import CRC_BYTES, crc32c, crc32c_of, entry_head, file_id, key_with_version
+from tidemark.functions.codec import CRC_BYTES, MAX_HEADER, crc32c, crc32c_of, entry_head, file_id, key_with_version, let
 
 #: Fixed value: bytes before a log file's first entry.
 FILE_HEAD = 20
@@ -48,6 +49,26 @@ def verified(entries: DataFrame, entry: str = "entry") -> DataFrame:
     return entries.withColumn("crc", stated).withColumn("ok", F.coalesce(F.col("crc") == found, F.lit(False)))
 
 
+def taken_apart(entry: str) -> Column:
+    """struct(key, value, meta, user_meta, expires_at) of an encoded entry, its internal key as it is; columns alone."""
+
+    def at(i: Column) -> Column:
+        return F.conv(F.hex(F.substr(entry, i, F.lit(1))), 16, 10).cast("long")
+
+    def number(begin: Column, end: Column) -> Column:
+        return F.aggregate(F.sequence(begin, end), F.lit(0).cast("long"), lambda acc, i: acc.bitwiseOR(F.call_function("shiftleft", at(i).bitwiseAND(127), (i - begin) * 7)))
+
+    # a header has three numbers, whose last bytes are below 128
+    ends = F.slice(F.filter(F.sequence(F.lit(3), F.least(F.octet_length(entry), F.lit(MAX_HEADER))), lambda i: at(i) < 128), 1, 3)
+
+    def body(e: Column) -> Column:
+        n_key, n_value, last = number(F.lit(3), e[0]).cast("int"), number(e[0] + 1, e[1]).cast("int"), e[2]
+        key, value = F.substr(entry, last + 1, n_key), F.substr(entry, last + 1 + n_key, n_value)
+        return F.struct(key.alias("key"), value.alias("value"), at(F.lit(1)).cast("int").alias("meta"), at(F.lit(2)).cast("int").alias("user_meta"), number(e[1] + 1, last).alias("expires_at"))
+
+    return let(ends, body)
+
+
 def _varint(data: memoryview, at: int) -> tuple[int, int]:
     """A number at `at` and where it ends; -1 if it doesn't."""
     value = shift = 0
@@ -60,25 +81,37 @@ def _varint(data: memoryview, at: int) -> tuple[int, int]:
     return 0, -1
 
 
-def decoded(content: bytes, start: int = FILE_HEAD) -> Iterator[tuple]:
-    """(offset, len, key, version, value, meta, user_meta, expires_at) of each entry of a file, up to the first
-    that is cut off, has a wrong checksum, a too long key or an empty one."""
+#: Entries whose checksums are summed together.
+TOGETHER = 4096
+
+
+def _parsed(content: bytes, start: int) -> Iterator[tuple]:
+    """(offset, end, key's begin, value's begin, meta, user_meta, expires_at) of entries by their headers alone."""
     data = memoryview(content)
     at = start
     while at + 2 < len(data):
-        meta, user_meta = data[at], data[at + 1]
         n_key, p = _varint(data, at + 2)
         n_value, p = _varint(data, p) if p >= 0 else (0, -1)
         expires_at, p = _varint(data, p) if p >= 0 else (0, -1)
         end = p + n_key + n_value
-        if p < 0 or not 0 < n_key <= MOST_KEY or end + 4 > len(data):
+        if p < 0 or not 0 < n_key <= MOST_KEY or end + CRC_BYTES > len(data):
             return
-        if int(crc32c_of([bytes(data[at:end])])[0]) != int.from_bytes(data[end : end + 4], "big"):
-            return
-        key = bytes(data[p : p + n_key])
-        version = ~int.from_bytes(key[-8:], "big") & 0xFFFFFFFFFFFFFFFF if n_key >= 8 else 0
-        yield at, end + 4 - at, key[:-8] if n_key >= 8 else b"", min(version, (1 << 63) - 1), bytes(data[p + n_key : end]), meta, user_meta, min(expires_at, (1 << 63) - 1)
-        at = end + 4
+        yield at, end, p, p + n_key, data[at], data[at + 1], expires_at
+        at = end + CRC_BYTES
+
+
+def decoded(content: bytes, start: int = FILE_HEAD) -> Iterator[tuple]:
+    """(offset, len, key, version, value, meta, user_meta, expires_at) of each entry of a file, up to the first
+    that is cut off, has a wrong checksum, a too long key or an empty one."""
+    parsed = _parsed(content, start)
+    while some := list(islice(parsed, TOGETHER)):
+        sums = crc32c_of([content[at:end] for at, end, *_ in some])
+        for (at, end, key_at, value_at, meta, user_meta, expires_at), crc in zip(some, sums):
+            if int(crc) != int.from_bytes(content[end : end + CRC_BYTES], "big"):
+                return
+            key = content[key_at:value_at]
+            version = ~int.from_bytes(key[-8:], "big") & 0xFFFFFFFFFFFFFFFF if len(key) >= 8 else 0
+            yield at, end + CRC_BYTES - at, key[:-8] if len(key) >= 8 else b"", min(version, (1 << 63) - 1), content[value_at:end], meta, user_meta, min(expires_at, (1 << 63) - 1)
 
 
 def read_log_files(spark: SparkSession, folder: str, suffix: str = ".mem") -> DataFrame:
@@ -95,7 +128,7 @@ def read_log_files(spark: SparkSession, folder: str, suffix: str = ".mem") -> Da
         for batch in batches:
             for path, fid, content in zip(*(c.to_pylist() for c in batch.columns)):
                 rows: list[tuple] = []
-                for row in decoded(content):
+                for row in decoded(bytes(content)):
                     rows.append((path, fid, *row))
                     if len(rows) == 4096:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.codec import DELETE, FIN_TXN, TXN
+from tidemark.functions.codec import DELETE, FIN_TXN, TXN, entry_bytes, key_with_version
+from tidemark.sources.files import FILE_HEAD
 from tidemark.sources.tables import BLANKS, has_key, table
 
 COLUMNS = ("user_key", "version", "value", "meta", "user_meta", "expires_at", "fid", "log_offset", "seq", "table_id")
@@ -36,25 +37,31 @@ def entry_log(spark: SparkSession, folder: str, *columns: str, once: bool = True
     return entries(raw if where is None else raw.where(where), *columns, once=once)
 
 
-def event_frames(events: DataFrame) -> DataFrame:
-    """(fid, offset, size, key, kind, ts, meta): events as a log with transaction frames.
+#: Fixed value: the key of the row that finishes a transaction, behind the reserved prefix.
+FINISH = b"txn"
 
-    Views and purchases are plain entries, clicks and errors belong to a transaction, a
-    signup ends one; the transaction's timestamp changes every five events. A thousand
-    events make a file; an entry takes 40 bytes from offset 20 on.
+
+def log_frames(log: DataFrame, unfinished: Column | None = None) -> DataFrame:
+    """(fid, offset, size, key, kind, ts, ...): the writes of a log as log files with transaction frames hold them.
+
+    `log` has fid, version, seq, user_key, value, meta, user_meta and expires_at. In a file,
+    writes stand in order of version: those of a transaction (kind T), the row that finishes
+    it (F), its version as text, then others (P), each as long as it is encoded. Finishing
+    rows for which `unfinished` holds are left out, as if the writer had been stopped. A file
+    is bounded by its size limit, and so is its window.
     """
-    kind = F.when(F.col("event_type").isin("click", "error"), "T").when(F.col("event_type") == "signup", "F").otherwise("P")
-    meta = F.when(kind == "T", TXN).when(kind == "F", FIN_TXN).otherwise(0)
-    fid = F.floor(F.col("event_id") / 1000)
-    return events.where("event_id is not null").select(
-        fid.alias("fid"),
-        (F.lit(20) + (F.col("event_id") - fid * 1000) * 40).alias("offset"),
-        F.lit(40).cast("long").alias("size"),
-        F.concat_ws("/", "event_type", F.lpad(F.col("user_id").cast("string"), 4, "0")).alias("key"),
-        kind.alias("kind"),
-        (F.floor(F.col("event_id") / 5) + 1).alias("ts"),
-        meta.alias("meta"),
-    )
+    rows = log.where("fid is not null").withColumn("kind", F.when(F.col("meta").bitwiseAND(TXN) != 0, "T").otherwise("P"))
+    ends = rows.where("kind = 'T'").groupBy("fid", "version").agg(F.max("seq").alias("seq"))
+    ends = ends if unfinished is None else ends.where(~unfinished)
+    finish = ends.select(
+        "fid", "version", "seq", F.lit(FINISH).alias("user_key"), F.encode(F.col("version").cast("string"), "UTF-8").alias("value"),
+        F.lit(FIN_TXN).alias("meta"), F.lit(0).alias("user_meta"), F.lit(0).cast("long").alias("expires_at"), F.lit("F").alias("kind"),
+    )
+    size = entry_bytes(key_with_version(F.col("user_key"), F.col("version")), F.col("value"), F.col("expires_at")).cast("long")
+    order = Window.partitionBy("fid").orderBy("version", F.when(F.col("kind") == "T", 0).when(F.col("kind") == "F", 1).otherwise(2), "seq")
+    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = rows.select(*finish.columns).unionByName(finish).withColumn("size", size).withColumn("offset", F.lit(FILE_HEAD) + before)
+    return out.withColumns({"key": F.col("user_key").cast("string"), "ts": F.col("version")})
 
 
 def discard_log(log: DataFrame) -> DataFrame:

@@ -43,6 +43,34 @@ def subscribe(entries: DataFrame, prefixes: list[bytes]) -> DataFrame:
     return entries.where(hit)
 
 
+def ignored_places(spec: str) -> set[int]:
+    """The byte places that a list such as "1, 2-3, 9" names, from 0 on."""
+    out: set[int] = set()
+    for part in filter(None, (p.strip() for p in spec.split(","))):
+        first, _, last = part.partition("-")
+        out.update(range(int(first), int(last or first) + 1))
+    return out
+
+
+def matching(rows: DataFrame, matches: list[tuple[bytes, str]], key: str = "user_key") -> DataFrame:
+    """Rows whose key begins with one of the prefixes, but for the bytes that the list beside it ignores; none without matches.
+
+    A key must be as long as the prefix. Runs of bytes that count are compared as they are.
+    """
+    hit = F.lit(False)
+    for prefix, spec in matches:
+        ignored = ignored_places(spec)
+        own = F.octet_length(key) >= len(prefix)
+        begin = 0
+        for at in range(len(prefix) + 1):
+            if at == len(prefix) or at in ignored:
+                if at > begin:
+                    own = own & (F.substr(F.col(key), F.lit(begin + 1), F.lit(at - begin)) == F.lit(prefix[begin:at]))
+                begin = at + 1
+        hit = hit | own
+    return rows.where(hit)
+
+
 def finished_streams(feed: DataFrame) -> DataFrame:
     """(stream_id, n, done): messages of each stream so far, and whether its end was marked."""
     return feed.groupBy("stream_id").agg(F.count("*").alias("n"), F.bool_or(F.coalesce("stream_done", F.lit(False))).alias("done"))
