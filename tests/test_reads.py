@@ -108,3 +108,23 @@ def test_hot_keys_are_limited_before_the_shuffle(spark):
     df = spark.range(100).select(F.encode((F.col("id") % 3).cast("string"), "UTF-8").alias("user_key"), F.col("id").alias("version"), F.col("id").alias("seq"))
     plan = mvcc.newest(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 2
+
+
+def test_merges_in_order(spark):
+    """A fold that isn't commutative, over more writes of a key than are folded at once."""
+    from tidemark.operators import mvcc
+
+    rnd = random.Random(9)
+    data = [(b"hot" if rnd.random() < 0.6 else b"k%d" % rnd.randrange(5), rnd.randrange(300), i, b"%d," % i, rnd.choice([0, 0, 0, 1]), rnd.choice([0, 0, 50])) for i in range(3000)]
+    log = spark.createDataFrame(data, "user_key binary, version long, seq long, value binary, meta int, expires_at long").repartition(5)
+    want = {}
+    for k, _, _, x, m, e in sorted(data, key=lambda r: r[1:3]):
+        if not m and (not e or e > 100):
+            want[k] = want.get(k, b"") + x
+    kept, mvcc.FOLDED = mvcc.FOLDED, 7
+    try:
+        for spans in (1, 16):
+            assert {r[0]: r[1] for r in rows(mvcc.merged_in_order(log, F.col("value"), F.concat, 100, spans))} == want
+    finally:
+        mvcc.FOLDED = kept
+    assert rows(mvcc.merged_in_order(log.limit(0), F.col("value"), F.concat, 100)) == []

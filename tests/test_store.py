@@ -32,6 +32,9 @@ def test_transactions_of_a_store(spark, tmp_path):
         own = store.transaction(update=True)
         own.set(b"key=1", b"own")
         assert dict((r[0], r[2]) for r in rows(own.scan(5)))[b"key=1"] == b"own"
+        # the old transaction still reads the first version of key=8
+        assert spark.read.parquet(store.compact(2, now=5)).count() == 13 and old.get(b"key=8", now=5)["value"] == b"val=8"
+        old.discard()
         path = store.compact(2, now=5)
         assert spark.read.parquet(path).count() == 12
     with pytest.raises(errors.StoreError):
@@ -117,3 +120,92 @@ def test_checksums_of_entries_cover_the_version(spark, tmp_path):
     spoilt = [entries[0], entries[1][:-5] + b"y" + entries[1][-4:], entries[2][:-1], b"abc", None]
     got = files.verified(spark.createDataFrame(list(enumerate(spoilt)), "i long, entry binary")).collect()
     assert [r.ok for r in sorted(got, key=lambda r: r.i)] == [True, False, False, False, False]
+
+
+def keys(df):
+    return sorted((bytes(r.user_key), r.version, bytes(r.value)) for r in df.collect())
+
+
+def test_a_store_of_levels(spark, tmp_path):
+    options = Options(str(tmp_path / "s"), mem_table_size=2000, num_memtables=2, num_level_zero_tables=2, num_level_zero_tables_stall=3, base_level_size=1 << 13, base_table_size=1 << 12)
+    store = Store.open(spark, options)
+    for i in range(6):
+        store.update(lambda t, i=i: [t.set(b"k%d" % (j % 7), b"%d-%d" % (i, j)) for j in range(i, i + 9)])
+        if i == 2:
+            reader = store.transaction()
+            before = keys(store.snapshot(now=5))
+        if i == 3:
+            store.update(lambda t: t.delete(b"k3"))
+        if i % 2:
+            store.flush()
+    now = keys(store.snapshot(now=5))
+    assert len(store.tables()) == 3 and set(store.tables().values()) == {0} and len(store._segments()) <= 2 and store.full_level() == 0
+    store.maintain()
+    assert store.full_level() is None and 0 not in store.tables().values() and keys(store.snapshot(now=5)) == now
+    # what an open transaction reads stays, however often levels are merged
+    store.compact(2, now=5)
+    assert keys(reader.scan(5)) == before
+    assert keys(store.snapshot(3, now=5)) == before and store.entries().groupBy("user_key").count().agg({"count": "max"}).first()[0] > 1
+    reader.discard()
+    path = store.compact(2, now=5, drop=True)
+    assert keys(store.snapshot(now=5)) == now == keys(spark.read.parquet(path)) and len(store.tables()) == 1
+    assert len(list((tmp_path / "s/tables").iterdir())) == 1 and store._segments() == []
+    # a flush that failed before its row, and one behind it
+    store.update(lambda t: t.set(b"new", b"1"))
+    segment = store._segments()[0]
+    files.write_table(spark.read.parquet(store._segment(segment)), store._table(999), 1)
+    again = Store.open(spark, options)
+    assert not (tmp_path / "s/tables/999").exists() and keys(again.snapshot(now=5)) == sorted([*now, (b"new", 8, b"1")]) and again.read_ts == 8
+    files.write_table(spark.read.parquet(again._segment(segment)), again._table(segment), 1)
+    again._change([(segment, 0)])
+    third = Store.open(spark, options)
+    assert third._segments() == [] and keys(third.snapshot(now=5)) == sorted([*now, (b"new", 8, b"1")])
+    files.remove(spark, third._table(segment))
+    with pytest.raises(errors.MissingTables):
+        Store.open(spark, options)
+
+
+def test_tombstones_stay_above_older_levels(spark, tmp_path):
+    store = Store.open(spark, Options(str(tmp_path / "s")))
+    store.update(lambda t: (t.set(b"a", b"1"), t.set(b"b", b"1")))
+    store.flush()
+    for level in (0, 1, 2):
+        store.merge(level)
+    store.update(lambda t: (t.delete(b"a"), t.set(b"b", b"2", expires_at=10)))
+    store.flush()
+    store.merge(0, now=20)
+    assert keys(store.snapshot(now=20)) == [] and sorted(store.tables().values()) == [1, 3]
+    store.compact(1, now=20, drop=True)
+    assert store.entries().count() == 0
+
+
+def test_commits_are_forgotten(spark, tmp_path):
+    store = Store.open(spark, Options(str(tmp_path / "s")))
+    reader = store.transaction(update=True)
+    for i in range(3):
+        store.update(lambda t, i=i: t.set(b"k%d" % i, b""))
+    assert store._commits == {b"k0": 1, b"k1": 2, b"k2": 3}
+    reader.reads.add(b"k1")
+    reader.set(b"x", b"")
+    with pytest.raises(errors.Conflict):
+        reader.commit()
+    store.update(lambda t: t.set(b"y", b""))
+    assert store._commits == {} and store.reads.done_until == 3
+
+
+def test_watermark():
+    from threading import Thread
+
+    from tidemark.operators.watermark import Watermark
+
+    mark = Watermark()
+    mark.begin(1, 2, 2, 5)
+    mark.done(2)
+    assert mark.done_until == 0 and mark.lowest_open == 1
+    mark.done(1)
+    assert mark.done_until == 1 and not mark.wait(2, 0.01) and mark.wait(1)
+    done = Thread(target=lambda: mark.wait(5, 10))
+    done.start()
+    mark.done(2, 5)
+    done.join(5)
+    assert not done.is_alive() and mark.done_until == 5 and mark.lowest_open is None

@@ -79,7 +79,12 @@ def entry_head(meta: Column, user_meta: Column, key: Column, value: Column, expi
 
 def value_bytes(value: Column, expires_at: Column) -> Column:
     """Length of a stored value: two meta bytes, the expiry as a varint, the value."""
-    return F.octet_length(value) + 2 + varint_bytes(expires_at)
+    return stored_bytes(F.octet_length(value), expires_at)
+
+
+def stored_bytes(length: Column, expires_at: Column) -> Column:
+    """The same for a value of a known length."""
+    return length + 2 + varint_bytes(expires_at)
 
 
 def stored_value(meta: Column, user_meta: Column, expires_at: Column, value: Column) -> Column:
@@ -106,7 +111,12 @@ def unstored_value(data: Column) -> Column:
 
 def estimated_bytes(key: Column, value: Column, threshold: int) -> Column:
     """What an entry counts for in a transaction: its value if below the threshold, else a pointer."""
-    return F.octet_length(key) + 2 + F.when(F.octet_length(value) < threshold, F.octet_length(value)).otherwise(POINTER_BYTES)
+    return counted_bytes(key, F.octet_length(value), threshold)
+
+
+def counted_bytes(key: Column, length: Column, threshold: int) -> Column:
+    """The same for a value of a known length."""
+    return F.octet_length(key) + 2 + F.when(length < threshold, length).otherwise(POINTER_BYTES)
 
 
 def number(data: Column, first: int, n: int) -> Column:

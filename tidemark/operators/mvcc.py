@@ -6,6 +6,8 @@ version the last written, by seq, counts. All results are defined for empty logs
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,6 +126,36 @@ def merged(log: DataFrame, fold: dict[str, Column], now: int) -> DataFrame:
     return log.where(~invisible(now)).groupBy("user_key").agg(*[c.alias(name) for name, c in fold.items()])
 
 
+#: Rows that are folded together at once by `merged_in_order`.
+FOLDED = 1000
+
+
+def merged_in_order(log: DataFrame, element: Column, combine: Callable[[Column, Column], Column], now: int, spans: int | None = None) -> DataFrame:
+    """(user_key, merged): each key's unexpired, undeleted writes folded from the oldest to the newest.
+
+    `element` is a write's operand, `combine(a, b)` of two neighbouring ones is theirs; it
+    must be associative, not commutative. A tree of folds: a key's rows within one of
+    `spans` ranges of versions, FOLDED at a time, then FOLDED of these, and so on, then the
+    ranges. No key's writes are gathered, whatever their number.
+    """
+    at = bounds(log, ["version"], min(spans or 4 * partitions(log.sparkSession), MOST_RANGES))
+    rows = log.where(~invisible(now)).select("user_key", part_of(at, ["version"], log).alias("_span"), "version", "seq", element.alias("_e"))
+    place = F.row_number().over(Window.partitionBy("user_key", "_span").orderBy("version", "seq")) - 1
+    level = rows.select("user_key", "_span", place.cast("long").alias("_at"), "_e")
+
+    def folded(df: DataFrame, by: list[str]) -> DataFrame:
+        row = F.array_sort(F.collect_list(F.struct("_at", "_e")))
+        each = df.groupBy(*by).agg(row.alias("_r"))
+        rest = F.slice("_r", 2, F.greatest(F.size("_r") - 1, F.lit(0)))
+        return each.withColumn("_e", F.aggregate(rest, F.element_at("_r", 1)["_e"], lambda a, x: combine(a, x["_e"]))).drop("_r")
+
+    for _ in range(2):
+        chunks = level.withColumn("_few", F.floor(F.col("_at") / FOLDED))
+        level = folded(chunks, ["user_key", "_span", "_few"]).withColumnRenamed("_few", "_at")
+    whole = folded(level, ["user_key", "_span"]).withColumnRenamed("_span", "_at")
+    return folded(whole, ["user_key"]).withColumnRenamed("_e", "merged")
+
+
 def expiry_days(log: DataFrame) -> DataFrame:
     """(day, n): writes by the day (UTC) they expire on; those that never do are left out."""
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("expires_at") / 86_400).cast("int"))

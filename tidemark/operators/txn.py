@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.codec import estimated_bytes, too_long
+from tidemark.functions.codec import counted_bytes, too_long
 from tidemark.operators import ranges
 from tidemark.sources.tables import partitions
 
@@ -54,14 +54,14 @@ def banned(writes: DataFrame, offset: int, namespaces: list[int]) -> DataFrame:
     return writes.withColumn("banned", F.coalesce(hit, F.lit(False)))
 
 
-def sizes(writes: DataFrame, threshold: int, limit: int, txn: str = "txn") -> DataFrame:
-    """`writes` with `size`, the bytes of the transaction with this write, and `too_big`, whether that reaches the limit.
+def sizes(writes: DataFrame, threshold: int, limit: int, txn: str = "txn", length: Column | None = None) -> DataFrame:
+    """`writes`, with a value or its `length`, with `size`, the bytes of the transaction with this write, and `too_big`, whether that reaches the limit.
 
     A write that overwrites an earlier one counts again. A transaction is bounded by its
     limit, so its window is too.
     """
     order = Window.partitionBy(txn).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    size = F.lit(START) + F.sum(estimated_bytes(F.col("user_key"), F.col("value"), threshold) + EACH).over(order)
+    size = F.lit(START) + F.sum(counted_bytes(F.col("user_key"), F.octet_length("value") if length is None else length, threshold) + EACH).over(order)
     return writes.withColumn("size", size.cast("long")).withColumn("too_big", F.col("size") >= limit)
 
 

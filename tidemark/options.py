@@ -15,13 +15,11 @@ class Options:
     """Sizes are bytes, times epoch seconds. The defaults."""
 
     dir: str
-    sync_writes: bool = False
     num_versions_to_keep: int = 1
     mem_table_size: int = 64 << 20
     base_table_size: int = 2 << 20
     base_level_size: int = 10 << 20
     level_size_multiplier: int = 10
-    table_size_multiplier: int = 2
     max_levels: int = 7
     value_threshold: int = 1 << 20
     num_memtables: int = 5
@@ -37,19 +35,22 @@ class Options:
     reserved_prefix: bytes = b"!internal!"
     read_only: bool = False
     write_batch_rows: int = 3000
-    stream_threads_num: int = 8
 
     @property
     def max_batch_size(self) -> int:
         """Bytes at which a transaction is too big."""
         return self.mem_table_size * 15 // 100
 
+    def level_size(self, level: int) -> int:
+        """Bytes that a level from 1 on may have before it is merged into the next."""
+        return self.base_level_size * self.level_size_multiplier ** (level - 1)
+
     def checked(self) -> Options:
         """These options, or an error that says what is wrong."""
         if not LEAST_LOG <= self.value_log_file_size < MOST_LOG:
             raise InvalidOption("value_log_file_size must be at least 1 MB and below 2 GB")
         if self.num_level_zero_tables_stall <= self.num_level_zero_tables:
             raise InvalidOption("num_level_zero_tables_stall must be above num_level_zero_tables")
-        if self.value_threshold <= 0 or self.num_versions_to_keep < 1 or not 0 <= self.bloom_false_positive < 1 or self.max_levels < 1:
-            raise InvalidOption("value_threshold, num_versions_to_keep, max_levels and bloom_false_positive must be positive, the last below 1")
+        if self.value_threshold <= 0 or self.num_versions_to_keep < 1 or not 0 <= self.bloom_false_positive < 1 or self.max_levels < 2 or self.num_memtables < 1:
+            raise InvalidOption("value_threshold, num_versions_to_keep, num_memtables, max_levels and bloom_false_positive must be positive, max_levels above 1, bloom_false_positive below 1")
         return self

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from tidemark.functions import codec, messages
 from tidemark.operators import checksums, manifest, vlog, wal
 from tidemark.plans.store import (
-    _BLOCKS, _DISCARD, _HASHED, _MANIFEST, _REPLAYED, FILE_BYTES, FILE_ENTRIES, LOG, TEXT_THRESHOLD, _discards, _documents, _frames,
+    _BLOCKS, _DISCARD, _HASHED, _MANIFEST, _REPLAYED, FILE_BYTES, FILE_ENTRIES, LOG, NOW, TEXT_THRESHOLD, THRESHOLD, _discards, _documents, _frames, _LIVE, _newest,
 )
+from tidemark.options import Options
 from tidemark.sources import binary, files, writing
 from tidemark.sources.log import entry_log
 from tidemark.sources.tables import shared_folder, table
+from tidemark.store import Store
 from tidemark.streaming import feed
 
 #: The four bytes that a manifest of these queries begins with, and its version: parameters of a store's format.
@@ -171,6 +173,32 @@ def entry_codec(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("seq", F.hex("e.key").alias("key"), F.hex("e.value").alias("value"), "e.meta", "e.user_meta", "e.expires_at", name.alias("file"), codec.file_id(name, ".mem").alias("file_id"), "ok")
 
 
+@query(f"{LOG} select decode(user_key) as user_key, version, hex(value) as value from ({_newest()}) where {_LIVE}")
+def store_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """A snapshot of a store that took the log in three segments, flushed them, merged its levels and was opened again."""
+    place = _folder(spark, "store")
+    log = entry_log(spark, folder)
+    with Store.open(spark, Options(place, num_level_zero_tables=2)) as store:
+        for part in range(3):
+            store.ingest(log.where(F.pmod("fid", F.lit(3)) == part), 0)
+            store.flush()
+        store.maintain(NOW)
+    with Store.open(spark, Options(place)) as again:
+        return again.snapshot(now=NOW).select(F.col("user_key").cast("string").alias("user_key"), "version", F.hex("value").alias("value"))
+
+
+@query(f"{LOG} select seq, hex(value) as value from log")
+def write_pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """The log's values after its writes went as batches through value log, room check and memtables, read back."""
+    place = _folder(spark, "pipeline")
+    log = entry_log(spark, folder, "fid", "seq", "user_key", "version", "value", "meta", "user_meta", "expires_at").withColumnRenamed("fid", "writer")
+    log.repartitionByRange(3, "seq").write.parquet(f"{place}/requests")
+    requests = feed.read_stream(spark, f"{place}/requests", log.schema, 1)
+    options = Options(place, value_threshold=THRESHOLD, mem_table_size=1 << 16)
+    feed.group_commit(requests, feed.apply_batch(f"{place}/out", options), f"{place}/state").awaitTermination()
+    return feed.applied(spark, f"{place}/out").select("seq", F.hex("value").alias("value"))
+
+
 _KV = """select distinct seq, hex(coalesce(key, ''::blob)) as key, hex(coalesce(value, ''::blob)) as value, hex(coalesce(user_meta, ''::blob)) as user_meta, coalesce(version, 0) as version,
 coalesce(expires_at, 0) as expires_at, hex(coalesce(meta, ''::blob)) as meta, stream_id, coalesce(stream_done, false) as stream_done from kv_feed"""
 

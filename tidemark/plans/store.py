@@ -247,7 +247,7 @@ _SIZED = f"""{LOG}, s as (select fid as txn, seq, 21 + sum(octet_length(user_key
 
 def _sized(spark: SparkSession, folder: str) -> DataFrame:
     """Each log file's writes as one transaction."""
-    return txn.sizes(entry_log(spark, folder, "user_key", "value", "seq", "fid").withColumnRenamed("fid", "txn"), THRESHOLD, BATCH)
+    return txn.sizes(entry_log(spark, folder, "user_key", "value_bytes", "seq", "fid").withColumnRenamed("fid", "txn"), THRESHOLD, BATCH, length=F.col("value_bytes"))
 
 
 @query(f"{_SIZED} select txn, seq, size::bigint as size, size >= {BATCH} as too_big from s")
@@ -457,8 +457,8 @@ from g join log l on l.table_id = g.table_id and (l.user_key = s or l.user_key =
 )
 def table_meta(spark: SparkSession, folder: str) -> DataFrame:
     """What the entries flushed to each table add up to."""
-    log = entry_log(spark, folder, "user_key", "version", "value", "table_id")
-    rows = manifest.table_meta(log, F.octet_length("value"))
+    log = entry_log(spark, folder, "user_key", "version", "value_bytes", "table_id")
+    rows = manifest.table_meta(log, F.col("value_bytes"))
     return rows.withColumns({"smallest": F.col("smallest").cast("string"), "biggest": F.col("biggest").cast("string"), "value_bytes": F.col("value_bytes").cast("long")})
 
 
@@ -471,8 +471,8 @@ def remaining_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def _sorted_entries(spark: SparkSession, folder: str) -> DataFrame:
     """The flushed entries as internal keys with the bytes of their stored values."""
-    log = entry_log(spark, folder, "user_key", "version", "seq", "value", "expires_at", "table_id").where("table_id is not null")
-    size = codec.value_bytes(F.col("value"), F.col("expires_at")).cast("long")
+    log = entry_log(spark, folder, "user_key", "version", "seq", "value_bytes", "expires_at", "table_id").where("table_id is not null")
+    size = codec.stored_bytes(F.col("value_bytes"), F.col("expires_at")).cast("long")
     return log.select("table_id", "seq", codec.key_with_version(F.col("user_key"), F.col("version")).alias("key"), "user_key", (-F.col("version")).alias("newest_first"), size.alias("size"))
 
 
@@ -558,11 +558,27 @@ def discard_earlier(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"{LOG} select decode(user_key) as user_key, count(*) as writes, sum(octet_length(value))::bigint as bytes, max(user_meta) as user_meta from log where {_LIVE} group by user_key")
 def merge_fold(spark: SparkSession, folder: str) -> DataFrame:
     """Each key's writes folded by a sum, a count and a maximum."""
-    log = entry_log(spark, folder, "user_key", "value", "meta", "user_meta", "expires_at")
-    fold = {"writes": F.count("*"), "bytes": F.sum(F.octet_length("value")).cast("long"), "user_meta": F.max("user_meta")}
+    log = entry_log(spark, folder, "user_key", "value_bytes", "meta", "user_meta", "expires_at")
+    fold = {"writes": F.count("*"), "bytes": F.sum("value_bytes").cast("long"), "user_meta": F.max("user_meta")}
     return mvcc.merged(log, fold, NOW).withColumn("user_key", F.col("user_key").cast("string"))
 
 
+@query(
+    f"""{LOG} select decode(user_key) as user_key, list_reduce(list_concat([0::bigint], list(version % 997 + octet_length(value) order by version, seq)), lambda h, v: (h * 31 + v) % 1000003) as merged
+from log where {_LIVE} group by user_key"""
+)
+def merge_in_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Each key's writes folded in their order, by a sum whose digits are the writes."""
+    log = entry_log(spark, folder, "user_key", "version", "seq", "value_bytes", "meta", "expires_at")
+    element = F.struct((F.col("version") % 997 + F.col("value_bytes")).alias("sum"), F.lit(31).cast("long").alias("times"))
+
+    def combine(a, b):
+        return F.struct(((a["sum"] * b["times"] + b["sum"]) % 1_000_003).alias("sum"), (a["times"] * b["times"] % 1_000_003).alias("times"))
+
+    done = mvcc.merged_in_order(log, element, combine, NOW)
+    return done.select(_text("user_key"), F.col("merged.sum").alias("merged"))
+
+
 # --- filters -----------------------------------------------------------------------
 
 
@@ -743,7 +759,7 @@ select fid, seq, segment::bigint as segment, used::bigint as "offset" from f"""
 )
 def memtable_rotation(spark: SparkSession, folder: str) -> DataFrame:
     """The memtable that each write of a log file goes to."""
-    log = entry_log(spark, folder, "fid", "seq", "user_key", "value").withColumn("n", (F.octet_length("user_key") + F.octet_length("value")).cast("long"))
+    log = entry_log(spark, folder, "fid", "seq", "user_key", "value_bytes").withColumn("n", (F.octet_length("user_key") + F.col("value_bytes")).cast("long"))
     return greedy.streamed(log.select("fid", "seq", "n"), "fid", ["seq"], ["n"], greedy.rotate(SEGMENT), "segment long, offset long").select("fid", "seq", "segment", "offset")
 
 

@@ -162,8 +162,31 @@ def append(log: DataFrame, path: str) -> None:
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder is there."""
+    system, place = _at(spark, path)
+    return system.exists(place)
+
+
+def _at(spark: SparkSession, path: str):
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder, none if it isn't there."""
+    system, place = _at(spark, path)
+    return sorted(f.getPath().getName() for f in system.listStatus(place) if f.isDirectory()) if system.exists(place) else []
+
+
+def length(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a folder."""
+    system, place = _at(spark, path)
+    return system.getContentSummary(place).getLength()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder with all that is in it."""
+    system, place = _at(spark, path)
+    system.delete(place, True)
 
 
 def open_or_create(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:

@@ -17,12 +17,15 @@ def entries(raw: DataFrame, *columns: str, once: bool = True) -> DataFrame:
 
     Rows without key, version or seq are none. Of the rows of one seq, which are the same
     write, the one at the lowest (fid, log_offset) stays. Null value, meta, user_meta and
-    expiry are empty and 0. With `columns`, only those are read beside the places.
+    expiry are empty and 0. With `columns`, only those are read beside the places;
+    `value_bytes` is the value's length, taken before anything is exchanged.
     `once=False` leaves copies in, and spares an exchange, for results that one more copy
     of a write doesn't change. Filters on key or version belong on `raw`: they reach the scan.
     """
     wanted = columns or COLUMNS
     rows = raw.where(has_key("user_key") & F.col("version").isNotNull() & F.col("seq").isNotNull())
+    if "value_bytes" in wanted:
+        rows = rows.withColumn("value_bytes", F.octet_length(F.coalesce("value", F.lit(b""))))
     if once:
         first = Window.partitionBy("seq").orderBy("fid", "log_offset")
         need = list(dict.fromkeys([*wanted, "seq", "fid", "log_offset"]))

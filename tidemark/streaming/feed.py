@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.functions.codec import DELETE, has
+from tidemark.functions.codec import DELETE, POINTER_BYTES, has
+from tidemark.operators import greedy, vlog
+from tidemark.options import Options
 from tidemark.sources.tables import has_key
 
 
@@ -96,3 +98,32 @@ def append_once(path: str) -> Callable[[DataFrame, int], None]:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return apply
+
+
+def apply_batch(path: str, options: Options, writer: str = "writer") -> Callable[[DataFrame, int], None]:
+    """A commit that takes a batch of write requests through the whole pipeline: large values go to the value log, each
+    writer's entries, with pointers in their place, to memtables that are full at their size, in groups of
+    `write_batch_rows`. All below a folder of the batch's number: writing it again replaces it.
+
+    A batch has (writer, seq, user_key, version, value, meta, user_meta, expires_at). While
+    level 0 is stalled it is `read_stream`'s `max_files` that holds batches back.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        limits = (options.value_threshold, options.value_log_file_size, options.value_log_max_entries)
+        at = f"{path}/batch={number}"
+        vlog.write(batch, *limits, writer=writer).write.mode("overwrite").parquet(f"{at}/values")
+        pointed = vlog.with_pointers(batch, vlog.places(batch, *limits, writer=writer), writer)
+        n = (F.octet_length("user_key") + F.coalesce(F.octet_length("value"), F.lit(POINTER_BYTES))).cast("long")
+        held = greedy.streamed(pointed.withColumn("n", n), writer, ["seq"], ["n"], greedy.rotate(options.mem_table_size), "memtable long, offset long")
+        grouped = greedy.numbered(held.drop("n", "offset"), writer, ["seq"]).withColumn("commit_group", F.floor(F.col("row_no") / options.write_batch_rows))
+        grouped.drop("row_no").write.mode("overwrite").parquet(f"{at}/entries")
+
+    return apply
+
+
+def applied(spark: SparkSession, path: str, writer: str = "writer") -> DataFrame:
+    """The entries of all batches that `apply_batch` has written, with their values read back from the value log."""
+    entries = spark.read.option("basePath", path).parquet(f"{path}/batch=*/entries")
+    values = spark.read.option("basePath", path).parquet(f"{path}/batch=*/values").withColumn(writer, F.struct(writer, "batch"))
+    return vlog.dereferenced(entries.withColumn(writer, F.struct(writer, "batch")), values, writer).withColumn(writer, F.col(f"{writer}.{writer}"))
