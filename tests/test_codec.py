@@ -82,3 +82,5 @@ def test_filter_shape(spark):
 def test_too_long_message(spark):
     text = spark.range(1).select(codec.too_long("Key", F.lit(b"k" * 2000), 1500)).first()[0]
     assert text.startswith("Key with size 2000 exceeded 1500 limit. Key:\nkkk") and len(text) == len("Key with size 2000 exceeded 1500 limit. Key:\n") + 1024
+    odd = spark.range(1).select(codec.too_long("Value", F.lit(b"\xff" * 40), 30)).first()[0]
+    assert odd == "Value with size 40 exceeded 30 limit. Value:\n(convert bytes to string failed)"

@@ -150,6 +150,11 @@ def test_a_store_of_levels(spark, tmp_path):
     path = store.compact(2, now=5, drop=True)
     assert keys(store.snapshot(now=5)) == now == keys(spark.read.parquet(path)) and len(store.tables()) == 1
     assert len(list((tmp_path / "s/tables").iterdir())) == 1 and store._segments() == []
+    from tidemark.sources import binary
+
+    assert store.export(str(tmp_path / "out"), b"Test", 8) == 1
+    assert sorted((bytes(r.key), r.version, bytes(r.value)) for r in binary.read_tables(spark, str(tmp_path / "out"), verify_blocks=True).collect()) == now
+    assert [(r.op, r.table_id) for r in binary.read_manifest(spark, str(tmp_path / "out"), b"Test", 8).collect()] == [("CREATE", *store.tables())]
     # a flush that failed before its row, and one behind it
     store.update(lambda t: t.set(b"new", b"1"))
     segment = store._segments()[0]

@@ -136,8 +136,10 @@ def file_name(ident: Column, suffix: str) -> Column:
 
 
 def too_long(prefix: str, data: Column, limit: int) -> Column:
-    """The message about a key or value above its limit, with at most a KB of it."""
-    return F.format_string(f"{prefix} with size %d exceeded {limit} limit. {prefix}:\n%s", F.octet_length(data), F.substr(data, F.lit(1), F.lit(1024)).cast("string"))
+    """The message about a key or value above its limit, with at most a KB of it, or a fixed text if that is no UTF-8."""
+    head = F.substr(data, F.lit(1), F.lit(1024)).cast("string")
+    shown = F.when(F.is_valid_utf8(head), head).otherwise("(convert bytes to string failed)")
+    return F.format_string(f"{prefix} with size %d exceeded {limit} limit. {prefix}:\n%s", F.octet_length(data), shown)
 
 
 def common_prefix(key: Column, base: Column) -> Column:
@@ -173,39 +175,37 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _times(h: Column) -> Column:
-    """h times the multiplier modulo 2**32, in halves, as a long can't hold the whole product."""
-    def product(x: Column) -> Column:
-        high = F.call_function("shiftright", x, F.lit(16)) * BLOOM_MULTIPLIER
-        return (x.bitwiseAND(0xFFFF) * BLOOM_MULTIPLIER + high.bitwiseAND(0xFFFF) * 65536).bitwiseAND(F.lit(_LOW))
-
-    return let(h, product)
-
-
-def bloom_hash(key: Column) -> Column:
-    """The filter's 32-bit hash of a key, as a long: four bytes a round, then what is left."""
-    text = F.hex(key)
-    n = F.octet_length(key)
-    start = ((n.cast("long") * BLOOM_MULTIPLIER).bitwiseAND(F.lit(_LOW))).bitwiseXOR(F.lit(BLOOM_SEED))
-
-    def little(first: Column, count: Column) -> Column:
-        """`count` bytes from 0-based position `first`, the first one lowest."""
-        return F.aggregate(
-            F.sequence(F.lit(0), F.lit(3)),
-            F.lit(0).cast("long"),
-            lambda acc, i: acc + F.when(i < count, F.call_function("shiftleft", F.conv(F.substr(text, (first + i) * 2 + 1, F.lit(2)), 16, 10).cast("long"), i * 8)).otherwise(0),
-        )
-
-    words = F.floor(n / 4).cast("int")
+def bloom_hashes_of(values: list[bytes | None]) -> np.ndarray:
+    """The filter's 32-bit hashes of many keys at once, as longs: four bytes a round, low one first, over all keys that
+    reach it, then what is left of each."""
+    lengths = np.array([len(v) if v else 0 for v in values], np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    data = np.frombuffer(b"".join(v or b"" for v in values) + bytes(4), np.uint8).astype(np.uint32)
+    n = lengths[order]
+    at = (np.cumsum(lengths) - lengths)[order]
+    multiplier = np.uint32(BLOOM_MULTIPLIER)
+    h = np.uint32(BLOOM_SEED) ^ (n.astype(np.uint32) * multiplier)
+
+    def word(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return sum((np.where(i < count, data[np.minimum(begin + i, len(data) - 1)], 0).astype(np.uint32) << np.uint32(8 * i) for i in range(4)), np.zeros(len(begin), np.uint32))
+
+    for t in range(int(n[0]) // 4 if len(n) else 0):
+        k = int(np.searchsorted(-n, -4 * (t + 1), side="right"))
+        x = (h[:k] + word(at[:k] + 4 * t, np.full(k, 4))) * multiplier
+        h[:k] = x ^ (x >> np.uint32(16))
+    left = n % 4
+    x = (h + word(at + n - left, left)) * multiplier
+    h = np.where(left > 0, x ^ (x >> np.uint32(24)), h)
+    out = np.empty(len(values), np.int64)
+    out[order] = h
+    return out
 
-    def spread(x: Column, bits: int) -> Column:
-        return let(x, lambda y: y.bitwiseXOR(F.call_function("shiftright", y, F.lit(bits))))
 
-    whole = F.filter(F.sequence(F.lit(0), F.greatest(words - 1, F.lit(0))), lambda i: i < words)
-    mixed = F.aggregate(whole, start, lambda h, i: spread(_times((h + little(i * 4, F.lit(4))).bitwiseAND(F.lit(_LOW))), 16))
-    left = (n % 4).cast("int")
-    last = let(mixed, lambda h: F.when(left > 0, spread(_times((h + little(words * 4, left)).bitwiseAND(F.lit(_LOW))), 24)).otherwise(h))
-    return last
+@F.pandas_udf(LongType())
+def bloom_hash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The filter's 32-bit hash of a key, as a long; null for null."""
+    for values in batches:
+        yield pd.Series(bloom_hashes_of(list(values)), index=values.index, dtype="Int64").mask(values.isna())
 
 
 def bloom_bits_per_key(n: Column, rate: float) -> Column:

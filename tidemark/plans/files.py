@@ -153,10 +153,10 @@ def vlog_files(spark: SparkSession, folder: str) -> DataFrame:
     """Large values read back by file and offset from value log files that were written."""
     place = _folder(spark, "vlog")
     docs = _documents(spark, folder).withColumns({"user_key": codec.key_with_version(F.col("user_key"), F.col("seq")), "user_meta": F.lit(0)})
-    # the files of 64 writers in one folder
-    own = (F.col("fid") * 64 + F.col("writer")).alias("fid")
+    # the files of all writers in one folder: a hundred documents make less than a hundred files
+    own = (F.col("writer") * 100 + F.col("fid")).alias("fid")
     written = vlog.write(docs, TEXT_THRESHOLD, FILE_BYTES, FILE_ENTRIES).withColumns({"fid": own, "version": F.col("seq"), "user_key": codec.user_key(F.col("user_key"))})
-    writing.write_files(writing.log_files(written), place, "{:06d}.vlog")
+    writing.write_files(writing.log_files(written), place, "{:09d}.vlog")
     found = files.read_log_files(spark, place, ".vlog").select("fid", "offset", "value")
     return vlog.places(docs, TEXT_THRESHOLD, FILE_BYTES, FILE_ENTRIES).withColumn("fid", own).join(found, ["fid", "offset"]).select("seq", F.md5("value").alias("value"))
 

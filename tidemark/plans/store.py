@@ -691,10 +691,10 @@ def checksum_verify(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as entries: 64 writers by hash of the id, in order of id."""
+    """Documents as entries: a writer for each hundred ids, so that writers grow with the table; in order of id."""
     docs = table(spark, folder, "documents", "doc_id", "text").where("doc_id is not null")
     return docs.select(
-        F.pmod("doc_id", F.lit(64)).alias("writer"),
+        F.floor(F.col("doc_id") / 100).alias("writer"),
         F.col("doc_id").alias("seq"),
         F.encode(F.lpad(F.col("doc_id").cast("string"), 10, "0"), "UTF-8").alias("user_key"),
         F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("value"),
@@ -703,7 +703,7 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_DOCS = "with d as (select doc_id % 64 as writer, doc_id as seq, coalesce(strlen(text), 0) as n from documents where doc_id is not null)"
+_DOCS = "with d as (select doc_id // 100 as writer, doc_id as seq, coalesce(strlen(text), 0) as n from documents where doc_id is not null)"
 _LEN = f"(2 + 1 + {_VARINT.format('n')} + 1 + 10 + n + 4)"
 
 
@@ -715,7 +715,7 @@ def vlog_split(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""with recursive d as (select doc_id % 64 as writer, doc_id as seq, coalesce(strlen(text), 0) as n from documents where doc_id is not null),
+    f"""with recursive d as (select doc_id // 100 as writer, doc_id as seq, coalesce(strlen(text), 0) as n from documents where doc_id is not null),
 s as (select writer, seq, {_LEN} as len, row_number() over (partition by writer order by seq) as i from d where n >= {TEXT_THRESHOLD}),
 f(writer, i, seq, len, fid, off, cnt) as (select writer, i, seq, len, 1, 20, 0 from s where i = 1
   union all select s.writer, s.i, s.seq, s.len, case when f.off + f.len > {FILE_BYTES} or f.cnt + 1 > {FILE_ENTRIES} then f.fid + 1 else f.fid end,
@@ -738,15 +738,15 @@ def vlog_deref(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""with recursive r as (select doc_id % 64 as writer, doc_id // 1000 as request, sum(10 + coalesce(strlen(text), 0) + 22 + 4)::bigint as size from documents where doc_id is not null group by 1, 2),
+    f"""with recursive r as (select doc_id // 100 as writer, doc_id // 10 as request, sum(10 + coalesce(strlen(text), 0) + 22 + 4)::bigint as size from documents where doc_id is not null group by 1, 2),
 s as (select *, row_number() over (partition by writer order by request) as i from r),
 f(writer, request, size, i, "offset") as (select writer, request, size, i, 0::bigint from s where i = 1
   union all select s.writer, s.request, s.size, s.i, case when f."offset" + f.size >= {FILE_BYTES} then 0 else f."offset" + f.size end from f join s on s.writer = f.writer and s.i = f.i + 1)
 select writer, request, size, "offset", "offset" + size > 4294967295 as too_big from f"""
 )
 def vlog_requests(spark: SparkSession, folder: str) -> DataFrame:
-    """The offsets that a check of write requests reckons with; a request has a writer's documents of one thousand."""
-    rows = vlog.request_sizes(_documents(spark, folder).withColumn("request", F.floor(F.col("seq") / 1000)), "request")
+    """The offsets that a check of write requests reckons with; a request has a writer's documents of ten ids."""
+    rows = vlog.request_sizes(_documents(spark, folder).withColumn("request", F.floor(F.col("seq") / 10)), "request")
     return greedy.streamed(rows, "writer", ["request"], ["size"], greedy.requests(FILE_BYTES), "offset long, too_big boolean")
 
 
