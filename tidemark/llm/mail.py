@@ -47,6 +47,7 @@ _SUBJECTS = re.compile(
     re.I | re.S,
 )
 _QUOTE = (">", "|")
+_COLONS = (":", "：")
 
 
 def _head(text: str, at: int, stop: int | None = None) -> tuple[dict[str, str], int]:
@@ -282,13 +283,13 @@ def own_body(text: str | None) -> str | None:
             # the line that names the quoted sender belongs to the quote, also when it is wrapped
             while kept and not (kept[-1] or "").strip():
                 kept.pop()
-            if kept and (_WROTE.search(kept[-1]) or _NAMED.match(kept[-1]) or (kept[-1].rstrip()[-1:] in ":：" and _WHEN.search(kept[-1]))):
+            if kept and (_WROTE.search(kept[-1]) or _NAMED.match(kept[-1]) or (kept[-1].rstrip()[-1:] in _COLONS and _WHEN.search(kept[-1]))):
                 kept.pop()
             while i < n and lines[i] and lines[i][:1] in _QUOTE and i not in bars:
                 i += 1
             kept.append(None)
             continue
-        if _forwarded(lines, i):
+        if line and (line.lstrip()[:2] == "--" or line.rstrip()[-1:] in _COLONS) and _forwarded(lines, i):
             break
         kept.append(line)
         i += 1

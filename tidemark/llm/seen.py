@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.codec import key_fingerprint
 from tidemark.sources.tables import has_key, shared_folder
 
 #: Keys that a sealed partition holds on average; its index takes about 4.5 bytes a key.
@@ -162,7 +163,7 @@ def seal(log: DataFrame, key: str = "user_key", keys_a_partition: int = KEYS_A_P
     """
     spark = log.sparkSession
     parts = max(1, math.ceil(log.count() / keys_a_partition))
-    hashes = log.where(has_key(key)).select(F.xxhash64(key).alias("h")).mapInArrow(_distinct, "h long")
+    hashes = log.where(has_key(key)).select(key_fingerprint(F.col(key)).alias("h")).mapInArrow(_distinct, "h long")
     folder = path or f"{shared_folder(spark)}/sealed-{uuid4().hex}"
     _placed(hashes, parts).groupBy("part").applyInArrow(_sealed, _INDEX).write.parquet(folder)
     return Sealed(spark.read.schema(_INDEX).parquet(folder), parts)
@@ -176,7 +177,7 @@ def first_seen(sealed: Sealed, incoming: DataFrame, key: str = "user_key", ident
     keys of the same partition.
     """
     first = incoming.where(has_key(key) & F.col(ident).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(ident).alias("first_id"))
-    probes = _placed(first.select(F.xxhash64("key").alias("h"), "first_id"), sealed.parts)
+    probes = _placed(first.select(key_fingerprint(F.col("key")).alias("h"), "first_id"), sealed.parts)
     return probes.groupBy("part").cogroup(sealed.index.groupBy("part")).applyInArrow(_probed, "h long, first_id long, maybe boolean")
 
 
@@ -227,7 +228,7 @@ def seen_before(log: DataFrame, incoming: DataFrame, tables: DataFrame | None =
     """
     answers = first_seen(seal(log, key, keys_a_partition), incoming, key, ident)
     named = incoming.where(has_key(key) & F.col(ident).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(ident).alias("first_id"))
-    answered = named.withColumn("h", F.xxhash64("key")).join(answers, ["h", "first_id"])
+    answered = named.withColumn("h", key_fingerprint(F.col("key"))).join(answers, ["h", "first_id"])
     k = known_keys(log, key, tables).select(F.col("key").alias("_key"), F.col("sealed").alias("_sealed"))
     met = answered.join(k, (F.col("key") == F.col("_key")) & F.col("maybe"), "left")
     return met.select("key", "first_id", "maybe", F.coalesce("_sealed", F.lit(False)).alias("sealed"), F.col("_key").isNotNull().alias("seen"))
