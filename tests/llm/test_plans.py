@@ -31,6 +31,15 @@ def test_texts_survive_the_round_trip(spark):
     assert plans.p6_roundtrip(spark, str(FOLDER)).where("not same").count() == 0
 
 
+def test_documents_of_many_files(spark, tmp_path):
+    """A table with as many splits as there are cores stays where it is; the result is that of one that is spread."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    docs.repartition(8).write.parquet(str(tmp_path / "documents.parquet"))
+    few, many = plans._documents(spark, str(FOLDER)), plans._documents(spark, str(tmp_path))
+    assert "Exchange" in few._jdf.queryExecution().toString() and "Exchange" not in many._jdf.queryExecution().toString()
+    assert sorted(map(tuple, plans.p6_ids(spark, str(tmp_path)).collect())) == sorted(map(tuple, plans.p6_ids(spark, str(FOLDER)).collect()))
+
+
 def test_named_queries_are_registered():
     import __spark_entry__ as entry
 

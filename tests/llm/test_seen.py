@@ -76,6 +76,12 @@ def test_against_brute_force(spark):
     placed = spark.createDataFrame([(k, rnd.choice([None, 1, 2, 3, 4])) for k in log], "user_key binary, table_id long")
     info = spark.createDataFrame([(1, True), (1, True), (2, False), (3, None), (None, True)], "table_id long, has_bloom_filter boolean")
     assert rows(seen.repeated_records(placed, idf)) == brute(log, incoming)
+    kept, seen.BROADCAST_TABLES = seen.BROADCAST_TABLES, 0
+    try:
+        shuffled = rows(seen.known_keys(placed, "user_key", info))
+    finally:
+        seen.BROADCAST_TABLES = kept
+    assert shuffled == rows(seen.known_keys(placed, "user_key", info))
     both = {r.key: (r.sealed, r.open) for r in seen.known_keys(placed, "user_key", info).collect()}
     assert both[b"hot"] == (True, True) and len(both) == len({k for k in log if k})
     total = seen.wrong_rate(seen.seen_before(placed, idf, info)).first()
