@@ -84,3 +84,21 @@ def test_too_long_message(spark):
     assert text.startswith("Key with size 2000 exceeded 1500 limit. Key:\nkkk") and len(text) == len("Key with size 2000 exceeded 1500 limit. Key:\n") + 1024
     odd = spark.range(1).select(codec.too_long("Value", F.lit(b"\xff" * 40), 30)).first()[0]
     assert odd == "Value with size 40 exceeded 30 limit. Value:\n(convert bytes to string failed)"
+
+
+def test_checksums_of_long_and_short_strings():
+    import random
+
+    rnd = random.Random(4)
+    values = [b"", None, b"123456789", *(rnd.randbytes(n) for n in (1, 63, 64, 65, 127, 128, 129, 1000, 4096)), *(rnd.randbytes(rnd.randrange(300)) for _ in range(50))]
+
+    def plain(data):
+        crc = 0xFFFFFFFF
+        for b in data or b"":
+            crc ^= b
+            for _ in range(8):
+                crc = crc >> 1 ^ (0x82F63B78 if crc & 1 else 0)
+        return crc ^ 0xFFFFFFFF
+
+    assert codec.crc32c_of(values).tolist() == [plain(v) for v in values] and plain(b"123456789") == 0xE3069283
+    assert codec.crc32c_of([]).tolist() == []

@@ -7,6 +7,7 @@ bytes of the inverted version, so that of one key the newest sorts first.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -240,18 +241,52 @@ def _crc_table() -> np.ndarray:
     return out.astype(np.uint32)
 
 
-def crc32c_of(values: list[bytes | None]) -> np.ndarray:
-    """CRC32C of many byte strings at once: one step for each position, over all that reach it."""
+#: Bytes whose checksums are taken side by side before they are put together.
+CRC_PIECE = 64
+
+
+@lru_cache(maxsize=1)
+def _crc_tables() -> tuple[np.ndarray, np.ndarray]:
+    """The table of a step of one byte, and four tables, one a byte of the state, of a step over CRC_PIECE zero bytes."""
     table = _crc_table()
+    state = np.array([byte << shift for shift in (0, 8, 16, 24) for byte in range(256)], np.uint32)
+    for _ in range(CRC_PIECE):
+        state = table[state & np.uint32(0xFF)] ^ (state >> np.uint32(8))
+    return table, state.reshape(4, 256)
+
+
+def crc32c_of(values: list[bytes | None]) -> np.ndarray:
+    """CRC32C of many byte strings at once.
+
+    A checksum is linear: the sums of all pieces of CRC_PIECE bytes, of all strings, are
+    taken together, byte by byte; then each string's are put together, piece by piece, and
+    the bytes left over follow.
+    """
+    table, over = _crc_tables()
     lengths = np.array([len(v) if v else 0 for v in values], np.int64)
     order = np.argsort(-lengths, kind="stable")
-    sorted_lengths = lengths[order]
     data = np.frombuffer(b"".join(v or b"" for v in values), np.uint8)
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])[order] if len(lengths) else lengths
+    starts, n = (np.cumsum(lengths) - lengths)[order], lengths[order]
+    pieces = n // CRC_PIECE
+    first = np.cumsum(pieces) - pieces
+    at = np.repeat(starts - first * CRC_PIECE, pieces) + np.arange(int(pieces.sum())) * CRC_PIECE
+    sums = np.zeros(len(at), np.uint32)
+
+    def step(crc: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        return table[(crc ^ byte) & np.uint32(0xFF)] ^ (crc >> np.uint32(8))
+
+    for i in range(CRC_PIECE if len(at) else 0):
+        sums = step(sums, data[at + i])
     crc = np.full(len(values), 0xFFFFFFFF, np.uint32)
-    for at in range(int(sorted_lengths[0]) if len(sorted_lengths) else 0):
-        n = int(np.searchsorted(-sorted_lengths, -at, side="left"))
-        crc[:n] = table[(crc[:n] ^ data[starts[:n] + at]) & 0xFF] ^ (crc[:n] >> np.uint32(8))
+    for j in range(int(pieces[0]) if len(pieces) else 0):
+        k = int(np.searchsorted(-pieces, -j, side="left"))
+        c = crc[:k]
+        moved = over[0][c & np.uint32(0xFF)] ^ over[1][(c >> np.uint32(8)) & np.uint32(0xFF)] ^ over[2][(c >> np.uint32(16)) & np.uint32(0xFF)] ^ over[3][c >> np.uint32(24)]
+        crc[:k] = moved ^ sums[first[:k] + j]
+    left = n % CRC_PIECE
+    for i in range(int(left.max()) if len(left) else 0):
+        own = np.flatnonzero(left > i)
+        crc[own] = step(crc[own], data[starts[own] + pieces[own] * CRC_PIECE + i])
     out = np.empty(len(values), np.int64)
     out[order] = (crc ^ np.uint32(0xFFFFFFFF)).astype(np.int64)
     return out
