@@ -138,8 +138,9 @@ def solved(histogram: dict[int, int], capacity: int, groups: int = GROUPS, small
 
     Sizes are from 1 to the capacity. Large ones are rounded up to the largest of their
     group; the few rounded sizes are packed by optimal configurations; the items themselves
-    take the slots in order of size, so that what a container has left is exact; small ones
-    go where they leave least.
+    take the slots in order of size, so that what a container has left is exact; small ones,
+    and those of containers that are not half full, go where they leave least: one
+    container at most ends up less than half full.
     """
     sizes = sorted(((s, n) for s, n in histogram.items() if n > 0), reverse=True)
     full = [(n, {s: 1}) for s, n in sizes if s == capacity]
@@ -187,6 +188,13 @@ def solved(histogram: dict[int, int], capacity: int, groups: int = GROUPS, small
                     held[run[where[r]][0]] = held.get(run[where[r]][0], 0) + 1
                 kinds.append([end - at, held, capacity - sum(s * c for s, c in held.items())])
                 at = end
+    # where rounding up left a container less than half full, its items go with the small ones
+    loose = dict(tiny)
+    for n, held, room in kinds:
+        for s, c in held.items() if 2 * room > capacity else ():
+            loose[s] = loose.get(s, 0) + n * c
+    tiny = sorted(loose.items(), reverse=True)
+    kinds = [kind for kind in kinds if 2 * kind[2] <= capacity]
     by_room: dict[int, list[int]] = {}
     for i, kind in enumerate(kinds):
         by_room.setdefault(kind[2], []).append(i)
