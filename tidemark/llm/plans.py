@@ -92,7 +92,21 @@ def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_wrong_rate, p6_ids, p6_roundtrip, p7_packing, p7_fill, p7_faults, p8_found, p8_statistics)}
 
+#: White space as Python takes it, for a class of a pattern in SQL.
+_WHITE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
 ORACLES = {
+    "p8_statistics": rf"""
+with c as (select distinct lower(trim(word)) as w from common_words where trim(word) <> ''),
+d as (select doc_id, coalesce(text, '') as t from documents),
+e as (select doc_id, t, regexp_extract_all(t, '[^{_WHITE}]+') as words, list_filter(list_transform(string_split(t, chr(10)), lambda r: regexp_replace(r, '[{_WHITE}]+$', '')), lambda r: r <> '') as rows from d),
+h as (select doc_id, count(*) as hits from (select doc_id, unnest(words) as x from e) where lower(trim(x, '.,;:!?"''()')) in (select w from c) group by doc_id),
+n as (select e.doc_id, length(t)::bigint as n_chars, len(words)::bigint as n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) as letters,
+  length(regexp_replace(t, '[\p{{L}}\p{{N}}{_WHITE}]+', '', 'g')) as symbols, len(rows)::bigint as n_lines, len(list_filter(rows, lambda r: contains('.!?…。！？:;"”»''', right(r, 1)))) as ended, coalesce(hits, 0) as hits
+  from e left join h using (doc_id)),
+s as (select doc_id, n_chars, n_words, case when n_words > 0 then ((2000000 * letters::bigint + n_words) // (2 * n_words)) / 1000000 else 0 end as mean_word_length, case when n_chars > 0 then ((2000000 * symbols::bigint + n_chars) // (2 * n_chars)) / 1000000 else 0 end as symbol_share,
+  n_lines, case when n_lines > 0 then ((2000000 * ended::bigint + n_lines) // (2 * n_lines)) / 1000000 else 0 end as ended_share, case when n_words > 0 then ((2000000 * hits::bigint + n_words) // (2 * n_words)) / 1000000 else 0 end as common_share from n)
+select *, mean_word_length between 2 and 12 and symbol_share <= 0.25 and common_share >= 0.05 as prose from s""",
     "p1_found": """
 with w as (select distinct user_key, version, seq from entry_log
            where octet_length(user_key) > 0 and version is not null and seq is not null),

@@ -225,7 +225,8 @@ def statistics(docs: DataFrame, words: DataFrame, ident: str = "doc_id", text: s
     )
 
     def share(a: str, b: str) -> Column:
-        return F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 6)).otherwise(0.0)
+        # in whole millionths, a half rounded up, by numbers that are exact
+        return F.when(F.col(b) > 0, F.expr(f"(2000000 * `{a}` + `{b}`) div (2 * `{b}`)") / 1_000_000).otherwise(0.0)
 
     out = total.select(
         ident,
